@@ -45,7 +45,7 @@ class Encoder:
         ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in added}
         self.fast = tiktoken.Encoding("packing", pat_str=PRE_TOKEN.replace("(?:[sdmt]|ll|ve|re)", "s|'t|'re|'ve|'m|'ll|'d"), mergeable_ranks=ranks, special_tokens=added)
         self.whole, self.added = Tokenizer.from_file(path), set(added)
-        self.long = re.compile(r"\S{%d}|\s{%d}" % (self.LONG_RUN, self.LONG_RUN))
+        self.long = re.compile(r"(?<!\S)\S{%d}|(?<!\s)\s{%d}" % (self.LONG_RUN, self.LONG_RUN))
         ends = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)
         for k, v in ranks.items():
             ends[v] = k.endswith(SENTENCE_ENDS)
