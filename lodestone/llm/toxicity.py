@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Labelled rows that training takes at most (by order of a hash of the id), and features it weighs at most.
 SAMPLE_ROWS, FEATURES = 8_000, 6_000
-MIN_DOCUMENTS = 3
+MIN_DOCUMENTS = 5
+#: Among very many features some differ by chance; this many standard errors are beyond it.
+LEAST_Z = 5
 #: Beginnings of a word that are features besides the word: inflected languages share stems, not words.
 STEMS = (3, 4, 5, 6)
 #: Words whose weights a worker remembers.
@@ -68,41 +72,53 @@ class Model:
         return doc, len(spans), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Adam on the noisy-or likelihood. Without rows of both labels there is nothing to learn: every score is near 0."""
-    y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
-        return Model({}, -20.0)
-    bags = [[set(w) for m in SENTENCE.finditer(t) if (w := WORD.findall(m[0].lower()))] for t in texts]
-    seen, toxic = Counter(), Counter()
-    stems = {w: features(w) for w in set().union(*(s for b in bags for s in b))}
-    for bag, label in zip(bags, labels, strict=True):
-        found = set().union(*(stems[w] for w in set().union(*bag))) if bag else set()
-        seen.update(found)
-        if label:
-            toxic.update(found)
-    # The features that tell the labels apart best, by the z value of the difference of their shares.
-    rate1, n1, n0 = y.mean(), y.sum(), len(y) - y.sum()
-    z_of = {f: abs(toxic[f] / n1 - (n - toxic[f]) / n0) / np.sqrt(max(n / len(y) * (1 - n / len(y)), 1e-9) * (1 / n1 + 1 / n0)) for f, n in seen.items() if n >= MIN_DOCUMENTS}
-    vocabulary = {f: i for i, f in enumerate(sorted(z_of, key=lambda f: (-z_of[f], f))[:FEATURES])}
-    of_word = {w: [vocabulary[f] for f in x if f in vocabulary] for w, x in stems.items()}
-    ids = [[f for w in s for f in of_word[w]] for b in bags for s in b]
-    sentence = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    feature = np.fromiter((f for x in ids for f in x), np.int64, len(sentence))
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    n, k = len(doc), len(vocabulary)
+def bag(text: str) -> list[set[str]]:
+    return [set(w) for m in SENTENCE.finditer(text) if (w := WORD.findall(m[0].lower()))]
+
+
+def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, and toxic ones, that have each feature, of a task's share of the sample."""
+    for b in batches:
+        seen, toxic = Counter(), Counter()
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = {f for w in set().union(*bag(text)) for f in features(w)}
+            seen.update(found)
+            if label:
+                toxic.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], ["feature", "n", "toxic"])
+
+
+def encoded(vocabulary: dict[str, int]):
+    """Documents as features of their sentences: flat feature numbers, and how many each sentence has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = [], []
+            for text in b.column(0).to_pylist():
+                ids = [[vocabulary[f] for w in s for f in features(w) if f in vocabulary] for s in bag(text)]
+                flat.append([f for x in ids for f in x])
+                sizes.append([len(x) for x in ids])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(flat, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["label", "flat", "sizes"])
+
+    return run
+
+
+def descend(y: np.ndarray, flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, k: int, rounds: int = 250, rate: float = 0.1, decay: float = 6e-5) -> np.ndarray:
+    """Weights and bias (last) by Adam on the noisy-or likelihood. sizes, doc: features and document of each sentence."""
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(sizes)
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    w[k] = np.log(max(rate1, 1e-6) * len(bags) / max(n, 1))
+    w[k] = np.log(y.mean() * len(y) / max(n, 1))
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, w[feature], n) + w[k]
-        total = np.bincount(doc, np.logaddexp(0, z), len(bags))
+        z = np.bincount(sentence, w[flat], n) + w[k]
+        total = np.bincount(doc, np.logaddexp(0, z), len(y))
         slope = np.where(y > 0, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
         g = slope[doc] / (1 + np.exp(-z))
-        grad = np.r_[np.bincount(feature, g[sentence], k), g.sum()] / len(bags)
+        grad = np.r_[np.bincount(flat, g[sentence], k), g.sum()] / len(y)
         grad[:k] += decay * w[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model({x: float(w[i]) for x, i in vocabulary.items()}, float(w[k]))
+    return w
 
 
 def held_out(id_col: str = "doc_id"):
@@ -116,11 +132,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     sample_rows bounds what reaches the driver: the rows first by a hash of the id. Rows with a null id, label or text
     teach nothing; an id with several labels or rows counts each of them.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), (F.col(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key", "label").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label").toArrow()
-    return train(rows.column(0).to_pylist(), [int(x > 0) for x in rows.column(1).to_pylist()])
+    rows = texts.join(F.broadcast(chosen), "key").select("text", "label", "key")
+    sample = staged(rows.orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label").repartition(16), "sample")
+    n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if n1 in (0, n):  # rows of both labels are needed to learn; without them every score is near 0
+        return Model({}, -20.0)
+    # The features that tell the labels apart best, by the z value of the difference of their shares.
+    counts = sample.mapInArrow(feature_counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCUMENTS)
+    share = F.col("n") / n
+    z = F.abs(F.col("toxic") / n1 - (F.col("n") - F.col("toxic")) / (n - n1)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
+    best = [r[0] for r in counts.where(z >= LEAST_Z).orderBy(F.round(z, 9).desc(), "feature").limit(FEATURES).select("feature").collect()]
+    bags = sample.mapInArrow(encoded({f: i for i, f in enumerate(best)}), "label int, flat array<int>, sizes array<int>").toArrow()
+    flat, sizes = (bags.column(c).combine_chunks() for c in ("flat", "sizes"))
+    doc = np.repeat(np.arange(len(bags)), sizes.value_lengths().to_numpy())
+    w = descend(bags.column("label").to_numpy().astype(float), flat.flatten().to_numpy(), sizes.flatten().to_numpy(), doc, len(best))
+    return Model({f: float(x) for f, x in zip(best, w, strict=False)}, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
