@@ -82,3 +82,30 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words
         F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias(names[0]),
         F.coalesce(n_gone, F.lit(0)).cast("long").alias(names[1]),
         F.coalesce(F.size(F.filter("gone", lambda x, i: (i == 0) | (F.get(F.col("gone"), i - 1) + 1 < x))), F.lit(0)).cast("long").alias(names[2]))
+
+
+def lines_sql(run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> str:
+    """Digest of the same result over the table documents in DuckDB's SQL, by the windows' contents themselves."""
+    content = ", ".join(f"lead(t, {j}) OVER d" for j in range(run_lines))
+    return rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+l AS (SELECT doc_id, no, x, trim(x) AS t FROM raw),
+w AS (
+  SELECT doc_id, no AS first, lead(no, {run_lines - 1}) OVER d AS last, [{content}] AS c FROM l WHERE t <> ''
+  WINDOW d AS (PARTITION BY doc_id ORDER BY no)
+  UNION ALL
+  SELECT doc_id, no, no, [t] FROM l WHERE t <> '' AND len(regexp_split_to_array(t, '[ 	-]+')) >= {long_words}),
+again AS (
+  SELECT * FROM (SELECT doc_id, first, last, row_number() OVER (PARTITION BY c ORDER BY doc_id, first) AS r FROM w WHERE last IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.no FROM l JOIN again a ON l.doc_id = a.doc_id AND l.no BETWEEN a.first AND a.last),
+marked AS (SELECT l.*, g.no IS NOT NULL AS g FROM l LEFT JOIN gone g USING (doc_id, no)),
+runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY no), false) AS begins FROM marked),
+docs AS (
+  SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (g AND t <> '') AS n_removed, count(*) FILTER (begins) AS n_runs,
+    CASE WHEN count(*) FILTER (g) = 0 THEN string_agg(x, chr(10) ORDER BY no)
+      WHEN count(*) FILTER (NOT g AND t <> '') = 0 THEN '' ELSE string_agg(x, chr(10) ORDER BY no) FILTER (NOT g OR t = '') END AS kept
+  FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN docs USING (doc_id)"""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .common import documents
+from .lines import lines_sql, remove_repeated_runs
+from .near import near_duplicates
 from .packing import pack
 from .quality import quality, quality_sql
 from .tokens import count_tokens
@@ -20,6 +22,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_runs(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -40,12 +51,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": lines_sql(),
     "op6_quality_rules": quality_sql(),
 }
