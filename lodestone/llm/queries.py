@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .common import documents
+from .knn import top_k
 from .lines import lines_sql, remove_repeated_runs
+from .mixing import mixture, mixture_sql
 from .near import near_duplicates
 from .packing import pack
 from .quality import quality, quality_sql
@@ -34,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir)).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "epoch")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -42,6 +48,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
@@ -53,13 +64,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
 }
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
 ORACLE: dict[str, str] = {
+    "op7_exact_top_k": TOP_K_SQL,
     "op2_line_dedup": lines_sql(),
+    "op4_mixing": mixture_sql(),
     "op6_quality_rules": quality_sql(),
 }
