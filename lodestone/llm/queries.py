@@ -14,6 +14,7 @@ from .lines import lines_sql, remove_repeated_runs
 from .mixing import mixture, mixture_sql
 from .near import near_duplicates
 from .packing import pack
+from .privacy import pseudonymised
 from .quality import quality, quality_sql
 from .tokens import count_tokens
 
@@ -57,6 +58,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_token_counts": op8_token_counts,
+    "op9_surrogates": op9_surrogates,
     "op10_packing": op10_packing,
 }
 
