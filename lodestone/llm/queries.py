@@ -16,6 +16,7 @@ from .near import near_duplicates
 from .packing import pack
 from .privacy import pseudonymised
 from .quality import quality, quality_sql
+from .repeats import remove_repeats
 from .tokens import count_tokens
 
 
@@ -25,6 +26,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
+    return left.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeated_runs(documents(spark, sf_dir))
     return left.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -67,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
