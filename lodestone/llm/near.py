@@ -207,49 +207,49 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b, similarity) between documents that share a band.
+    """Verified links (a, b) whose components are those of all pairs that share a band and reach the threshold.
 
-    Each bucket is compared with its smallest member. Members unlike it become heads themselves in later rounds, twice
-    as many each time, and a head is compared with the whole bucket: so no link within a bucket is lost, while a bucket
-    of copies of one text costs a comparison for each member. reps: (key, bands).
+    Each bucket is compared with its smallest member first. Then only pairs of one bucket that lie in different
+    components still matter. Members outside the bucket's main component become heads, twice as many each round, and a
+    head is compared with all its bucket's members in other components. So no link that could join two classes is lost,
+    while copies and near copies of one text cost a comparison each. reps: (key, bands).
     """
     band = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
     size = band.groupBy("band", "bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     band = staged(band.join(size, ["band", "bucket"]).select("key", "band", "bucket", "head"), "bands")
-    ids = band.select("key").distinct()
-    cell = staged(shingled(only(texts, staged(ids, "ids"))), "cells")
+    ids = staged(band.select("key").distinct(), "ids")
+    cell = staged(shingled(only(texts, ids)), "cells")
     pairs = band.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    done: DataFrame | None = None
+    done = served = None
     heads = 4
     while True:
         sides = pairs.join(cell.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(cell.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
         tested = staged(sides.select("a", "b", similarity("ca", "cb").alias("similarity")), "pairs")
         done = tested if done is None else done.unionByName(tested)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
-        # Rows of a bucket without a link to a member that has been a head: they are to be heads.
-        linked = good.union(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if heads == 4:
-            alone = band.where("key <> head").join(good.select(F.col("a").alias("head"), F.col("b").alias("key")), ["head", "key"], "left_anti").select("band", "bucket", "key")
-        else:
-            alone = open_rows.join(chosen, ["band", "bucket", "key"], "left_anti")
-            served = chosen.select("band", "bucket", F.col("key").alias("a")).join(linked, "a").select("band", "bucket", F.col("b").alias("key")).distinct()
-            alone = alone.join(served, ["band", "bucket", "key"], "left_anti")
-        open_rows = staged(alone, "open")
-        if open_rows.isEmpty():
-            return done.where(F.col("similarity") >= threshold)
+        label = components(good)
+        rows = band.select("band", "bucket", "key").join(label, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("label"))
+        mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
+        rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
+        open_rows = rows.where("label <> main")
+        if served is not None:
+            open_rows = open_rows.join(served, ["band", "bucket", "key"], "left_anti")
         in_bucket = Window.partitionBy("band", "bucket").orderBy("key")
-        chosen = staged(open_rows.withColumn("r", F.row_number().over(in_bucket)).where(F.col("r") <= heads).drop("r"), "heads")
+        chosen = staged(open_rows.withColumn("r", F.row_number().over(in_bucket)).where(F.col("r") <= heads).drop("r", "main"), "heads")
+        if chosen.isEmpty():
+            return good
+        now = chosen.select("band", "bucket", "key")
+        served = now if served is None else served.unionByName(now)
         heads *= 2
-        wide = chosen.select("band", "bucket", F.col("key").alias("h")).join(band.select("band", "bucket", "key"), ["band", "bucket"]).where("h <> key")
+        wide = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl")).join(rows, ["band", "bucket"]).where("hl <> label")
         pairs = wide.select(F.least("h", "key").alias("a"), F.greatest("h", "key").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) of every id: class_id is the smallest id of the documents linked to it.
+    """(doc_id, class_id) of every id: class_id is the smallest id of the documents linked to it.
 
     Exact copies share the class of their first; different texts are linked where the weighted Jaccard similarity of
-    their 5-word shingles reaches the threshold; classes are the connected components. n_links counts a text's verified
-    links to different texts. Null and empty texts, and texts of white space, are near only to texts equal to them. Rows
+    their 5-word shingles reaches the threshold; classes are the connected components. Null and empty texts, and texts of white space, are near only to texts equal to them. Rows
     with a null id are left out, since no class can name them; rows that repeat an id count as one document, with the
     text that sorts first by its digest. Other columns are left out.
     """
@@ -259,8 +259,25 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     first = each.groupBy("digest").agg(F.min("key").alias("rep"))
     member = staged(each.join(first, "digest").select("key", "rep", "digest"), "members")
     reps = rows_.join(member.where("key = rep").select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).where(F.size("bands") > 0).select("key", "bands")
-    found = staged(links(texts, reps, threshold), "found")
-    root = components(found.select("a", "b"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    out = member.join(root.select(F.col("key").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    return out.select(F.col("key").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    root = components(links(texts, reps, threshold))
+    out = member.join(root.select(F.col("key").alias("rep"), "root"), "rep", "left")
+    return out.select(F.col("key").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
+
+
+def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Rows of docs, with their own columns, that are the first of their class of near duplicates, by id.
+
+    Rows without an id stay. Of rows that repeat an id one stays, the least by its text. The text moves only where more
+    ids go than can be broadcast.
+    """
+    classes = staged(near_duplicates(docs, threshold), "classes")
+    gone = classes.where("doc_id <> class_id").select("doc_id")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    twice = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    few = twice.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    twice = F.broadcast(twice) if few else twice
+    again = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return left.join(twice, "doc_id", "left_anti").unionByName(again)
