@@ -20,8 +20,8 @@ from .tokens import PRE_TOKEN, byte_alphabet
 
 #: Penalties in padding tokens: what a cut at a sentence end, or at any other place within a document, may cost.
 SENTENCE_CUT, HARD_CUT = 4, 12
-#: Places without a sentence end for so many tokens get hard cuts at this distance.
-HARD_STEP = 256
+#: Stretches without a sentence end for so many tokens get hard cuts at this distance.
+LONG_GAP, HARD_STEP = 256, 32
 #: Tokens of one dynamic program; the window left open at its end begins the next one.
 BLOCK = 1 << 19
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -65,7 +65,7 @@ def encoder(path: str) -> Encoder:
 def cut_points(bounds: np.ndarray, sentence: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places where a window may end, with the penalty of each; 0 and total are among them."""
     soft = np.union1d(np.union1d(bounds, sentence), [0, total])
-    gap = np.flatnonzero(np.diff(soft) > HARD_STEP)
+    gap = np.flatnonzero(np.diff(soft) > LONG_GAP)
     hard = [np.arange(soft[g] + HARD_STEP, soft[g + 1], HARD_STEP) for g in gap]
     points = np.union1d(soft, np.concatenate(hard)) if hard else soft
     penalty = np.full(len(points), HARD_CUT, np.int64)
