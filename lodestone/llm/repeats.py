@@ -1,9 +1,11 @@
 """Removal of long repeated byte strings by run-length indexes (operator 1).
 
-Equal strings of `length` bytes have equal anchors, the least hash of their inner 16-byte strings, wherever they stand.
-So documents are cut into segments of neighbouring windows with one anchor, and segments meet by anchor: every task gets
-all windows of its anchors, indexes their distinct text once and streams it through the index. Work and shuffle are
-linear in the text; no pairs of documents are formed.
+Equal strings of `length` bytes have equal anchors, the leftmost least hash of their inner 16-byte strings, wherever they
+stand. So documents are cut into segments of neighbouring windows with one anchor. First only hashes of the segments
+meet, by anchor, and tell which can hold anything shared: a window of 50 bytes holds the anchor and at least 17 bytes
+beside it on one side, so one of two hashes of 33 bytes must be shared. Then the text of those segments meets; every
+task indexes its distinct text once and streams it through the index. Work and shuffle are linear in the text; no pairs
+of documents are formed.
 """
 
 from __future__ import annotations
@@ -20,21 +22,28 @@ from .common import mix64, staged
 from .lines import NO_ID
 
 LENGTH, ANCHOR = 50, 16
-#: Bytes of text hashed at once in a task, windows a segment has at most, and bytes of text for one index.
-BATCH_BYTES, MOST_WINDOWS, INDEX_BYTES = 4_000_000, 512, 16_000_000
+#: Bytes of text hashed at once in a task (longer texts go in overlapping pieces), of text whose hashes meet in a task,
+#: and of segments' text for one index.
+BATCH_BYTES, SKETCH_BYTES, INDEX_BYTES = 2_000_000, 16_000_000, 6_000_000
 #: Ids that are broadcast at most (32 MB); beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
+SKETCHES = "part int, about binary, n int"
 SEGMENTS = "part int, texts binary, about binary, n int"
+CANDIDATES = "id long, sub long, start int, stop int, route long"
 SPANS = "id long, sub long, start int, stop int"
+PLACE = np.uint64((1 << 24) - 1)
 
 
-def segments(buffer: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, begin, end, document) of the segments of texts that lie one after another in buffer."""
+def segments(buffer: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Segments of texts that lie one after another in buffer: begin, end, document, anchor, and the hashes of the
+    anchor with what follows (right) and what precedes it (left) within a window."""
     n = len(buffer)
     wide = np.zeros(n + ANCHOR, np.uint8)
     wide[:n] = buffer
-    eight = np.lib.stride_tricks.as_strided(wide[: n + 8].view(), (n + 1, 8), (1, 1)).copy().view("<u8").ravel()
-    least = mix64(mix64(eight[:n]) + np.r_[eight[8:], np.zeros(7, np.uint64)][:n])
+    eight = np.lib.stride_tricks.as_strided(wide, (n + 8, 8), (1, 1)).copy().view("<u8").ravel()
+    hashes = mix64(mix64(eight[:n]) + eight[8:])
+    del eight
+    least = hashes & ~PLACE | np.arange(n, dtype=np.uint64)
     reach, span = length - ANCHOR + 1, 1
     while span < reach:  # minima over `reach` neighbours by doubling
         d = min(span, reach - span)
@@ -42,61 +51,156 @@ def segments(buffer: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.nda
         span += d
     stops = np.cumsum(sizes)
     counts = np.maximum(sizes - length + 1, 0)
-    doc = np.repeat(np.arange(len(sizes)), counts)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(stops - sizes, counts)
+    at = ranges(stops - sizes, counts)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     if not len(at):
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    anchor = least[at]
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
-    place = np.arange(len(at))
-    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % MOST_WINDOWS == 0
-    first = np.flatnonzero(new)
+        return {k: np.zeros(0, np.int64) for k in ("begin", "end", "doc")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "right", "left")}
+    best = least[at]
+    first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])])
+    place = (best[first] & PLACE).astype(np.int64)
     last = np.r_[first[1:], len(at)] - 1
-    return anchor[first], at[first], at[last] + length, doc[first]
+    beside = length - ANCHOR >> 1
+    anchor = hashes[place]
+    right = mix64(anchor + mix64(hashes[np.minimum(place + beside, n - 1)]))
+    left = mix64(mix64(anchor) + hashes[np.maximum(place - beside, 0)])
+    return {"begin": at[first], "end": at[last] + length, "doc": doc[first], "anchor": anchor, "right": right, "left": left}
 
 
-def cut(length: int, parts: int):
-    """Rows of SEGMENTS: for each batch of documents and part of the anchors, the segments' text and what they are."""
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + counts[0] - 1, starts[1], ..."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(id, sub, offset, bytes) by about BATCH_BYTES; longer texts in pieces that overlap by length - 1 bytes."""
+    out, held = [], 0
+    for b in batches:
+        for i, s, t in zip(b.column("id").to_pylist(), b.column("sub").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+            for at in range(0, max(len(t) - length + 1, 0), BATCH_BYTES):
+                piece = t[at : at + BATCH_BYTES + length - 1] if len(t) > BATCH_BYTES else t
+                out.append((i, s, at, piece))
+                held += len(piece)
+                if held >= BATCH_BYTES:
+                    yield out
+                    out, held = [], 0
+    if out:
+        yield out
+
+
+def by_part(route: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    part = ((route >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    return part, ((int(part[order[a]]), order[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def columns(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+SKETCH_KINDS = ["<u2", "<u4", "<u4", "<i4", "<u2", "<i8", "<i8"]
+
+
+def sketch(length: int, parts: int):
+    """Rows of SKETCHES: hashes and places of the segments, by batch and part of the anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for some in pieces(batches, length):
+            sizes = np.array([len(x[3]) for x in some], np.int64)
+            found = segments(np.frombuffer(b"".join(x[3] for x in some), np.uint8), sizes, length)
+            doc = found["doc"]
+            id_, sub, offset = (np.array(c, np.int64) for c in list(zip(*some, strict=True))[:3])
+            start = (found["begin"] - (np.cumsum(sizes) - sizes)[doc] + offset[doc]).astype(np.int32)
+            size = (found["end"] - found["begin"]).astype(np.uint16)
+            route = mix64(found["anchor"])
+            rows: tuple[list, list, list] = ([], [], [])
+            for p, k in by_part(route, parts)[1]:
+                step = np.where(np.r_[False, doc[k][1:] == doc[k][:-1]], np.diff(start[k], prepend=0), start[k]).astype(np.int32)
+                cols = [(route[k] >> np.uint64(24) & np.uint64(0xFFFF)).astype("<u2"), (found["right"][k] >> np.uint64(32)).astype("<u4"), (found["left"][k] >> np.uint64(32)).astype("<u4"), step, size[k], id_[doc[k]], sub[doc[k]]]
+                for col, x in zip(rows, (p, press.compress(b"".join(c.tobytes() for c in cols)), len(k)), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int32())], ["part", "about", "n"])
+
+    return run
+
+
+def absolute(step: np.ndarray, id_: np.ndarray, sub: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """Starts from steps, which begin anew with each document of a batch."""
+    anew = np.r_[True, (id_[1:] != id_[:-1]) | (sub[1:] != sub[:-1]) | (batch[1:] != batch[:-1]) | (step[1:] <= 0)] if len(step) else np.zeros(0, bool)
+    total = np.cumsum(step.astype(np.int64))
+    base = np.maximum.accumulate(np.where(anew, np.arange(len(step)), 0))
+    return total - total[base] + step[base]
+
+
+def in_two(key: np.ndarray, id_: np.ndarray) -> np.ndarray:
+    """Where key is one that two documents have."""
+    order = np.argsort(key)
+    edge = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else order
+    least, most = np.minimum.reduceat(id_[order], edge), np.maximum.reduceat(id_[order], edge)
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(least < most, np.diff(np.r_[edge, len(order)]))
+    return out
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of CANDIDATES: the segments of a part of the anchors that share a 33-byte hash with another document."""
+    cols: list[list[np.ndarray]] = []
+    for b in batches:
+        for row in b.to_pylist():
+            low, *others = columns(row["about"], row["n"], SKETCH_KINDS)
+            cols.append([low.astype(np.int64) | row["part"] << 16, *others])
+    if not cols:
+        return
+    batch = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c[0]) for c in cols])
+    route, right, left, step, size, id_, sub = (np.concatenate(c) for c in zip(*cols, strict=True))
+    cols.clear()
+    start = absolute(step, id_, sub, batch)
+    keep = np.flatnonzero(in_two(right, id_) | in_two(left, id_))
+    for a in range(0, len(keep), 100_000):
+        k = keep[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(id_[k]), pa.array(sub[k]), pa.array(start[k].astype(np.int32)), pa.array((start[k] + size[k]).astype(np.int32)), pa.array(route[k])], ["id", "sub", "start", "stop", "route"])
+
+
+def cut(parts: int):
+    """Rows of SEGMENTS: the text of the candidates of documents, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
+        held: list[tuple[int, int, int, int, bytes]] = []
+        size = 0
 
-        def rows(ids: list[int], subs: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in texts], np.int64)
-            whole = b"".join(texts)
-            anchor, begin, end, doc = segments(np.frombuffer(whole, np.uint8), sizes, length)
-            mixed = mix64(anchor)
-            part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        def rows() -> pa.RecordBatch:
+            part = np.array([x[0] for x in held], np.int64)
             order = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-            at = (np.cumsum(sizes) - sizes)[doc]
-            id_of, sub_of = np.array(ids, np.int64), np.array(subs, np.int64)
+            edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
             out: tuple[list, list, list, list] = ([], [], [], [])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                k = order[a:b]
-                text = b"".join([whole[s:e] for s, e in zip(begin[k].tolist(), end[k].tolist(), strict=True)])
-                start = begin[k] - at[k]
-                same = np.r_[False, doc[k][1:] == doc[k][:-1]]
-                step = np.where(same, np.diff(start, prepend=0), start).astype(np.int32)
-                about = b"".join([mixed[k].astype(np.uint32).tobytes(), (end[k] - begin[k]).astype(np.uint16).tobytes(), step.tobytes(), id_of[doc[k]].tobytes(), sub_of[doc[k]].tobytes()])
-                for col, x in zip(out, (int(part[k[0]]), press.compress(text), press.compress(about), len(k)), strict=True):
+                mine = [held[i] for i in order[a:b].tolist()]
+                id_, sub, start = (np.array([x[c] for x in mine], np.int64) for c in (1, 2, 3))
+                about = b"".join([np.array([len(x[4]) for x in mine], "<u2").tobytes(), start.astype("<i4").tobytes(), id_.tobytes(), sub.tobytes()])
+                for col, x in zip(out, (mine[0][0], press.compress(b"".join(x[4] for x in mine)), press.compress(about), len(mine)), strict=True):
                     col.append(x)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())], ["part", "texts", "about", "n"])
 
-        ids, subs, texts, held = [], [], [], 0
         for b in batches:
-            for i, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(t) < length:
-                    continue
-                ids.append(i)
-                subs.append(s)
-                texts.append(t)
-                held += len(t)
-                if held >= BATCH_BYTES:
-                    yield rows(ids, subs, texts)
-                    ids, subs, texts, held = [], [], [], 0
-        if texts:
-            yield rows(ids, subs, texts)
+            for i, row in enumerate(b.column("found")):
+                text, id_, sub = b.column("bytes")[i].as_py(), b.column("id")[i].as_py(), b.column("sub")[i].as_py()
+                flat = row.values
+                start, stop = flat.field("start").to_pylist(), flat.field("stop").to_pylist()
+                route = ((mix64(flat.field("route").to_numpy()) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).tolist()
+                held += [(r, id_, sub, s, text[s:e]) for r, s, e in zip(route, start, stop, strict=True)]
+                size += 70 * len(start)
+                if size > 2 * BATCH_BYTES:
+                    yield rows()
+                    held.clear()
+                    size = 0
+        if held:
+            yield rows()
 
     return run
 
@@ -201,54 +305,24 @@ class RunLengthIndex:
         return out
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], ..., starts[0] + counts[0] - 1, starts[1], ..."""
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-
-
 def marked(length: int):
     """Rows of SPANS from all segments of a part: what also starts in a document with a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, cols = [], ([], [], [], [], [])
+        known: dict[bytes, int] = {}
+        which_, starts, ids, subs = [], [], [], []
         for b in batches:
             for row in b.select(["texts", "about", "n"]).to_pylist():
-                n, about = row["n"], zstandard.decompress(row["about"])
-                blobs.append(row["texts"])
-                at = 0
-                for col, kind in zip(cols, ("<u4", "<u2", "<i4", "<i8", "<i8"), strict=True):
-                    col.append(np.frombuffer(about, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-        if not blobs:
-            return
-        anchor, size, step, id_, sub = (np.concatenate(c) for c in cols)
-        size = size.astype(np.int64)
-        # Starts are given as steps within a document and batch.
-        batch = np.repeat(np.arange(len(blobs)), [len(c) for c in cols[0]])
-        fresh_doc = np.r_[True, (id_[1:] != id_[:-1]) | (sub[1:] != sub[:-1]) | (batch[1:] != batch[:-1]) | (step[1:] <= 0)]
-        total = np.cumsum(step.astype(np.int64))
-        base = np.maximum.accumulate(np.where(fresh_doc, np.arange(len(step)), 0))
-        start = total - total[base] + step[base]
-        # Only anchors that two documents have can hold anything shared.
-        order = np.argsort(anchor, kind="stable")
-        edge = np.flatnonzero(np.r_[True, np.diff(anchor[order]) != 0]) if len(order) else order
-        least, most = np.minimum.reduceat(id_[order], edge), np.maximum.reduceat(id_[order], edge)
-        shared = np.zeros(len(anchor), bool)
-        shared[order] = np.repeat(least < most, np.diff(np.r_[edge, len(order)]))
-        known: dict[bytes, int] = {}
-        which = np.full(len(anchor), -1, np.int64)
-        first = 0
-        for blob, c in zip(blobs, cols[0], strict=True):
-            text = zstandard.decompress(blob)
-            here = np.flatnonzero(shared[first : first + len(c)])
-            stop = np.cumsum(size[first : first + len(c)])
-            for i, e, s in zip(here.tolist(), stop[here].tolist(), size[first + here].tolist(), strict=True):
-                which[first + i] = known.setdefault(text[e - s : e], len(known))
-            first += len(c)
+                size, start, id_, sub = columns(row["about"], row["n"], ["<u2", "<i4", "<i8", "<i8"])
+                text = zstandard.decompress(row["texts"])
+                stop = np.cumsum(size.astype(np.int64))
+                which_.append(np.fromiter((known.setdefault(text[e - s : e], len(known)) for e, s in zip(stop.tolist(), size.tolist(), strict=True)), np.int64, row["n"]))
+                starts.append(start)
+                ids.append(id_)
+                subs.append(sub)
         if not known:
             return
-        keep = np.flatnonzero(which >= 0)
-        which, id_, sub, start = which[keep], id_[keep], sub[keep], start[keep]
+        which, start, id_, sub = (np.concatenate(c) for c in (which_, starts, ids, subs))
         sizes = np.fromiter(map(len, known), np.int64, len(known))
         owners = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(owners, which, id_)
@@ -299,20 +373,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Null and empty texts, and those shorter than `length`, keep all. Rows that share an id don't shorten each other, and
     rows of equal id and text come out alike; rows without an id count as the largest id. Other columns are left out; an
-    empty table stays empty. A segment of more than MOST_WINDOWS windows with one anchor, as in a text of one repeated
-    letter, is cut with overlap, so no row grows without bound.
+    empty table stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("bytes"))
     rows = rows.withColumn("sub", F.xxhash64("bytes"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(16, -(-total // INDEX_BYTES))
-    cut_up = rows.select("id", "sub", "bytes").mapInArrow(cut(length, parts), SEGMENTS)
-    spans = cut_up.repartitionById(parts, F.col("part")).mapInArrow(marked(length), SPANS)
+    parts = max(16, -(-total // SKETCH_BYTES))
+    sketched = rows.where(F.octet_length("bytes") >= length).select("id", "sub", "bytes").mapInArrow(sketch(length, parts), SKETCHES)
+    likely = sketched.repartitionById(parts, F.col("part")).mapInArrow(candidates, CANDIDATES)
+    likely = staged(likely.groupBy("id", "sub").agg(F.collect_list(F.struct("start", "stop", "route")).alias("found")), "candidates")
+    size = likely.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]))).first()[0] or 0
+    index_parts = max(16, -(-size // INDEX_BYTES))
+    texts = only(rows, likely.select("id", "sub"))[0].join(likely, ["id", "sub"]).select("id", "sub", "bytes", "found").mapInArrow(cut(index_parts), SEGMENTS)
+    spans = texts.repartitionById(index_parts, F.col("part")).mapInArrow(marked(length), SPANS)
     by_doc = staged(spans.groupBy("id", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    few = by_doc.select("id", "sub").limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = by_doc.select("id", "sub")
-    ids = F.broadcast(ids) if few else ids
-    hit = rows.join(ids, ["id", "sub"], "left_semi").join(by_doc, ["id", "sub"]).select("doc_id", "bytes", "spans").mapInArrow(remaining, RESULT)
-    clean = rows.join(ids, ["id", "sub"], "left_anti").select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,stop:int>>").alias("removed"), F.col("bytes").alias("kept"))
+    some, others = only(rows, by_doc.select("id", "sub"))
+    hit = some.join(by_doc, ["id", "sub"]).select("doc_id", "bytes", "spans").mapInArrow(remaining, RESULT)
+    clean = others.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,stop:int>>").alias("removed"), F.col("bytes").alias("kept"))
     return clean.unionByName(hit)
+
+
+def only(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose (id, sub) is among ids, and the others; the text moves only if there are too many ids to broadcast."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids
+    return rows.join(ids, ["id", "sub"], "left_semi"), rows.join(ids, ["id", "sub"], "left_anti")
