@@ -206,20 +206,48 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), "key", "left_semi")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n, key): cells of a batch, how many of its documents have each, and one of them."""
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        cell = [np.frombuffer(x, np.uint32) for x in b.column("cells").to_pylist()]
+        owner = np.repeat(keys, [len(x) for x in cell])
+        found, first, n = np.unique(np.concatenate(cell), return_index=True, return_counts=True) if cell else (np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int))
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32)), pa.array(n.astype(np.int64)), pa.array(owner[first].astype(np.int64))], ["cell", "n", "key"])
+
+
+def solid_sizes(cell: DataFrame) -> DataFrame:
+    """(key, size, solid): cells of a document, and those that another one has too."""
+    single = cell.mapInArrow(counted, "cell int, n long, key long").groupBy("cell").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n = 1")
+    alone = single.groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
+    size = (F.octet_length("cells") / 4).cast("int")
+    return cell.select("key", size.alias("size")).join(alone, "key", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("solid"))
+
+
+def within_reach(size: str, solid: str, other_size: str, other_solid: str, threshold: float):
+    """Whether two documents can reach the threshold: they share no more cells than either has in common with any."""
+    most = F.least(solid, other_solid)
+    return most >= threshold * (F.col(size) + F.col(other_size) - most) - 1e-9
+
+
 def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) whose components are those of all pairs that share a band and reach the threshold.
 
     Each bucket is compared with its smallest member first. Then only pairs of one bucket that lie in different
     components still matter. Members outside the bucket's main component become heads, twice as many each round, and a
     head is compared with all its bucket's members in other components. So no link that could join two classes is lost,
-    while copies and near copies of one text cost a comparison each. reps: (key, bands).
+    while copies and near copies of one text cost a comparison each. Pairs that can't reach the threshold, because too
+    many cells of one are in no other document, are never formed. reps: (key, bands).
     """
     band = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
     size = band.groupBy("band", "bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     band = staged(band.join(size, ["band", "bucket"]).select("key", "band", "bucket", "head"), "bands")
     ids = staged(band.select("key").distinct(), "ids")
     cell = staged(shingled(only(texts, ids)), "cells")
+    sizes = staged(solid_sizes(cell), "sizes")
     pairs = band.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = pairs.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("za"), F.col("solid").alias("sa")), "a").join(sizes.select(F.col("key").alias("b"), F.col("size").alias("zb"), F.col("solid").alias("sb")), "b")
+    pairs = pairs.where(within_reach("za", "sa", "zb", "sb", threshold)).select("a", "b")
     done = served = None
     heads = 4
     while True:
@@ -230,7 +258,7 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         label = components(good)
         rows = band.select("band", "bucket", "key").join(label, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("label"))
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
-        rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
+        rows = staged(rows.join(mixed, ["band", "bucket"]).join(sizes, "key").where(F.col("solid") >= threshold * F.col("size") - 1e-9), "mixed")
         open_rows = rows.where("label <> main")
         if served is not None:
             open_rows = open_rows.join(served, ["band", "bucket", "key"], "left_anti")
@@ -241,7 +269,8 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         now = chosen.select("band", "bucket", "key")
         served = now if served is None else served.unionByName(now)
         heads *= 2
-        wide = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl")).join(rows, ["band", "bucket"]).where("hl <> label")
+        head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"))
+        wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach("hz", "hs", "size", "solid", threshold))
         pairs = wide.select(F.least("h", "key").alias("a"), F.greatest("h", "key").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
