@@ -157,7 +157,7 @@ def platt_calibration(spark, sf_dir):
     """Logistic calibration of a length score on the quality labels; an iterative fit, held against brute force in the tests."""
     x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     scale, bias = ranking.platt(x.select((F.log(F.col("n_chars") + 1.0) - 7.0).alias("s"), "quality"), "s", "quality")
-    return spark.createDataFrame([(scale, bias)], "scale double, bias double")
+    return spark.createDataFrame([(float(scale), float(bias))], "scale double, bias double")
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_filter(string_split({BOOK.format("text")}, ' '), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '[0-9]') AND w NOT IN ({STOP})) AS w FROM documents),
