@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from . import catalog_queries, event_queries, retrieval_queries, text_queries  # noqa: F401
+from . import catalog_queries, document_queries, event_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

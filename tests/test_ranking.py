@@ -150,3 +150,28 @@ def test_snapshots_are_checked_on_restore(spark, tmp_path):
     assert tables.inspected_files(spark, f"{tmp_path}/u/*.parquet").first().fingerprint
 
 
+
+
+def test_budget_skips_what_does_not_fit(spark):
+    from lodestone.operators import documents as d
+
+    items = F.array(*[F.lit("x" * n) for n in (200, 1000, 80, 40, 4)])
+    # 320 characters are 80 tokens: 50, then 250 don't fit, 20, 10 of what is left would leave 0.
+    assert [len(x) for x in one(spark, d.within_budget(items, t.estimated_tokens, 80, 8))] == [200, 80, 40]
+
+
+def test_claims_and_support(spark):
+    from lodestone.operators import documents as d
+
+    terms = lambda s: t.search_terms(F.lit(s))
+    none = F.array().cast("array<string>")
+    errors = lambda a, b, x=none, y=none: one(spark, d.claim_errors(terms(a), terms(b), t.negated(terms(a)), t.negated(terms(b)), x, y))
+    assert errors("Grenzwert beträgt hier viel", "Grenzwert beträgt hier viel mehr") == []
+    assert errors("Grenzwert gilt nicht", "Grenzwert gilt") == ["polarity"]
+    assert errors("Grenzwert gilt", "Grenzwert gilt", F.array(F.lit("42")), none) == ["literal_missing"]
+    assert "overlap" in errors("alpha beta gamma", "delta alpha")
+    best = one(spark, d.best_sentence(F.lit("Erster Satz. Der Beton kriecht stark. Ende."), terms("Beton kriecht")))
+    assert (best.at, best.score) == (1, 1.0)
+    aliases = F.array(*[F.lit(x) for x in ("a b", "c", "a b", "d e f")])
+    assert one(spark, d.bounded_aliases(aliases, 24, 4)) == ["a b", "c"]
+    assert one(spark, d.scrubbed(F.lit('{"k":"s","l":["s","st"]}'), F.lit("s"))) == '{"k":"[removed]","l":["[removed]","st"]}'
