@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from .common import GOLDEN, mix64, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 36 bands of 7 coordinates: a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^7)^36 = 0.9998.
-BANDS, ROWS = 36, 7
+#: 20 bands of 5 coordinates: a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, ROWS = 20, 5
 #: Ids that are broadcast at most (16 MB); beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Words a worker remembers the hash of.
@@ -187,8 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
+        down = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u")
         links = staged(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "links")
@@ -200,6 +199,15 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("key"), "root").union(links.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct().join(roots.select(F.col("u").alias("key")), "key", "left_anti"))
 
 
+def quick_labels(edges: DataFrame) -> DataFrame:
+    """(key, root) of every node of the edges (a, b): the smallest node within a few steps. Equal roots are surely
+    connected; different ones may be too. It costs a fraction of components()."""
+    both = edges.select(F.col("a").alias("key"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("key"), F.col("a").alias("v")))
+    one = both.groupBy("key").agg(F.least(F.min("v"), F.col("key")).alias("root"))
+    two = one.join(one.select(F.col("key").alias("root"), F.col("root").alias("next")), "root").select("key", F.col("next").alias("root"))
+    return two.join(two.select(F.col("key").alias("root"), F.col("root").alias("next")), "root").select("key", F.col("next").alias("root"))
+
+
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is among ids, which are broadcast if they are few enough by count."""
     n = ids.limit(BROADCAST_IDS + 1).count()
@@ -233,9 +241,9 @@ def within_reach(size: str, solid: str, other_size: str, other_solid: str, thres
 def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) whose components are those of all pairs that share a band and reach the threshold.
 
-    Each bucket is compared with its smallest member first. Then only pairs of one bucket that lie in different
-    components still matter. Members outside the bucket's main component become heads, twice as many each round, and a
-    head is compared with all its bucket's members in other components. So no link that could join two classes is lost,
+    Each bucket is compared with its smallest member first. Then only pairs of one bucket that aren't known to be
+    connected still matter. Members outside the bucket's main component become heads, more of them each round, and a
+    head is compared with all its bucket's members under other labels. So no link that could join two classes is lost,
     while copies and near copies of one text cost a comparison each. Pairs that can't reach the threshold, because too
     many cells of one are in no other document, are never formed. reps: (key, bands).
     """
@@ -249,13 +257,13 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     pairs = pairs.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("za"), F.col("solid").alias("sa")), "a").join(sizes.select(F.col("key").alias("b"), F.col("size").alias("zb"), F.col("solid").alias("sb")), "b")
     pairs = pairs.where(within_reach("za", "sa", "zb", "sb", threshold)).select("a", "b")
     done = served = None
-    heads = 4
+    heads = 16
     while True:
         sides = pairs.join(cell.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(cell.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
         tested = staged(sides.select("a", "b", similarity("ca", "cb").alias("similarity")), "pairs")
         done = tested if done is None else done.unionByName(tested)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
-        label = components(good)
+        label = quick_labels(good)
         rows = band.select("band", "bucket", "key").join(label, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("label"))
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
         rows = staged(rows.join(mixed, ["band", "bucket"]).join(sizes, "key").where(F.col("solid") >= threshold * F.col("size") - 1e-9), "mixed")
@@ -268,7 +276,7 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             return good
         now = chosen.select("band", "bucket", "key")
         served = now if served is None else served.unionByName(now)
-        heads *= 2
+        heads *= 8
         head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"))
         wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach("hz", "hs", "size", "solid", threshold))
         pairs = wide.select(F.least("h", "key").alias("a"), F.greatest("h", "key").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
