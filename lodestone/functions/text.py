@@ -168,3 +168,71 @@ def host_policy(url: Column) -> Column:
     private = host.rlike(r"^(10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)")
     loop = host.rlike(r"^(localhost|127\..*|\[::1\])$")
     return F.when(host == "", "invalid").when(~scheme.isin("http", "https"), "scheme").when(authority.contains("@"), "credentials").when(loop, "loopback").when(private, "private").otherwise("allow")
+
+FRAME = r"(?i)^\s*(?:was|wer|wen|wem|wie|wo|wohin|woher|wann|warum|weshalb|wieso|wodurch|womit|wofür|welche[rsnm]?|what|which|how|where|when|why)\b\s*(?:ist|sind|war|waren|wird|werden|bedeutet|heißt|nennt\s+man|versteht\s+man\s+unter|gibt\s+es|macht|kann|können|muss|müssen|darf|dürfen|is|are|does|do)?\s*(?:\b(?:der|die|das|den|dem|des|ein|eine|einen|einem|einer|eines|the|a|an)\b)?\s*"
+FRAME_TAIL = r"(?i)\s*\b(?:gibt\s+es|gibt'?s|kennt\s+man|unterscheidet\s+man|are\s+there)\s*\??\s*$"
+
+
+def retrieval_query(question: Column) -> Column:
+    """A question without its interrogative frame, if three characters or more with a letter or digit remain."""
+    first = F.regexp_extract(question, r"^([^\n]*)", 1)
+    rest = F.substring(question, F.length(first) + 1, F.length(question))
+    stripped = F.btrim(F.regexp_replace(F.regexp_replace(first, FRAME, ""), FRAME_TAIL, ""), F.lit(" \t?!.,;:"))
+    return F.when((F.length(stripped) < 3) | ~stripped.rlike(r"[\p{L}\p{N}]"), question).otherwise(F.concat(stripped, rest))
+
+
+def toc_entry(s: Column) -> Column:
+    """Struct of title and page label of a contents line with dotted leaders, a tab or a wide gap; null for others."""
+    pattern = r"^(.+?)(?:\s*(?:\.\s*){2,}|\t+|\s{2,})(\d+[a-z]?|[ivxlcdm]+)\s*$"
+    title, label = F.regexp_extract(F.trim(s), pattern, 1), F.regexp_extract(F.trim(s), pattern, 2)
+    return F.when(label != "", F.struct(title.alias("title"), label.alias("label")))
+
+
+def numbering_depth(s: Column) -> Column:
+    """Dots in the section number a title begins with; null without a number."""
+    number = F.regexp_extract(s, r"^\s*(\d+(?:\.\d+)*)(?:[.):]?\s+)", 1)
+    return F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))))
+
+
+#: Titles of navigation parts by role (fixed values).
+ROLES = {
+    "toc": ["inhaltsverzeichnis", "inhalt", "contents", "table of contents"],
+    "index": ["sachwortverzeichnis", "stichwortverzeichnis", "sachregister", "subject index", "index"],
+    "glossary": ["glossar", "glossary"],
+    "abbreviations": ["abkurzungsverzeichnis", "abbreviations", "list of abbreviations"],
+    "symbols": ["symbolverzeichnis", "nomenklatur", "nomenclature", "list of symbols"],
+    "figures": ["abbildungsverzeichnis", "list of figures"],
+    "tables": ["tabellenverzeichnis", "list of tables"],
+    "formulas": ["formelverzeichnis", "gleichungsverzeichnis", "list of equations"],
+}
+
+
+def heading_role(s: Column) -> Column:
+    name = book_text(s)
+    out = F.lit(None).cast("string")
+    for role, names in ROLES.items():
+        out = F.when(name.isin(names), role).otherwise(out)
+    return out
+
+
+def line_kind(s: Column) -> Column:
+    """table, formula, list or prose by a line's marks."""
+    pipes = F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
+    return F.when(pipes >= 2, "table").when(s.rlike(r"[=≤≥≈∑√]"), "formula").when(s.rlike(r"^\s*(?:[-*•]|\d+[.)])\s"), "list").otherwise("prose")
+
+
+def facets(question: Column, most: int) -> Column:
+    """Distinct clauses of a question, `most` at most, the question itself if there is none."""
+    q = one_space(question)
+    parts = F.filter(F.transform(F.split(q, CLAUSE), lambda c: F.btrim(c, F.lit(" \t\r\n-–—,.;:?"))), lambda c: c != "")
+    return F.slice(F.when(F.size(parts) > 0, F.array_distinct(parts)).otherwise(F.array(q)), 1, most)
+
+
+def verdict(s: Column) -> Column:
+    """supported, refuted or unclear, by the first verdict word of a reply; null without one."""
+    word = F.upper(F.regexp_extract(s, r"(?i)\b(BELEGT|WIDERLEGT|UNKLAR)\b", 1))
+    return F.when(word == "BELEGT", "supported").when(word == "WIDERLEGT", "refuted").when(word == "UNKLAR", "unclear")
+
+
+def slug(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.translate(folded(s), *ACCENTS), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -39,3 +39,66 @@ def carried(value: Column, by: list[str], order: list[str]) -> Column:
 def over_budget(df: DataFrame, by: list[str], order: list[Column], size: str, limit: int) -> DataFrame:
     """Adds used, the running sum, and evicted, whether it passes limit."""
     return df.withColumn("used", F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("evicted", F.col("used") > limit)
+
+
+def outline(df: DataFrame, by: str, order: str, depth: str, start: str, deepest: int) -> DataFrame:
+    """Adds parent, the order of the nearest node before of smaller depth, and end, the start of the next node that is
+    not deeper, less one (null at the end). One window pass for each level of a bounded depth, no self join."""
+    place = Window.partitionBy(by).orderBy(order)
+    before, after = place.rowsBetween(Window.unboundedPreceding, -1), place.rowsBetween(1, Window.unboundedFollowing)
+    parent, end = F.lit(None), F.lit(None)
+    for d in range(1, deepest + 1):
+        parent = F.when(F.col(depth) == d, F.max(F.when(F.col(depth) < d, F.col(order))).over(before)).otherwise(parent)
+        end = F.when(F.col(depth) == d, F.first(F.when(F.col(depth) <= d, F.col(start)), ignorenulls=True).over(after) - 1).otherwise(end)
+    return df.withColumn("parent", parent).withColumn("end", end)
+
+
+def ancestors(nodes: DataFrame, node: str, parent: str, deepest: int) -> DataFrame:
+    """(node, path, cyclic): ids from the root to each node; a walk of more than `deepest` steps is a cycle.
+
+    One join for each level; every level keeps only the nodes that still have a parent.
+    """
+    up = nodes.select(F.col(node).alias("up"), F.col(parent).alias("above"))
+    walk = nodes.select(F.col(node).alias("node"), F.col(parent).alias("at"), F.array(F.col(node)).alias("path"))
+    done = []
+    for _ in range(deepest):
+        done.append(walk.where("at IS NULL").select("node", "path", F.lit(False).alias("cyclic")))
+        walk = walk.where("at IS NOT NULL").join(up, F.col("at") == F.col("up")).select("node", F.col("above").alias("at"), F.concat(F.array("at"), "path").alias("path"))
+    done.append(walk.select("node", "path", F.col("at").isNotNull().alias("cyclic")))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def regions(df: DataFrame, by: str, order: str, flag: str, gap: int) -> DataFrame:
+    """(by, first, last, n): runs of flagged rows whose places differ by `gap` at most."""
+    p = df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(flag)
+    place = Window.partitionBy(by).orderBy("place")
+    p = p.withColumn("new", (F.col("place") - F.lag("place").over(place) > gap).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(place))
+    return p.groupBy(by, "run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).drop("run")
+
+
+def aligned(pairs: DataFrame, by: str, left: str, right: str, score: str, least: float) -> DataFrame:
+    """(by, left, right): the chain of pairs that rises on both sides with the greatest sum of scores of `least` or more.
+
+    Sequential within a book, whose outline bounds the pairs of a group.
+    """
+
+    def run(key, pdf):
+        import pandas as pd
+
+        rows = sorted((a, b, s) for a, b, s in zip(pdf[left], pdf[right], pdf[score], strict=True) if s >= least)
+        best: list[tuple[float, int]] = []
+        for i, (a, b, s) in enumerate(rows):
+            prior = max(((best[j][0], -j) for j in range(i) if rows[j][0] < a and rows[j][1] < b), default=(0.0, 1))
+            best.append((prior[0] + s, -prior[1]))
+        at = max(range(len(rows)), key=lambda i: (best[i][0], -i), default=-1)
+        out = []
+        while at >= 0:
+            out.append((key[0], rows[at][0], rows[at][1]))
+            at = best[at][1]
+        return pd.DataFrame(out[::-1], columns=[by, left, right])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {left} {kinds[left]}, {right} {kinds[right]}")
