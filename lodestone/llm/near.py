@@ -232,6 +232,16 @@ def solid_sizes(cell: DataFrame) -> DataFrame:
     return cell.select("key", size.alias("size")).join(alone, "key", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("solid"))
 
 
+def within_reach_by_head(threshold: float):
+    """Whether a head h and a member x of one bucket can reach the threshold, by what both share with the bucket's first
+    member b: |h & x| <= min(|h & b|, |x & b|) + the fewer of their other cells that more than one document has. Where
+    one of them was never compared with b, the first bound alone holds."""
+    other = lambda solid, common: F.greatest(F.col(solid) - F.col(common), F.lit(0))
+    most = F.least("hc", "common") + F.least(other("hs", "hc"), other("solid", "common"))
+    most = F.least("hs", "solid", F.coalesce(most, F.col("hs")))
+    return most >= threshold * (F.col("hz") + F.col("size") - most) - 1e-9
+
+
 def within_reach(size: str, solid: str, other_size: str, other_solid: str, threshold: float):
     """Whether two documents can reach the threshold: they share no more cells than either has in common with any."""
     most = F.least(solid, other_solid)
@@ -261,12 +271,20 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     while True:
         sides = pairs.join(cell.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(cell.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
         tested = staged(sides.select("a", "b", similarity("ca", "cb").alias("similarity")), "pairs")
+        if done is None:
+            # What each member shares with the first of its bucket, as far as they were compared.
+            with_head = band.join(tested.select(F.col("a").alias("head"), F.col("b").alias("key"), "similarity"), ["head", "key"], "left").join(sizes, "key")
+            head_size = sizes.select(F.col("key").alias("head"), F.col("size").alias("head_size"))
+            both = F.col("size") + F.col("head_size")
+            common = F.when(F.col("key") == F.col("head"), F.col("size")).otherwise(F.round(F.col("similarity") * both / (1 + F.col("similarity"))).cast("int"))
+            with_head = with_head.where(F.col("solid") >= threshold * F.col("size") - 1e-9).join(head_size, "head")
+            band = staged(with_head.select("band", "bucket", "key", "size", "solid", common.alias("common")), "compared")
         done = tested if done is None else done.unionByName(tested)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
         label = quick_labels(good)
-        rows = band.select("band", "bucket", "key").join(label, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("label"))
+        rows = band.join(label, "key", "left").select("band", "bucket", "key", "size", "solid", "common", F.coalesce("root", "key").alias("label"))
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
-        rows = staged(rows.join(mixed, ["band", "bucket"]).join(sizes, "key").where(F.col("solid") >= threshold * F.col("size") - 1e-9), "mixed")
+        rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
         open_rows = rows.where("label <> main")
         if served is not None:
             open_rows = open_rows.join(served, ["band", "bucket", "key"], "left_anti")
@@ -277,8 +295,8 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         now = chosen.select("band", "bucket", "key")
         served = now if served is None else served.unionByName(now)
         heads *= 8
-        head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"))
-        wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach("hz", "hs", "size", "solid", threshold))
+        head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"), F.col("common").alias("hc"))
+        wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach_by_head(threshold))
         pairs = wide.select(F.least("h", "key").alias("a"), F.greatest("h", "key").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
