@@ -24,7 +24,7 @@ from .lines import NO_ID
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text hashed at once in a task (longer texts go in overlapping pieces), of text whose hashes meet in a task,
 #: and of segments' text for one index.
-BATCH_BYTES, SKETCH_BYTES, INDEX_BYTES = 2_000_000, 16_000_000, 6_000_000
+BATCH_BYTES, SKETCH_BYTES, INDEX_BYTES = 2_000_000, 16_000_000, 5_000_000
 #: Ids that are broadcast at most (32 MB); beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
 SKETCHES = "part int, about binary, n int"
@@ -218,22 +218,17 @@ class RunLengthIndex:
         self.text, self.stops, self.begins = text, np.cumsum(sizes), np.cumsum(sizes) - sizes
         stop = np.repeat(self.stops, sizes)
         place = np.arange(n)
-        rank = self.initial(text, stop, place)
-        have = 7
+        rank, have = self.initial(text, stop, place)
         while have * 2 <= depth:
-            rank = self.refined(rank, stop, place, have)
+            rank = self.ranked(self.paired(rank, stop, place, have))[0]
             have *= 2
         shift = depth - have  # equal to `have` bytes here and `shift` further on is equal to depth bytes
-        short = self.paired(rank, stop, place, shift - 1)
-        key = self.paired(rank, stop, place, shift)
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-        self.class_of = np.cumsum(new) - 1
-        self.owner = np.minimum.reduceat(np.repeat(owners, sizes)[order], np.flatnonzero(new)) if n else np.zeros(0, np.int64)
+        short = self.paired(rank, stop, place, shift - 1) if shift else None
+        rank, order = self.ranked(self.paired(rank, stop, place, shift) if shift else rank)
+        self.class_of = (rank[order] - np.uint64(1)).astype(np.int32)
+        self.owner = np.minimum.reduceat(np.repeat(owners, sizes)[order], np.flatnonzero(np.r_[True, np.diff(self.class_of) != 0]))
         context = short[order]
-        edge = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        self.context = np.searchsorted(edge, place, "right")
+        self.context = np.cumsum(np.r_[True, context[1:] != context[:-1]], dtype=np.int32)
         # Byte before each suffix: 0 in front of a string, else byte + 1.
         before = np.where(order == np.repeat(self.begins, sizes)[order], 0, text[order - 1].astype(np.int16) + 1)
         self.heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
@@ -245,6 +240,7 @@ class RunLengthIndex:
         self.seen = np.zeros(len(self.heads), np.int64)  # of the run's byte in runs before it
         self.seen[by_byte] = sums - np.maximum.accumulate(np.where(group, sums, 0))
         self.tails = self.heads + run_size - 1
+        self.run_of = np.repeat(np.arange(len(self.heads), dtype=np.int32), run_size)
         self.keys = self.run_byte[by_byte].astype(np.int64) << 40 | by_byte  # runs of a byte in order
         # Suffixes that begin with smaller bytes, and those of one byte, which no step leads to, before longer ones.
         counts = np.bincount(text, minlength=256)
@@ -254,55 +250,67 @@ class RunLengthIndex:
         self.last_place = inverse[self.stops - 1]  # sample of each string's last suffix
 
     @staticmethod
-    def initial(text: np.ndarray, stop: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Ranks, from 1, by the first 7 bytes; 9 bits each, so the end of a string sorts before byte 0."""
+    def initial(text: np.ndarray, stop: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ranks, from 1, by the first bytes, and how many these are: as many as fit 42 bits when the bytes that occur
+        are numbered from 1, in order; 0 is the end of a string."""
+        code = np.cumsum(np.bincount(text, minlength=256) > 0)
+        bits = int(code[-1]).bit_length()
+        first = min(42 // bits, 8)
+        wide = np.r_[code[text].astype(np.uint64), np.zeros(first, np.uint64)]
         key = np.zeros(len(text), np.uint64)
-        wide = np.r_[text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)]
-        for i in range(7):
-            key = key << np.uint64(9) | np.where(place + i < stop, wide[i : i + len(text)], np.uint64(0))
-        return RunLengthIndex.ranked(key)
+        for i in range(first):
+            key = key << np.uint64(bits) | np.where(place + i < stop, wide[i : i + len(text)], np.uint64(0))
+        return RunLengthIndex.ranked(key)[0], first
 
     @staticmethod
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        ordered = key[order]
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dense ranks from 1, and the order. Keys that leave room for their places are sorted with them in one word."""
+        bits = max(len(key).bit_length(), 1)
+        if int(key.max(initial=0)).bit_length() + bits <= 64:
+            both = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+            order, ordered = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         rank = np.empty(len(key), np.uint64)
         rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
-        return rank
+        return rank, order
 
     @staticmethod
     def paired(rank: np.ndarray, stop: np.ndarray, place: np.ndarray, by: int) -> np.ndarray:
         later = np.zeros(len(rank), np.uint64)
         later[: len(rank) - by] = rank[by:]
         later[place + by >= stop] = 0
-        return rank << np.uint64(32) | later
-
-    def refined(self, rank: np.ndarray, stop: np.ndarray, place: np.ndarray, by: int) -> np.ndarray:
-        return self.ranked(self.paired(rank, stop, place, by))
+        return rank << np.uint64(max(len(rank).bit_length(), 1)) | later
 
     def matches(self) -> np.ndarray:
         """For each byte the smallest document with the `depth` bytes that begin there, streaming all strings at once
         from their ends through the index."""
-        out = np.empty(len(self.text), np.int64)
-        string = np.argsort(-(self.stops - self.begins), kind="stable")
+        places = np.empty(len(self.text), np.int64)
+        string = np.argsort(self.begins - self.stops, kind="stable")  # the longest first: those that end drop off the end
         place, at = self.last_place[string], self.stops[string] - 1
         begin = self.begins[string]
-        while len(place):
-            out[at] = self.owner[self.class_of[place]]
-            live = at > begin
-            place, at, begin = place[live], at[live] - 1, begin[live]
-            byte = self.text[at].astype(np.int64) + 1
-            run = np.searchsorted(self.heads, place, "right") - 1
-            off = np.flatnonzero(self.run_byte[run] != byte)
-            if len(off):
-                nearest = np.searchsorted(self.keys, byte[off] << 40 | run[off])
-                up = self.keys[np.maximum(nearest - 1, 0)] & (1 << 40) - 1
-                down = self.keys[np.minimum(nearest, len(self.keys) - 1)] & (1 << 40) - 1
-                above = (nearest > 0) & (self.run_byte[up] == byte[off]) & (self.context[self.tails[up]] == self.context[place[off]])
-                run[off] = np.where(above, up, down)
-                place[off] = np.where(above, self.tails[up], self.heads[down])
-            place = self.first[byte - 1] + self.seen[run] + place - self.heads[run]
-        return out
+        length = (self.stops - self.begins)[string]
+        left = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")  # strings of so many bytes or more
+        for step in range(int(length.max(initial=0))):
+            live = left[step]
+            place, at, begin = place[:live], at[:live], begin[:live]
+            if step:
+                at = at - 1
+                byte = self.text[at].astype(np.int64) + 1
+                run = self.run_of[place].astype(np.int64)
+                off = np.flatnonzero(self.run_byte[run] != byte)
+                if len(off):
+                    nearest = np.searchsorted(self.keys, byte[off] << 40 | run[off])
+                    up = self.keys[np.maximum(nearest - 1, 0)] & (1 << 40) - 1
+                    down = self.keys[np.minimum(nearest, len(self.keys) - 1)] & (1 << 40) - 1
+                    above = (nearest > 0) & (self.run_byte[up] == byte[off]) & (self.context[self.tails[up]] == self.context[place[off]])
+                    run[off] = np.where(above, up, down)
+                    place = place.copy()
+                    place[off] = np.where(above, self.tails[up], self.heads[down])
+                place = self.first[byte - 1] + self.seen[run] + place - self.heads[run]
+            places[at] = place
+        return self.owner[self.class_of[places]]
 
 
 def marked(length: int):
