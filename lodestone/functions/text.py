@@ -236,3 +236,23 @@ def verdict(s: Column) -> Column:
 
 def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(folded(s), *ACCENTS), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def authors(s: Column) -> Column:
+    """Names split at semicolons, ampersands, slashes and 'and' or 'und'."""
+    return F.filter(F.transform(F.split(s, r"\s*(?:;|&|/|\band\b|\bund\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def compact_count(s: Column) -> Column:
+    """1.2k, 3M and the like as a number; null for others."""
+    number, unit = F.regexp_extract(s, r"^\s*(\d+(?:\.\d+)?)\s*([kKmMbB]?)\s*$", 1), F.lower(F.regexp_extract(s, r"^\s*(\d+(?:\.\d+)?)\s*([kKmMbB]?)\s*$", 2))
+    scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+    return F.round(number.try_cast("double") * scale).cast("long")
+
+
+def fuzzy(candidate: Column, pattern: str) -> Column:
+    """Whether a pattern's letters occur in the candidate in order, case aside; the score falls with the letters between."""
+    letters = [c for c in pattern.lower() if not c.isspace()]
+    escaped = [("\\" + c if c in r"\.^$*+?()[]{}|" else c) for c in letters]
+    span = F.regexp_extract(F.lower(candidate), "(" + ".*?".join(escaped) + ")", 1)
+    return F.when(F.length(span) > 0, F.lit(float(len(letters))) / F.length(span))

@@ -129,7 +129,7 @@ def exact_duplicate_groups(spark, sf_dir):
 SELECT md5(line) AS line_hash, count(*) AS n_documents, max(length(line))::BIGINT AS n_chars FROM l GROUP BY line HAVING count(*) >= 3 AND length(line) <= 80""")
 def repeated_decorations(spark, sf_dir):
     """Short lines in three documents or more."""
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: (x != "") & (F.length(x) <= 80)))
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= 80)))
     l = table(spark, sf_dir, "documents").select(F.explode(lines).alias("line"))
     return l.groupBy("line").agg(F.count(F.lit(1)).alias("n_documents")).where("n_documents >= 3").select(F.md5("line").alias("line_hash"), "n_documents", F.length("line").cast("long").alias("n_chars"))
 
