@@ -25,8 +25,8 @@ LENGTH, ANCHOR = 50, 16
 #: Bytes of text hashed at once in a task (longer texts go in overlapping pieces), of text whose hashes meet in a task,
 #: and of segments' text for one index.
 BATCH_BYTES, SKETCH_BYTES, INDEX_BYTES = 2_000_000, 16_000_000, 5_000_000
-#: Ids that are broadcast at most (32 MB); beyond that the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Ids that are broadcast at most (some 75 MB as a hash table); beyond that the join shuffles.
+BROADCAST_IDS = 500_000
 SKETCHES = "part int, about binary, n int"
 SEGMENTS = "part int, texts binary, about binary, n int"
 CANDIDATES = "id long, sub long, start int, stop int, route long"
