@@ -278,11 +278,12 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             both = F.col("size") + F.col("head_size")
             common = F.when(F.col("key") == F.col("head"), F.col("size")).otherwise(F.round(F.col("similarity") * both / (1 + F.col("similarity"))).cast("int"))
             with_head = with_head.where(F.col("solid") >= threshold * F.col("size") - 1e-9).join(head_size, "head")
-            band = staged(with_head.select("band", "bucket", "key", "size", "solid", common.alias("common")), "compared")
+            every = reps.select("key", "bands")
+            band = staged(with_head.select("band", "bucket", "key", "size", "solid", common.alias("common")).join(every, "key"), "compared")
         done = tested if done is None else done.unionByName(tested)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
         label = quick_labels(good)
-        rows = band.join(label, "key", "left").select("band", "bucket", "key", "size", "solid", "common", F.coalesce("root", "key").alias("label"))
+        rows = band.join(label, "key", "left").select("band", "bucket", "key", "size", "solid", "common", "bands", F.coalesce("root", "key").alias("label"))
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
         rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
         open_rows = rows.where("label <> main")
@@ -295,8 +296,10 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         now = chosen.select("band", "bucket", "key")
         served = now if served is None else served.unionByName(now)
         heads *= 8
-        head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"), F.col("common").alias("hc"))
-        wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach_by_head(threshold))
+        head = chosen.select("band", "bucket", F.col("key").alias("h"), F.col("label").alias("hl"), F.col("size").alias("hz"), F.col("solid").alias("hs"), F.col("common").alias("hc"), F.col("bands").alias("hb"))
+        # A pair is formed in the first band it shares: there one of the two is or will be a head, too.
+        first = F.array_position(F.zip_with("hb", "bands", lambda x, y: x == y), True) - 1 == F.col("band")
+        wide = head.join(rows, ["band", "bucket"]).where(F.col("hl") != F.col("label")).where(within_reach_by_head(threshold)).where(first)
         pairs = wide.select(F.least("h", "key").alias("a"), F.greatest("h", "key").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
