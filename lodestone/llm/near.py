@@ -238,7 +238,8 @@ def within_reach_by_head(threshold: float):
     one of them was never compared with b, the first bound alone holds."""
     other = lambda solid, common: F.greatest(F.col(solid) - F.col(common), F.lit(0))
     most = F.least("hc", "common") + F.least(other("hs", "hc"), other("solid", "common"))
-    most = F.least("hs", "solid", F.coalesce(most, F.col("hs")))
+    unknown = F.col("hc").isNull() | F.col("common").isNull()
+    most = F.when(unknown, F.least("hs", "solid")).otherwise(F.least("hs", "solid", most))
     return most >= threshold * (F.col("hz") + F.col("size") - most) - 1e-9
 
 
