@@ -120,7 +120,7 @@ def sketch(length: int, parts: int):
             route = mix64(found["anchor"])
             rows: tuple[list, list, list] = ([], [], [])
             for p, k in by_part(route, parts)[1]:
-                step = np.where(np.r_[False, doc[k][1:] == doc[k][:-1]], np.diff(start[k], prepend=0), start[k]).astype(np.int32)
+                step = np.where(np.r_[False, doc[k][1:] == doc[k][:-1]], np.diff(start[k], prepend=0), -1 - start[k]).astype(np.int32)
                 cols = [(route[k] >> np.uint64(24) & np.uint64(0xFFFF)).astype("<u2"), (found["right"][k] >> np.uint64(32)).astype("<u4"), (found["left"][k] >> np.uint64(32)).astype("<u4"), step, size[k], id_[doc[k]], sub[doc[k]]]
                 for col, x in zip(rows, (p, press.compress(b"".join(c.tobytes() for c in cols)), len(k)), strict=True):
                     col.append(x)
@@ -129,10 +129,11 @@ def sketch(length: int, parts: int):
     return run
 
 
-def absolute(step: np.ndarray, id_: np.ndarray, sub: np.ndarray, batch: np.ndarray) -> np.ndarray:
-    """Starts from steps, which begin anew with each document of a batch."""
-    anew = np.r_[True, (id_[1:] != id_[:-1]) | (sub[1:] != sub[:-1]) | (batch[1:] != batch[:-1]) | (step[1:] <= 0)] if len(step) else np.zeros(0, bool)
-    total = np.cumsum(step.astype(np.int64))
+def absolute(step: np.ndarray) -> np.ndarray:
+    """Starts from steps. The first of each row of a batch is negative, -1 - start, so rows alike in all else are told apart."""
+    anew = step < 0
+    step = np.where(anew, -1 - step.astype(np.int64), step)
+    total = np.cumsum(step)
     base = np.maximum.accumulate(np.where(anew, np.arange(len(step)), 0))
     return total - total[base] + step[base]
 
@@ -156,10 +157,9 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols.append([low.astype(np.int64) | row["part"] << 16, *others])
     if not cols:
         return
-    batch = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c[0]) for c in cols])
     route, right, left, step, size, id_, sub = (np.concatenate(c) for c in zip(*cols, strict=True))
     cols.clear()
-    start = absolute(step, id_, sub, batch)
+    start = absolute(step)
     keep = np.flatnonzero(in_two(right, id_) | in_two(left, id_))
     for a in range(0, len(keep), 100_000):
         k = keep[a : a + 100_000]

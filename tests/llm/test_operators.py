@@ -91,6 +91,20 @@ def test_repeats_of_awkward_rows(spark, docs, empty):
     assert sorted((r.doc_id or 0, len(r.kept)) for r in remove_repeats(same).collect()) == [(0, 0), (1, 80), (1, 80)]
 
 
+def test_adjacent_repeated_rows_keep_their_places(spark):
+    random.seed(11)
+    letters = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = [letters(90) for _ in range(3)]
+    again = letters(3000) + shared[0] + letters(2000) + shared[1] + letters(3000) + shared[2] + letters(500)
+    texts = {0: letters(100).join(shared), 1: again}
+    rows = [(0, texts[0]), *[(1, again)] * 3, *[(None, again)] * 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, [[s.start, s.stop] for s in r.removed]) for r in remove_repeats(df).collect()]
+    spans = removed_by_brute_force({k: t.encode() for k, t in texts.items()})
+    assert len(spans[1]) == 3
+    assert sorted(got, key=str) == sorted([(0, []), *[(1, spans[1])] * 3, *[(None, [[0, len(again)]])] * 2], key=str)
+
+
 # --- operator 2
 
 
