@@ -25,9 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; n_chars follows the text. A document of which nothing is left goes;
+    """Texts without later repeats of runs of lines, of three lines or 50 words; n_chars follows the text. A document of which nothing is left goes;
     one that was null or blank before stays."""
-    left = remove_repeated_runs(docs)
+    left = remove_repeated_runs(docs, by_words=True)
     n_removed = left.columns[-2]
     rest = left.where((F.col(n_removed) == 0) | (F.col("text") != "")).select(docs.columns)
     return rest.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))

@@ -13,8 +13,9 @@ RUN_LINES, LONG_WORDS = 3, 50
 NO_ID = 2**63 - 1
 
 
-def windows(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
-    """A row for each window of run_lines lines, and for each long line: its fingerprint and content.
+def windows(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
+    """A row for each window of run_lines lines, and for each long line: its fingerprint and content. by_words: also for
+    each window of fewer lines that have long_words words together.
 
     fp, at: the least line hash in the window and its line, which winnowing selects: equal windows select equal
     fingerprints. w1, w2: 128 bits of the window's content. Blank lines aren't counted.
@@ -31,16 +32,21 @@ def windows(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
     def all_windows(h: Column) -> Column:
         runs = F.when(F.size(h) >= run_lines, F.transform(F.sequence(F.lit(0), F.size(h) - run_lines), lambda i: one(h, i, run_lines)))
         long = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.when(F.size(F.split(F.get(h, i)["t"], SPACE)) >= long_words, one(h, i, 1))), lambda x: x.isNotNull())
-        return F.concat(F.coalesce(runs, F.slice(long, 1, 0)), long)
+        return F.concat(F.coalesce(runs, F.slice(long, 1, 0)), long, *[F.coalesce(some, F.slice(long, 1, 0)) for some in (short(h, n) for n in range(2, run_lines) if by_words)])
 
-    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), x["t"].alias("t"), F.xxhash64(x["t"]).alias("h")))
+    def short(h: Column, n: int) -> Column:
+        words = lambda i: sum((F.get(h, i + j)["n"] for j in range(1, n)), F.get(h, i)["n"])
+        return F.when(F.size(h) >= n, F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.when(words(i) >= long_words, one(h, i, n))), lambda x: x.isNotNull()))
+
+    n_words = lambda x: [F.size(F.split(x["t"], SPACE)).alias("n")] if by_words else []
+    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), x["t"].alias("t"), F.xxhash64(x["t"]).alias("h"), *n_words(x)))
     found = docs.select("key", "digest", let(hashed, lambda h: F.when(F.size(h) > 0, all_windows(h))).alias("found"))
     return found.select("key", "digest", F.explode("found").alias("w")).select("key", "digest", "w.*")
 
 
-def repeats(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
+def repeats(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
     """Windows (key, digest, first, last) whose content occurs earlier, by key and line, in this or another document."""
-    every = windows(docs, run_lines, long_words)
+    every = windows(docs, run_lines, long_words, by_words)
     place = F.struct("key", "digest", "at")
     shared = every.groupBy("span", "fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("span", "fp")
     # Windows around fingerprints that stand in two places or more, then those whose whole content does.
@@ -50,11 +56,12 @@ def repeats(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
     return near.join(origin, ["w1", "w2"]).where(begin > F.col("origin")).select("key", "digest", "first", "last")
 
 
-def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS, by_words: bool = False) -> DataFrame:
     """docs with `text` freed from later repeats, and the columns n_lines, n_removed, n_runs after its own.
 
     A run of run_lines lines (or one line of long_words words) goes wherever it occurred before, in a document of smaller
-    doc_id or further up in its own; overlapping windows extend a match both ways to its full length. Lines are compared
+    doc_id or further up in its own; overlapping windows extend a match both ways to its full length. With by_words any
+    run of whole lines goes that has run_lines lines or long_words words. Lines are compared
     without outer spaces, blank lines neither count nor go, unless nothing else is left: then the text is empty. Null
     texts stay null with 0 lines. Rows without an id come last in order; rows with equal id and text are one document
     and change alike. An empty table stays empty. Counts are named n_lines, n_removed, n_runs, or with leading
@@ -68,7 +75,7 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), body)
     slim = keyed.select("key", "digest", F.col("row.text").alias("text")).where("text IS NOT NULL")
-    gone = repeats(slim, run_lines, long_words).groupBy("key", "digest").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    gone = repeats(slim, run_lines, long_words, by_words).groupBy("key", "digest").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     gone = gone.select("key", "digest", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).alias("gone"))
     joined = keyed.join(gone, ["key", "digest"], "left")
     text = F.col("row.text")

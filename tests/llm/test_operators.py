@@ -131,6 +131,31 @@ def test_line_runs_match_brute_force(spark):
         assert got[k].text == want
 
 
+def test_runs_of_two_lines_go_by_their_words(spark):
+    random.seed(13)
+    pool = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefghij", (1, 2, 20, 26, 30, 30, 45, 49, 55, 60), strict=True)] + ["", " "]
+    texts = ["\n".join(random.choice(pool) for _ in range(random.randrange(9))) for _ in range(120)]
+    two = pool[4] + "\n\n" + pool[5]
+    texts = [two, f"alone\n{two}\nother", *texts]
+    got = {r.doc_id: r for r in remove_repeated_runs(table(spark, texts), by_words=True).collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        lines = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                content = tuple(x for _, x in lines[a:b])
+                if b - a < 3 and sum(len(x.split()) for x in content) < 50:
+                    continue
+                if content in seen:
+                    gone.update(range(lines[a][0], lines[b - 1][0] + 1))
+                seen.add(content)
+        kept = [x for i, x in enumerate(t.split("\n")) if i not in gone or not x.strip(" ")]
+        want = t if not gone else "\n".join(kept) if any(x.strip(" ") for x in kept) else ""
+        assert got[k].text == want
+    assert got[1].text == "alone\n\nother"
+
+
 def test_line_runs_keep_names_and_nulls(spark, docs, empty):
     out = remove_repeated_runs(docs.withColumn("n_lines", F.lit("own")))
     assert out.columns[-3:] == ["_n_lines", "n_removed", "n_runs"] and out.count() == docs.count()

@@ -53,6 +53,14 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
 
 
+def test_line_dedup_takes_two_lines_of_fifty_words(spark):
+    two = "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(0, f"first\n{two}", "en", "s0", 0), (1, f"second\n{two}\nend", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], 1: "second\nend"}
+
+
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE) <= set(queries.QUERIES)
