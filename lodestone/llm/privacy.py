@@ -27,7 +27,7 @@ PATTERNS = {
 #: All kinds in one pattern. A card's back reference gets its number within the whole.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have to hold any of them.
-HINT = rf"[0-9@]|{'|'.join(MALE + FEMALE)}"
+HINT = rf"[0-9@]|{'|'.join(MALE + FEMALE)}|AKIA|(?:sk|pk|gh[pousr])[-_]|[a-fA-F]{{32}}"
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "ka", "lo", "mi", "pe", "ro"],
     "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τα", "βε", "κα", "λο", "μι", "πε", "ρο"],

@@ -461,5 +461,13 @@ def test_surrogates_keep_type_coreference_and_distinctness(spark, docs, empty):
     assert pseudonymised(docs.withColumn("n_entities", F.lit(1))).columns[-1] == "_n_entities"
 
 
+def test_keys_of_letters_alone_are_found(spark):
+    keys = ["sk-" + "abcDEFghiJ" * 2, "ghp_" + "QwErTyUiOp" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "abcdefab" * 4]
+    rows = pseudonymised(table(spark, [f"the key is {k} and no more" for k in keys])).collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert r.n_entities == 1 and keys[r.doc_id] not in r.text
+
+
 def test_mixing_bits_is_a_bijection():
     assert len(np.unique(mix64(np.arange(100_000, dtype=np.uint64)))) == 100_000
