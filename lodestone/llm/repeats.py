@@ -3,9 +3,13 @@
 Equal strings of `length` bytes have equal anchors, the leftmost least hash of their inner 16-byte strings, wherever they
 stand. So documents are cut into segments of neighbouring windows with one anchor. First only hashes of the segments
 meet, by anchor, and tell which can hold anything shared: a window of 50 bytes holds the anchor and at least 17 bytes
-beside it on one side, so one of two hashes of 33 bytes must be shared. Then the text of those segments meets; every
-task indexes its distinct text once and streams it through the index. Work and shuffle are linear in the text; no pairs
-of documents are formed.
+beside it on one side, so one of two hashes of 33 bytes must be shared. Then the text of those segments meets: of each
+anchor the text of the smallest document goes into a run-length index, and the anchor's other texts are streamed through
+it. Work and shuffle are linear in the text; no pairs of documents are formed.
+
+Hot passages are folded before they meet. A task that has seen a hash in two documents says so once and passes the
+segments with it on at once; a segment equal to one that the task has sent for a smaller document goes as a whole, without
+being sent. So what meets of a passage that all documents hold grows with the tasks, not with the documents.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, staged
 from .lines import NO_ID
+from .runindex import first_owners, ranges
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text hashed at once in a task (longer texts go in overlapping pieces), of text whose hashes meet in a task,
@@ -27,11 +32,16 @@ LENGTH, ANCHOR = 50, 16
 BATCH_BYTES, SKETCH_BYTES, INDEX_BYTES = 2_000_000, 16_000_000, 5_000_000
 #: Ids that are broadcast at most (some 75 MB as a hash table); beyond that the join shuffles.
 BROADCAST_IDS = 500_000
+#: Segments of a batch with one hash from which on it is told once for all; sent texts that a task remembers.
+HOT, REMEMBERED = 8, 300_000
+#: Segments alike in all hashes that follow one another in a document, as in a text of one letter, go as one, so many at most.
+ALIKE = 32
 SKETCHES = "part int, about binary, n int"
 SEGMENTS = "part int, texts binary, about binary, n int"
 CANDIDATES = "id long, sub long, start int, stop int, route long"
 SPANS = "id long, sub long, start int, stop int"
 PLACE = np.uint64((1 << 24) - 1)
+LOW = np.uint64((1 << 24) - 1)
 
 
 def segments(buffer: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -63,12 +73,13 @@ def segments(buffer: np.ndarray, sizes: np.ndarray, length: int) -> dict[str, np
     anchor = hashes[place]
     right = mix64(anchor + mix64(hashes[np.minimum(place + beside, n - 1)]))
     left = mix64(mix64(anchor) + hashes[np.maximum(place - beside, 0)])
-    return {"begin": at[first], "end": at[last] + length, "doc": doc[first], "anchor": anchor, "right": right, "left": left}
-
-
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], ..., starts[0] + counts[0] - 1, starts[1], ..."""
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    owner = doc[first]
+    other = np.r_[True, (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (right[1:] != right[:-1]) | (left[1:] != left[:-1])]
+    if not other.all():
+        nth = np.arange(len(other)) - np.maximum.accumulate(np.where(other, np.arange(len(other)), 0))
+        opens = np.flatnonzero(nth % ALIKE == 0)
+        first, last, owner, anchor, right, left = first[opens], last[np.r_[opens[1:], len(last)] - 1], owner[opens], anchor[opens], right[opens], left[opens]
+    return {"begin": at[first], "end": at[last] + length, "doc": owner, "anchor": anchor, "right": right, "left": left}
 
 
 def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -87,11 +98,16 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tupl
         yield out
 
 
-def by_part(route: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
-    part = ((route >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-    return part, ((int(part[order[a]]), order[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+def by_part(route: np.ndarray, parts: int) -> np.ndarray:
+    return ((route >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def in_parts(part: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and those of `some` that fall in it, in their order."""
+    mine = part[some]
+    order = np.argsort(mine, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(mine[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    return ((int(mine[order[a]]), some[order[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def columns(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
@@ -102,28 +118,82 @@ def columns(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-SKETCH_KINDS = ["<u2", "<u4", "<u4", "<i4", "<u2", "<i8", "<i8"]
+SKETCH_KINDS = ["<u2", "u1", "<u4", "<u4", "<i4", "<u2", "<i8", "<i8"]
+DIRECT_KINDS = ["<i8", "<i4", "<u2", "<i8", "<i8"]
+
+
+def steps(start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Starts as differences within a document; a document's first is negative, -1 - start."""
+    return np.where(np.r_[False, doc[1:] == doc[:-1]], np.diff(start, prepend=0), -1 - start).astype("<i4")
+
+
+class Familiar:
+    """Hashes that a task has met in two documents, HOT times or more in one batch."""
+
+    def __init__(self):
+        self.told = np.zeros(0, np.uint64)
+
+    def of(self, key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the keys are familiar, and of those that are so only now: a place, the least id and the greatest."""
+        order = np.argsort(key)
+        edge = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        size = np.diff(np.r_[edge, len(order)])
+        known = np.zeros(len(key), bool)
+        before = np.isin(key[order[edge]], self.told) if len(self.told) else np.zeros(len(edge), bool)
+        big = np.flatnonzero((size >= HOT) & ~before)
+        if len(big):
+            members = order[ranges(edge[big], size[big])]
+            begins = np.cumsum(size[big]) - size[big]
+            low, high = np.minimum.reduceat(id_[members], begins), np.maximum.reduceat(id_[members], begins)
+            big, low, high = (x[low < high] for x in (big, low, high))
+        else:
+            low = high = np.zeros(0, np.int64)
+        now = np.union1d(np.flatnonzero(before), big)
+        known[order[ranges(edge[now], size[now])]] = True
+        new = order[edge[big]]
+        self.told = np.union1d(self.told, key[new])[-REMEMBERED:]
+        return known, new, low, high
 
 
 def sketch(length: int, parts: int):
-    """Rows of SKETCHES: hashes and places of the segments, by batch and part of the anchors."""
+    """Rows of SKETCHES: hashes and places of the segments, by batch and part of the anchors. Rows of negative n hold
+    segments that are known to share a hash; they are dealt out by batch. Segments of size 0 only tell of a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for some in pieces(batches, length):
+        press, familiar = zstandard.ZstdCompressor(level=1), Familiar()
+        for number, some in enumerate(pieces(batches, length)):
             sizes = np.array([len(x[3]) for x in some], np.int64)
             found = segments(np.frombuffer(b"".join(x[3] for x in some), np.uint8), sizes, length)
             doc = found["doc"]
+            if not len(doc):
+                continue
             id_, sub, offset = (np.array(c, np.int64) for c in list(zip(*some, strict=True))[:3])
             start = (found["begin"] - (np.cumsum(sizes) - sizes)[doc] + offset[doc]).astype(np.int32)
-            size = (found["end"] - found["begin"]).astype(np.uint16)
-            route = mix64(found["anchor"])
+            size = (found["end"] - found["begin"]).astype("<u2")
+            route, right, left = mix64(found["anchor"]), found["right"], found["left"]
+            part, low = by_part(route, parts), route >> np.uint64(8) & LOW
+            at_right, new_right, *ids_right = familiar.of(right, id_[doc])
+            at_left, new_left, *ids_left = familiar.of(left, id_[doc])
             rows: tuple[list, list, list] = ([], [], [])
-            for p, k in by_part(route, parts)[1]:
-                step = np.where(np.r_[False, doc[k][1:] == doc[k][:-1]], np.diff(start[k], prepend=0), -1 - start[k]).astype(np.int32)
-                cols = [(route[k] >> np.uint64(24) & np.uint64(0xFFFF)).astype("<u2"), (found["right"][k] >> np.uint64(32)).astype("<u4"), (found["left"][k] >> np.uint64(32)).astype("<u4"), step, size[k], id_[doc[k]], sub[doc[k]]]
-                for col, x in zip(rows, (p, press.compress(b"".join(c.tobytes() for c in cols)), len(k)), strict=True):
+
+            def add(p: int, n: int, cols: list[np.ndarray], rows=rows) -> None:
+                for col, x in zip(rows, (p, press.compress(b"".join(c.tobytes() for c in cols)), n), strict=True):
                     col.append(x)
+
+            def put(p: int, k: np.ndarray, r: np.ndarray, x: np.ndarray, step: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray, low=low) -> None:
+                add(p, len(k), [(low[k] & np.uint64(0xFFFF)).astype("<u2"), (low[k] >> np.uint64(16)).astype("u1"), (r >> np.uint64(32)).astype("<u4"), (x >> np.uint64(32)).astype("<u4"), step, s, i, j])
+
+            known = at_right | at_left
+            for p, k in in_parts(part, np.flatnonzero(~known)):
+                put(p, k, right[k], left[k], steps(start[k], doc[k]), size[k], id_[doc[k]], sub[doc[k]])
+            for new, (least, most), is_right in ((new_right, ids_right, True), (new_left, ids_left, False)):
+                place, told = np.repeat(new, 2), np.stack([least, most], 1).ravel()
+                for p, k in in_parts(part[place], np.arange(len(place))):
+                    at, none = place[k], np.zeros(len(k), np.uint64)
+                    put(p, at, right[at] if is_right else none, none if is_right else left[at], np.full(len(k), -1, "<i4"), np.zeros(len(k), "<u2"), told[k], told[k])
+            k = np.flatnonzero(known)
+            if len(k):
+                add(number % parts, -len(k), [(part[k] << 24 | low[k].astype(np.int64)).astype("<i8"), steps(start[k], doc[k]), size[k], id_[doc[k]], sub[doc[k]]])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int32())], ["part", "about", "n"])
 
     return run
@@ -150,206 +220,147 @@ def in_two(key: np.ndarray, id_: np.ndarray) -> np.ndarray:
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of CANDIDATES: the segments of a part of the anchors that share a 33-byte hash with another document."""
+
+    def out(id_, sub, start, size, route) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(id_), pa.array(sub), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array(route)], ["id", "sub", "start", "stop", "route"])
+
     cols: list[list[np.ndarray]] = []
     for b in batches:
         for row in b.to_pylist():
-            low, *others = columns(row["about"], row["n"], SKETCH_KINDS)
-            cols.append([low.astype(np.int64) | row["part"] << 16, *others])
+            if row["n"] < 0:
+                route, step, size, id_, sub = columns(row["about"], -row["n"], DIRECT_KINDS)
+                yield out(id_, sub, absolute(step), size, route)
+                continue
+            low, high, *others = columns(row["about"], row["n"], SKETCH_KINDS)
+            cols.append([low.astype(np.int64) | high.astype(np.int64) << 16 | row["part"] << 24, *others])
     if not cols:
         return
     route, right, left, step, size, id_, sub = (np.concatenate(c) for c in zip(*cols, strict=True))
     cols.clear()
     start = absolute(step)
-    keep = np.flatnonzero(in_two(right, id_) | in_two(left, id_))
+    keep = np.flatnonzero((in_two(right, id_) | in_two(left, id_)) & (size > 0))
     for a in range(0, len(keep), 100_000):
         k = keep[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(id_[k]), pa.array(sub[k]), pa.array(start[k].astype(np.int32)), pa.array((start[k] + size[k]).astype(np.int32)), pa.array(route[k])], ["id", "sub", "start", "stop", "route"])
+        yield out(id_[k], sub[k], start[k], size[k], route[k])
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal spans of sorted ones that touch or overlap."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+TEXT_KINDS = ["<u2", "<i4", "<u4", "<i8", "<i8"]
 
 
 def cut(parts: int):
-    """Rows of SEGMENTS: the text of the candidates of documents, by part."""
+    """Rows of SEGMENTS: the text of the candidates of documents, by part. Candidates equal to one that this task has
+    sent for a smaller document aren't sent: they are whole spans, in rows of negative n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        held: list[tuple[int, int, int, int, bytes]] = []
-        size = 0
+        least: dict[bytes, int] = {}
+        held: list[tuple[bytes, int, int, int, int, int]] = []
+        spans: list[tuple[int, int, int, int]] = []
+        number = 0
 
         def rows() -> pa.RecordBatch:
-            part = np.array([x[0] for x in held], np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                mine = [held[i] for i in order[a:b].tolist()]
-                id_, sub, start = (np.array([x[c] for x in mine], np.int64) for c in (1, 2, 3))
-                about = b"".join([np.array([len(x[4]) for x in mine], "<u2").tobytes(), start.astype("<i4").tobytes(), id_.tobytes(), sub.tobytes()])
-                for col, x in zip(out, (mine[0][0], press.compress(b"".join(x[4] for x in mine)), press.compress(about), len(mine)), strict=True):
+
+            def add(p: int, texts: bytes, about: bytes, n: int) -> None:
+                for col, x in zip(out, (p, press.compress(texts), press.compress(about), n), strict=True):
                     col.append(x)
+
+            if held:
+                part = np.array([x[1] for x in held], np.int64)
+                for p, k in in_parts(part, np.arange(len(held))):
+                    mine = [held[i] for i in k.tolist()]
+                    _, _, group, start, id_, sub = (np.array(c) if j else c for j, c in enumerate(zip(*mine, strict=True)))
+                    size = np.fromiter((len(x[0]) for x in mine), "<u2", len(mine))
+                    add(p, b"".join(x[0] for x in mine), b"".join([size.tobytes(), start.astype("<i4").tobytes(), group.astype("<u4").tobytes(), id_.astype("<i8").tobytes(), sub.astype("<i8").tobytes()]), len(mine))
+            if spans:
+                add(number % parts, b"", np.array(spans, "<i8").tobytes(), -len(spans))
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())], ["part", "texts", "about", "n"])
 
         for b in batches:
             for i, row in enumerate(b.column("found")):
                 text, id_, sub = b.column("bytes")[i].as_py(), b.column("id")[i].as_py(), b.column("sub")[i].as_py()
                 flat = row.values
-                start, stop = flat.field("start").to_pylist(), flat.field("stop").to_pylist()
-                route = ((mix64(flat.field("route").to_numpy()) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).tolist()
-                held += [(r, id_, sub, s, text[s:e]) for r, s, e in zip(route, start, stop, strict=True)]
-                size += 70 * len(start)
-                if size > 2 * BATCH_BYTES:
+                route = mix64(flat.field("route").to_numpy())
+                part, group = by_part(route, parts).tolist(), (route & np.uint64(0xFFFFFFFF)).tolist()
+                whole = []
+                for p, g, s, e in zip(part, group, flat.field("start").to_pylist(), flat.field("stop").to_pylist(), strict=True):
+                    t = text[s:e]
+                    if least.setdefault(t, id_) < id_:
+                        whole.append((s, e))
+                    else:
+                        least[t] = id_
+                        held.append((t, p, g, s, id_, sub))
+                spans += [(id_, sub, s, e) for s, e in joined_spans(sorted(whole))]
+                if len(least) > REMEMBERED:
+                    least.clear()
+                if len(held) + len(spans) > 60_000:
                     yield rows()
                     held.clear()
-                    size = 0
-        if held:
+                    spans.clear()
+                    number += 1
+        if held or spans:
             yield rows()
 
     return run
 
 
-class RunLengthIndex:
-    """The Burrows-Wheeler transform, in runs, of strings sorted to `depth` bytes, with samples at its runs' ends.
-
-    Suffixes whose first `depth` bytes agree form a class; owner[class] is the smallest document among their strings'.
-    A step from a suffix to the one a byte longer is LF within a run, or, where the run has another byte, a jump to the
-    end of the nearest run of that byte in the same context.
-    """
-
-    def __init__(self, text: np.ndarray, sizes: np.ndarray, owners: np.ndarray, depth: int):
-        n = len(text)
-        self.text, self.stops, self.begins = text, np.cumsum(sizes), np.cumsum(sizes) - sizes
-        stop = np.repeat(self.stops, sizes)
-        place = np.arange(n)
-        rank, have = self.initial(text, stop, place)
-        while have * 2 <= depth:
-            rank = self.ranked(self.paired(rank, stop, place, have))[0]
-            have *= 2
-        shift = depth - have  # equal to `have` bytes here and `shift` further on is equal to depth bytes
-        short = self.paired(rank, stop, place, shift - 1) if shift else None
-        rank, order = self.ranked(self.paired(rank, stop, place, shift) if shift else rank)
-        self.class_of = (rank[order] - np.uint64(1)).astype(np.int32)
-        self.owner = np.minimum.reduceat(np.repeat(owners, sizes)[order], np.flatnonzero(np.r_[True, np.diff(self.class_of) != 0]))
-        context = short[order]
-        self.context = np.cumsum(np.r_[True, context[1:] != context[:-1]], dtype=np.int32)
-        # Byte before each suffix: 0 in front of a string, else byte + 1.
-        before = np.where(order == np.repeat(self.begins, sizes)[order], 0, text[order - 1].astype(np.int16) + 1)
-        self.heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-        self.run_byte = before[self.heads]
-        run_size = np.diff(np.r_[self.heads, n])
-        by_byte = np.argsort(self.run_byte, kind="stable")
-        sums = np.cumsum(run_size[by_byte]) - run_size[by_byte]
-        group = np.r_[True, np.diff(self.run_byte[by_byte]) != 0]
-        self.seen = np.zeros(len(self.heads), np.int64)  # of the run's byte in runs before it
-        self.seen[by_byte] = sums - np.maximum.accumulate(np.where(group, sums, 0))
-        self.tails = self.heads + run_size - 1
-        self.run_of = np.repeat(np.arange(len(self.heads), dtype=np.int32), run_size)
-        self.keys = self.run_byte[by_byte].astype(np.int64) << 40 | by_byte  # runs of a byte in order
-        # Suffixes that begin with smaller bytes, and those of one byte, which no step leads to, before longer ones.
-        counts = np.bincount(text, minlength=256)
-        self.first = np.cumsum(counts) - counts + np.bincount(text[self.stops - 1], minlength=256)
-        inverse = np.empty(n, np.int64)
-        inverse[order] = place
-        self.last_place = inverse[self.stops - 1]  # sample of each string's last suffix
-
-    @staticmethod
-    def initial(text: np.ndarray, stop: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
-        """Ranks, from 1, by the first bytes, and how many these are: as many as fit 42 bits when the bytes that occur
-        are numbered from 1, in order; 0 is the end of a string."""
-        code = np.cumsum(np.bincount(text, minlength=256) > 0)
-        bits = int(code[-1]).bit_length()
-        first = min(42 // bits, 8)
-        wide = np.r_[code[text].astype(np.uint64), np.zeros(first, np.uint64)]
-        key = np.zeros(len(text), np.uint64)
-        for i in range(first):
-            key = key << np.uint64(bits) | np.where(place + i < stop, wide[i : i + len(text)], np.uint64(0))
-        return RunLengthIndex.ranked(key)[0], first
-
-    @staticmethod
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Dense ranks from 1, and the order. Keys that leave room for their places are sorted with them in one word."""
-        bits = max(len(key).bit_length(), 1)
-        if int(key.max(initial=0)).bit_length() + bits <= 64:
-            both = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
-            order, ordered = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
-        else:
-            order = np.argsort(key)
-            ordered = key[order]
-        rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
-        return rank, order
-
-    @staticmethod
-    def paired(rank: np.ndarray, stop: np.ndarray, place: np.ndarray, by: int) -> np.ndarray:
-        later = np.zeros(len(rank), np.uint64)
-        later[: len(rank) - by] = rank[by:]
-        later[place + by >= stop] = 0
-        return rank << np.uint64(max(len(rank).bit_length(), 1)) | later
-
-    def matches(self) -> np.ndarray:
-        """For each byte the smallest document with the `depth` bytes that begin there, streaming all strings at once
-        from their ends through the index."""
-        places = np.empty(len(self.text), np.int64)
-        string = np.argsort(self.begins - self.stops, kind="stable")  # the longest first: those that end drop off the end
-        place, at = self.last_place[string], self.stops[string] - 1
-        begin = self.begins[string]
-        length = (self.stops - self.begins)[string]
-        left = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")  # strings of so many bytes or more
-        for step in range(int(length.max(initial=0))):
-            live = left[step]
-            place, at, begin = place[:live], at[:live], begin[:live]
-            if step:
-                at = at - 1
-                byte = self.text[at].astype(np.int64) + 1
-                run = self.run_of[place].astype(np.int64)
-                off = np.flatnonzero(self.run_byte[run] != byte)
-                if len(off):
-                    nearest = np.searchsorted(self.keys, byte[off] << 40 | run[off])
-                    up = self.keys[np.maximum(nearest - 1, 0)] & (1 << 40) - 1
-                    down = self.keys[np.minimum(nearest, len(self.keys) - 1)] & (1 << 40) - 1
-                    above = (nearest > 0) & (self.run_byte[up] == byte[off]) & (self.context[self.tails[up]] == self.context[place[off]])
-                    run[off] = np.where(above, up, down)
-                    place = place.copy()
-                    place[off] = np.where(above, self.tails[up], self.heads[down])
-                place = self.first[byte - 1] + self.seen[run] + place - self.heads[run]
-            places[at] = place
-        return self.owner[self.class_of[places]]
-
-
 def marked(length: int):
-    """Rows of SPANS from all segments of a part: what also starts in a document with a smaller id."""
+    """Rows of SPANS from the segments of a part: what also starts in a document with a smaller id."""
+
+    def out(id_, sub, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(id_), pa.array(sub), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["id", "sub", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        which_, starts, ids, subs = [], [], [], []
+        held: list[tuple] = []
         for b in batches:
             for row in b.select(["texts", "about", "n"]).to_pylist():
-                size, start, id_, sub = columns(row["about"], row["n"], ["<u2", "<i4", "<i8", "<i8"])
+                if row["n"] < 0:
+                    yield out(*np.frombuffer(zstandard.decompress(row["about"]), "<i8").reshape(-1, 4).T.copy())
+                    continue
+                size, start, group, id_, sub = columns(row["about"], row["n"], TEXT_KINDS)
                 text = zstandard.decompress(row["texts"])
                 stop = np.cumsum(size.astype(np.int64))
-                which_.append(np.fromiter((known.setdefault(text[e - s : e], len(known)) for e, s in zip(stop.tolist(), size.tolist(), strict=True)), np.int64, row["n"]))
-                starts.append(start)
-                ids.append(id_)
-                subs.append(sub)
+                which = np.fromiter((known.setdefault(text[e - s : e], len(known)) for e, s in zip(stop.tolist(), size.tolist(), strict=True)), np.int64, row["n"])
+                held.append((which, start, group, id_, sub))
         if not known:
             return
-        which, start, id_, sub = (np.concatenate(c) for c in (which_, starts, ids, subs))
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        owners = np.full(len(known), np.iinfo(np.int64).max)
+        which, start, group, id_, sub = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        owners, groups = np.full(len(known), np.iinfo(np.int64).max), np.zeros(len(known), np.int64)
         np.minimum.at(owners, which, id_)
-        index = RunLengthIndex(np.frombuffer(b"".join(known), np.uint8), sizes, owners, length)
+        groups[which] = group
+        strings = list(known)
         known.clear()
-        matched = index.matches()
-        begins = index.begins
-        windows = sizes - length + 1
-        # Occurrences in slices: each window of each is marked if its smallest document is smaller than its own.
-        for a in range(0, len(which), 100_000):
-            w = which[a : a + 100_000]
+        owner, begins, windows = first_owners(strings, owners, groups, length)
+        least, most = np.minimum.reduceat(owner, begins), np.maximum.reduceat(owner, begins)
+        whole = np.flatnonzero(most[which] < id_)
+        if len(whole):
+            yield out(id_[whole], sub[whole], start[whole], start[whole] + windows[which[whole]] + length - 1)
+        # Of the other occurrences each window goes whose owner is smaller.
+        partly = np.flatnonzero((least[which] < id_) & (most[which] >= id_))
+        for a in range(0, len(partly), 100_000):
+            k = partly[a : a + 100_000]
+            w = which[k]
             count = windows[w]
-            owner = np.repeat(np.arange(len(w)), count)
-            hit = matched[ranges(begins[w], count)] < id_[a : a + 100_000][owner]
+            of = np.repeat(np.arange(len(w)), count)
+            hit = owner[ranges(begins[w], count)] < id_[k][of]
             offset = ranges(np.zeros(len(w), np.int64), count)
-            opens = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (owner[1:] != owner[:-1])])
-            closes = np.flatnonzero(hit & np.r_[~hit[1:] | (owner[1:] != owner[:-1]), True])
-            o = owner[opens]
-            yield pa.RecordBatch.from_arrays([pa.array(id_[a + o]), pa.array(sub[a + o]), pa.array((start[a + o] + offset[opens]).astype(np.int32)), pa.array((start[a + o] + offset[closes] + length).astype(np.int32))], ["id", "sub", "start", "stop"])
+            opens = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (of[1:] != of[:-1])])
+            closes = np.flatnonzero(hit & np.r_[~hit[1:] | (of[1:] != of[:-1]), True])
+            o = k[of[opens]]
+            yield out(id_[o], sub[o], start[o] + offset[opens], start[o] + offset[closes] + length)
 
     return run
 
@@ -360,12 +371,7 @@ def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept, runs = [], []
         for text, spans in zip(b.column("bytes").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for s in sorted((s["start"], s["stop"]) for s in spans or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
+            merged = joined_spans(sorted((s["start"], s["stop"]) for s in spans or ()))
             edges = [0, *(x for m in merged for x in m), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
             runs.append([{"start": x, "stop": y} for x, y in merged])

@@ -471,3 +471,27 @@ def test_keys_of_letters_alone_are_found(spark):
 
 def test_mixing_bits_is_a_bijection():
     assert len(np.unique(mix64(np.arange(100_000, dtype=np.uint64)))) == 100_000
+
+
+def test_hot_passages_and_texts_of_one_letter_match_brute_force(spark):
+    random.seed(14)
+    letters = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    hot, cut_hot = letters(160), letters(400)
+    texts = {i: letters(random.randrange(80)) + (hot if i % 3 else cut_hot[random.randrange(200) :]) + letters(random.randrange(80)) for i in range(90)}
+    texts |= {200: "z" * 5000, 201: "z" * 300 + "y" * 300, 202: "ab" * 900, 203: "ba" * 40, 204: "x" + "z" * 60}
+    rows = list(texts.items())
+    random.shuffle(rows)
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = {r.doc_id: [[s.start, s.stop] for s in r.removed] for r in remove_repeats(df).collect()}
+        assert got == removed_by_brute_force({k: t.encode() for k, t in texts.items()})
+
+
+def test_repeats_ignore_other_columns_and_take_long_texts(spark):
+    random.seed(15)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    long = " ".join(word() for _ in range(300_000))
+    rows = [(1, "first", long[1_000_000:1_000_400], 5), (2, "second", long, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, kept string, text string, id long").withColumn("bytes", F.lit(1)).withColumn("spans", F.lit(2))
+    got = {r.doc_id: [[s.start, s.stop] for s in r.removed] for r in remove_repeats(df).collect()}
+    assert got == {1: [], 2: [[1_000_000, 1_000_400]]}
