@@ -16,13 +16,13 @@ from lodestone.llm.knn import top_k
 from lodestone.llm.lines import remove_repeated_runs
 from lodestone.llm.mixing import Mix, mixture
 from lodestone.llm.near import cells, darts, keep_first, near_duplicates, Words
-from lodestone.llm.packing import pack
+from lodestone.llm.packing import Encoder, pack
 from lodestone.llm.privacy import pseudonymised
 from lodestone.llm.quality import quality
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.repeats import remove_repeats
 from lodestone.llm.tokens import Counter as TokenCounter
-from lodestone.llm.tokens import count_tokens
+from lodestone.llm.tokens import Merges, count_tokens, in_slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [None, "", " ", "\n\n", "a", "a" * 30_000, "\x00" * 120, "don't <|endoftext|> WE'LL ½² 日本語 🙂", "x y\nx y\nx y\nx y"]
@@ -389,6 +389,46 @@ def test_token_counts_match_the_library(spark, tokenizer, odd_texts, docs, empty
     assert count_tokens(docs, vocabulary()).count() == docs.count() and count_tokens(empty, vocabulary()).count() == 0
 
 
+def test_long_pre_tokens_match_the_library(tokenizer):
+    random.seed(16)
+    letters = lambda n, of: "".join(random.choice(of) for _ in range(n))
+    words = "the quick brown fox jumps over a lazy dog and then some more of it".split()
+    texts = [letters(400_000, "abcdefghijklmnopqrstuvwxyz"), "".join(random.choice(words) for _ in range(20_000)), "a" * 50_001, "ab" * 20_000, "日本語の文章" * 5_000, letters(50_000, "ABCabc0123+/"), "=-" * 9_000]
+    texts += [letters(n, "abc") for n in range(250, 262)]
+    counter = TokenCounter(vocabulary())
+    assert counter.count(texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_long_texts_are_counted_in_slices(spark, tokenizer):
+    random.seed(17)
+    text = " ".join(random.choice(["one", "two", "don't", "  three", "four\n", "<|endoftext|>", "½²", "é"]) for _ in range(500_000))
+    assert len(list(in_slices([text]))) > 1
+    row = count_tokens(spark.createDataFrame([(1, text, 3)], "doc_id long, text string, n_tokens int"), vocabulary()).first()
+    assert (row.n_tokens, row.n_bytes) == (len(tokenizer.encode(text, add_special_tokens=False).ids), len(text.encode()))
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(vocabulary(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="plain byte-level"):
+            Merges(str(path))
+
+
+def test_both_ways_of_encoding_give_the_same_ids(tokenizer):
+    random.seed(18)
+    enc = Encoder(vocabulary())
+    words = "the of and über naïve straße don't 12 3456 ... !! \t \n\n x_y http://a.b/c?d=e 日本語 🙂 <|endoftext|>".split(" ")
+    texts = ["".join(random.choice(words) + random.choice(["", " ", "  "]) for _ in range(random.randrange(1, 400))) for _ in range(400)]
+    texts += ["".join(random.choice("abcdefg") for _ in range(n)) for n in (1990, 1999, 2000, 2001, 2010)] + [" " * n for n in (1999, 2000, 2001)]
+    for t in texts:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.fast.encode(t, allowed_special=enc.added, disallowed_special=()) == ids and enc.ids(t).tolist() == ids
+
+
 def test_packing_is_an_exact_round_trip(spark, tokenizer, odd_texts, docs, empty):
     texts = odd_texts + ["A sentence of some words. " * 40] * 30
     rows = pack(table(spark, texts), vocabulary()).collect()
