@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged
 from .quality import SPACE, let
@@ -13,47 +14,75 @@ RUN_LINES, LONG_WORDS = 3, 50
 NO_ID = 2**63 - 1
 
 
-def windows(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
-    """A row for each window of run_lines lines, and for each long line: its fingerprint and content. by_words: also for
-    each window of fewer lines that have long_words words together.
+def selected(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
+    """(key, sub, at, fp, windows): the lines that winnowing selects, with the windows that select them.
 
-    fp, at: the least line hash in the window and its line, which winnowing selects: equal windows select equal
-    fingerprints. w1, w2: 128 bits of the window's content. Blank lines aren't counted.
+    A window is run_lines neighbouring lines, or one line of long_words words; by_words: also fewer lines that have
+    long_words words together. It selects its least line hash, the leftmost of equals, so equal windows select equal
+    fingerprints at the same line of theirs. windows: first and last line number and 128 bits of the content. Blank lines
+    aren't counted; at counts the others from 0.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), F.trim(x).alias("t"))), lambda x: x["t"] != "")
-
-    def one(h: Column, i: Column, n: int) -> Column:
-        least = F.array_min(F.array(*[F.struct(F.get(h, i + j)["h"].alias("fp"), F.get(h, i + j)["no"].alias("at")) for j in range(n)]))
-        content = [F.get(h, i + j)["t"] for j in range(n)]
-        return F.struct(
-            F.get(h, i)["no"].alias("first"), F.get(h, i + n - 1)["no"].alias("last"), least["fp"].alias("fp"), least["at"].alias("at"),
-            F.xxhash64(F.lit(n), *content).alias("w1"), F.xxhash64(*content, F.lit(n)).alias("w2"), F.lit(n).alias("span"))
-
-    def all_windows(h: Column) -> Column:
-        runs = F.when(F.size(h) >= run_lines, F.transform(F.sequence(F.lit(0), F.size(h) - run_lines), lambda i: one(h, i, run_lines)))
-        long = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.when(F.size(F.split(F.get(h, i)["t"], SPACE)) >= long_words, one(h, i, 1))), lambda x: x.isNotNull())
-        return F.concat(F.coalesce(runs, F.slice(long, 1, 0)), long, *[F.coalesce(some, F.slice(long, 1, 0)) for some in (short(h, n) for n in range(2, run_lines) if by_words)])
-
-    def short(h: Column, n: int) -> Column:
-        words = lambda i: sum((F.get(h, i + j)["n"] for j in range(1, n)), F.get(h, i)["n"])
-        return F.when(F.size(h) >= n, F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.when(words(i) >= long_words, one(h, i, n))), lambda x: x.isNotNull()))
-
-    n_words = lambda x: [F.size(F.split(x["t"], SPACE)).alias("n")] if by_words else []
-    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), x["t"].alias("t"), F.xxhash64(x["t"]).alias("h"), *n_words(x)))
-    found = docs.select("key", "digest", let(hashed, lambda h: F.when(F.size(h) > 0, all_windows(h))).alias("found"))
-    return found.select("key", "digest", F.explode("found").alias("w")).select("key", "digest", "w.*")
-
-
-def repeats(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
-    """Windows (key, digest, first, last) whose content occurs earlier, by key and line, in this or another document."""
-    every = windows(docs, run_lines, long_words, by_words)
-    place = F.struct("key", "digest", "at")
-    shared = every.groupBy("span", "fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("span", "fp")
-    # Windows around fingerprints that stand in two places or more, then those whose whole content does.
-    near = staged(every.join(shared, ["span", "fp"], "left_semi").select("key", "digest", "first", "last", "w1", "w2"), "line-windows")
-    begin = F.struct("key", "digest", "first")
+    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g"), F.size(F.split(x["t"], SPACE)).alias("n")))
+    spans = [1, *(range(2, run_lines) if by_words else []), run_lines]
+
+    def window(h: Column, i: Column, n: int) -> Column:
+        """The window of n lines from line i; null where there is none."""
+        some = [F.get(h, i + j) for j in range(n)]
+        words = sum((x["n"] for x in some[1:]), some[0]["n"])
+        whole = some[-1].isNotNull() & (F.lit(True) if n == run_lines else words >= long_words)
+        least = F.array_min(F.array(*[F.struct(x["h"].alias("fp"), (i + j).alias("at")) for j, x in enumerate(some)]))
+        content = F.struct(
+            some[0]["no"].alias("first"), some[-1]["no"].alias("last"), least["at"].alias("at"),
+            F.xxhash64(F.lit(n), *[x["h"] for x in some]).alias("w1"), F.xxhash64(*[x["g"] for x in some], F.lit(n)).alias("w2"))
+        return F.when(whole, content)
+
+    def around(w: Column, i: Column) -> Column:
+        """The windows that select line i, all of which begin at most run_lines - 1 lines before it."""
+        near = [F.get(w, i - j)[f"s{n}"] for n in spans for j in range(n)]
+        return F.filter(F.array(*near), lambda x: x["at"] == i)
+
+    def lines_of(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(h) - 1)
+        every = F.transform(places, lambda i: F.struct(*[window(h, i, n).alias(f"s{n}") for n in spans]))
+        return let(every, lambda w: F.transform(places, lambda i: F.struct(i.alias("at"), F.get(h, i)["h"].alias("fp"), around(w, i).alias("windows"))))
+
+    found = docs.select("key", "sub", F.explode(let(hashed, lambda h: F.when(F.size(h) > 0, F.filter(lines_of(h), lambda x: F.size(x["windows"]) > 0)))).alias("x"))
+    return found.select("key", "sub", "x.at", "x.fp", "x.windows")
+
+
+def repeated_runs(docs: DataFrame, run_lines: int, long_words: int, by_words: bool) -> DataFrame:
+    """(key, sub, runs): maximal runs of lines whose windows occur earlier, by key and line, in this or another document.
+
+    Lines selected meet by fingerprint, and those whose fingerprint stands in one place only are out with all windows
+    around them: no window there can occur twice. Of the others each window is joined to the first place of its content,
+    and windows of a document that touch are joined to runs, which extends a match as far as it goes both ways.
+    """
+    marks = staged(selected(docs, run_lines, long_words, by_words), "line-marks")
+    place = F.struct("key", "sub", "at")
+    shared = marks.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
+    near = marks.join(shared, "fp", "left_semi").select("key", "sub", F.explode("windows").alias("w")).select("key", "sub", "w.first", "w.last", "w.w1", "w.w2")
+    near = staged(near, "line-windows")
+    begin = F.struct("key", "sub", "first")
     origin = near.groupBy("w1", "w2").agg(F.min(begin).alias("origin"), F.max(begin).alias("latest")).where("origin <> latest").select("w1", "w2", "origin")
-    return near.join(origin, ["w1", "w2"]).where(begin > F.col("origin")).select("key", "digest", "first", "last")
+    again = near.join(origin, ["w1", "w2"]).where(begin > F.col("origin")).select("key", "sub", "first", "last").distinct()
+    in_order = Window.partitionBy("key", "sub").orderBy("first", "last")
+    before = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = again.withColumn("opens", F.coalesce((F.col("first") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(in_order))
+    runs = opened.groupBy("key", "sub", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("key", "sub").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def without(lines: Column, runs: Column) -> Column:
+    """(text, n_removed): what is left of lines without runs, but for the runs' blank lines. Each line is looked at once."""
+    blank = lambda x: F.trim(x) == ""
+    inside = lambda r: F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1)
+    begin = lambda j: F.coalesce(F.get(runs, j - 1)["last"], F.lit(-1)) + 1
+    kept = F.transform(runs, lambda r, j: F.concat(F.slice(lines, begin(j) + 1, r["first"] - begin(j)), F.filter(inside(r), blank)))
+    rest = F.slice(lines, F.element_at(runs, -1)["last"] + 2, F.size(lines))
+    left = let(F.flatten(F.concat(kept, F.array(rest))), lambda k: F.when(F.exists(k, lambda x: ~blank(x)), F.array_join(k, "\n")).otherwise(F.lit("")))
+    n = F.aggregate(runs, F.lit(0), lambda a, r: a + F.size(F.filter(inside(r), lambda x: ~blank(x))))
+    return F.struct(left.alias("text"), n.alias("n_removed"))
 
 
 def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS, by_words: bool = False) -> DataFrame:
@@ -73,22 +102,19 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words
             stem = f"_{stem}"
         names.append(stem)
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), body)
-    slim = keyed.select("key", "digest", F.col("row.text").alias("text")).where("text IS NOT NULL")
-    gone = repeats(slim, run_lines, long_words, by_words).groupBy("key", "digest").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    gone = gone.select("key", "digest", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).alias("gone"))
-    joined = keyed.join(gone, ["key", "digest"], "left")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("sub"), body)
+    slim = keyed.select("key", "sub", F.col("row.text").alias("text")).where("text IS NOT NULL")
+    joined = keyed.join(repeated_runs(slim, run_lines, long_words, by_words), ["key", "sub"], "left")
     text = F.col("row.text")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i) | (F.trim(x) == ""))
-    left = let(kept, lambda k: F.when(F.exists(k, lambda x: F.trim(x) != ""), F.array_join(k, "\n")).otherwise(F.lit("")))
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")), F.lit(0))
-    n_gone = let(F.filter("gone", lambda i: F.trim(F.get(F.split(text, "\n"), i)) != ""), F.size)
-    cells = [F.when(F.col("gone").isNull(), text).otherwise(left).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(
+    made = F.when(F.col("runs").isNotNull(), let(F.split(text, "\n"), lambda lines: without(lines, F.col("runs"))))
+    done = joined.select("row", "runs", n_lines.alias("n_lines"), made.alias("made"))
+    cells = [F.when(F.col("runs").isNull(), text).otherwise(F.col("made.text")).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return done.select(
         *cells,
-        F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias(names[0]),
-        F.coalesce(n_gone, F.lit(0)).cast("long").alias(names[1]),
-        F.coalesce(F.size(F.filter("gone", lambda x, i: (i == 0) | (F.get(F.col("gone"), i - 1) + 1 < x))), F.lit(0)).cast("long").alias(names[2]))
+        F.col("n_lines").cast("long").alias(names[0]),
+        F.coalesce("made.n_removed", F.lit(0)).cast("long").alias(names[1]),
+        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias(names[2]))
 
 
 def lines_sql(run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> str:
@@ -102,7 +128,8 @@ w AS (
   SELECT doc_id, no AS first, lead(no, {run_lines - 1}) OVER d AS last, [{content}] AS c FROM l WHERE t <> ''
   WINDOW d AS (PARTITION BY doc_id ORDER BY no)
   UNION ALL
-  SELECT doc_id, no, no, [t] FROM l WHERE t <> '' AND len(regexp_split_to_array(t, '[ 	-]+')) >= {long_words}),
+  SELECT doc_id, no, no, [t] FROM l WHERE t <> '' AND len(regexp_split_to_array(t, '[ 	-
+]+')) >= {long_words}),
 again AS (
   SELECT * FROM (SELECT doc_id, first, last, row_number() OVER (PARTITION BY c ORDER BY doc_id, first) AS r FROM w WHERE last IS NOT NULL) WHERE r > 1),
 gone AS (SELECT DISTINCT l.doc_id, l.no FROM l JOIN again a ON l.doc_id = a.doc_id AND l.no BETWEEN a.first AND a.last),

@@ -156,6 +156,23 @@ def test_runs_of_two_lines_go_by_their_words(spark):
     assert got[1].text == "alone\n\nother"
 
 
+def test_line_runs_of_a_very_long_text(spark):
+    lines = [f"line {i % 30_000}" if i % 7 else "" for i in range(100_000)]
+    rows = [(1, "\n".join(lines), "own"), (2, "x\n" + "\n".join(lines[:50_000]) + "\ny", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_runs string")
+    got = {r.doc_id: r for r in remove_repeated_runs(df).collect()}
+    solid = [i for i, x in enumerate(lines) if x]
+    seen, gone = set(), set()
+    for a in range(len(solid) - 2):
+        some = solid[a : a + 3]
+        content = tuple(lines[i] for i in some)
+        if content in seen:
+            gone.update(some)
+        seen.add(content)
+    assert got[1].n_removed == len(gone) and got[1].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert got[2].n_removed == sum(1 for x in lines[:50_000] if x) and got[2].text.replace("\n", "") == "xy" and got[2].n_runs == "other"
+
+
 def test_line_runs_keep_names_and_nulls(spark, docs, empty):
     out = remove_repeated_runs(docs.withColumn("n_lines", F.lit("own")))
     assert out.columns[-3:] == ["_n_lines", "n_removed", "n_runs"] and out.count() == docs.count()
