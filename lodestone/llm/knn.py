@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 from .common import staged
 
 PIVOTS, BLOCK_ROWS, QUERY_ROWS = 16, 4096, 512
-#: Parts that the blocks copied to one query group are dealt into.
-SALTS = 8
+#: Blocks of data that one part of a query group gets, about, and parts at least. More parts mean more copies of the
+#: queries, which are small beside the data.
+PART_BLOCKS, LEAST_PARTS = 64, 8
 BLOCK_SCHEMA = "cell int, block long, n int, radius double, near array<double>, ids binary, dim int, vectors binary"
-#: Answers a task holds before it hands on what it has.
-HELD_QUERIES = 50_000
+#: Answers a task holds before it keeps the best of each query, and then hands on what it has.
+HELD_ANSWERS = 500_000
 
 
 def packed(rows: list[np.ndarray]) -> tuple[int, bytes]:
@@ -34,19 +35,24 @@ def padded(m: np.ndarray, dim: int) -> np.ndarray:
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by way of doubles where these hold every sum, else in 64-bit integers."""
+    """Exact integer products: by way of doubles or 64-bit integers where these hold every sum, else of Python's, cut to
+    the range of 64 bits."""
     dim = max(a.shape[1], b.shape[1])
     a, b = padded(a, dim), padded(b, dim)
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * dim < 2**53:
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * dim
+    if most < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    limits = np.iinfo(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, limits.min, limits.max).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of each row's k highest scores, ties to the smaller id; ids rise."""
     n = scores.shape[1]
-    if n <= k or np.abs(scores).max() >= 2**62 // n:
-        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    if n <= k or scores.max() >= 2**62 // n or scores.min() <= -(2**62) // n:
+        return np.argsort(~scores, axis=1, kind="stable")[:, :k]  # ~x falls as x rises, over the whole range
     key = scores * n - np.arange(n)
     top = np.argpartition(-key, k - 1, axis=1)[:, :k]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
@@ -98,6 +104,16 @@ def in_cells(rows: DataFrame, pivots: np.ndarray, size: int, k: int) -> DataFram
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def best_of_each(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best answers of each query."""
+    order = np.lexsort((vec, ~score, query))
+    q = query[order]
+    new = np.r_[True, q[1:] != q[:-1]]
+    nth = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    keep = order[nth < k]
+    return query[keep], vec[keep], score[keep]
+
+
 def bounds(pivots: np.ndarray, groups: dict[int, float], near: dict[int, list[float]], k: int) -> dict[int, float]:
     """For each query group a score that its every query reaches k times, whichever its own row is.
 
@@ -120,7 +136,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     group has a score its queries surely reach; only blocks that can reach it are copied to the group. A cell of any
     size is split in blocks, so equal vectors in great number spread over tasks. Rows with a query's id are not its
     answers. A vector that is null or holds null or non-finite components takes no part, nor does a null id; a shorter
-    vector counts as if filled with zeros; a query id that repeats is answered once, by its least vector; other columns
+    vector counts as if filled with zeros; components and scores beyond the range of long count as its ends; a query id that repeats is answered once, by its least vector; other columns
     are ignored. No queries or no rows: no answers.
     """
     data, asked = integers(rows, id_col, vector_col, scale), integers(queries, id_col, vector_col, scale)
@@ -144,19 +160,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     table = data.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("t")).select("t.*")
     slack = 1e-6 * (1 + float((norm**2).max()))
+    n_parts = max(LEAST_PARTS, -(-blocks.count() // PART_BLOCKS))
     copies = blocks.join(F.broadcast(table), "cell").where(F.col("spare") + F.col("slope") * F.col("radius") + slack >= 0)
-    left = copies.select("grp", F.expr(f"pmod(block, {SALTS})").cast("int").alias("salt"), F.col("ids").alias("d_ids"), F.col("dim").alias("d_dim"), F.col("vectors").alias("d_vectors"))
-    right = groups.select(F.col("cell").alias("grp"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("vectors").alias("q_vectors"))
+    left = copies.select("grp", F.expr(f"pmod(block, {n_parts})").cast("int").alias("salt"), F.col("ids").alias("d_ids"), F.col("dim").alias("d_dim"), F.col("vectors").alias("d_vectors"))
+    right = groups.select(F.col("cell").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("vectors").alias("q_vectors"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple[int, int]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def best_held() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return best_of_each(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
 
-        def out() -> pa.RecordBatch:
-            flat = [(q, v, s) for q, x in found.items() for s, v in x]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*flat, strict=True) if flat else ([], [], []))], ["query_id", "vec_id", "score"])
+        def out(answers) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in answers], ["query_id", "vec_id", "score"])
 
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(len(b)):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 ids, asked = np.frombuffer(row["d_ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 if not row["d_dim"] or not row["q_dim"]:
                     scores = np.zeros((len(asked), len(ids)), np.int64)
@@ -165,13 +186,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 # One more than k for each own row among the ids, which are dropped here.
                 own = np.searchsorted(ids, asked, "right") - np.searchsorted(ids, asked)
                 top = best(scores, ids, k + int(own.max()))
-                for i, q in enumerate(asked.tolist()):
-                    mine = [(int(scores[i, j]), int(ids[j])) for j in top[i] if ids[j] != q][:k]
-                    found[q] = heapq.nsmallest(k, found.get(q, []) + mine, key=lambda x: (-x[0], x[1]))
-            if len(found) > HELD_QUERIES:
-                yield out()
-                found = {}
-        yield out()
+                query, vec, score = np.repeat(asked, top.shape[1]), ids[top].ravel(), np.take_along_axis(scores, top, 1).ravel()
+                other = query != vec
+                held.append(best_of_each(query[other], vec[other], score[other], k))
+                n += len(held[-1][0])
+            if n > HELD_ANSWERS:
+                held = [best_held()]
+                n = len(held[0][0])
+                if n > HELD_ANSWERS // 2:
+                    yield out(held.pop())
+                    n = 0
+        if held:
+            yield out(best_held())
 
     local = left.join(right, ["grp", "salt"]).mapInArrow(solve, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh
+from .common import fresh, staged
 
 #: Documents of a leaf that one bucket of its order holds, about; the bucket in which the budget ends is sorted as one.
 BUCKET_DOCS = 4096
@@ -121,15 +121,16 @@ def mixture(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     Leaves are (domain, lang, source); null names count as ''. A budget of share of all tokens goes down the tree by
     weight; see budgets(). A leaf's documents come in whole epochs, then the longest prefix of a seeded order of the
     next one that doesn't exceed its budget. Rows of one leaf and id go in or stay out together. Documents without
-    tokens count nothing and come along with whole epochs or the prefix. The text is never shuffled: prefixes are cut by
-    key. An empty table stays empty.
+    tokens count nothing and come along with whole epochs or the prefix. The text is read for its length once, and never
+    shuffled: prefixes are cut by key. An empty table stays empty.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
     tagged = docs.select(domain_of(docs).alias("domain"), lang.alias("lang"), source.alias("source"), F.col("doc_id").cast("long").alias("doc_id"), tokens_of(F.col("text")).alias("tokens"), own)
-    leaves = tagged.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
-    table = cuts(tagged, budgets(leaves, mix), mix)
-    few = tagged.select(*LEVELS).distinct().limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    slim = staged(tagged.select(*LEVELS, "doc_id", "tokens"), "leaves")
+    leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
+    table = cuts(slim, budgets(leaves, mix), mix)
+    few = slim.select(*LEVELS).distinct().limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     joined = tagged.join(F.broadcast(table) if few else table, LEVELS)
     key = order_key(mix, F.col("whole"), F.col("doc_id"))
     inside = F.col("cut_key").isNotNull() & (F.struct(key, F.coalesce("doc_id", F.lit(-(2**63)))) <= F.struct("cut_key", "cut_id"))

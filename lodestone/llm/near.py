@@ -19,6 +19,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Ids that are broadcast at most (16 MB); beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Parts that the copies of one text are dealt into.
+COPY_SALTS = 64
 #: Words a worker remembers the hash of.
 REMEMBERED = 500_000
 
@@ -146,7 +148,8 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(key, cells): the sorted cells of each row, cut to 32 bits each."""
+    """(key, cells): the sorted cells of each row, cut to 32 bits each: enough to compare two documents. Over a corpus of
+    billions of cells most of them meet one by chance, so solid_sizes() then bounds less, and rightly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -162,18 +165,31 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, cells binary")
 
 
+def shared_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many cells each pair shares: all pairs' cells sorted at once, the pair's number above them."""
+    pair = np.arange(len(a), dtype=np.uint64)
+    sizes = [np.fromiter((len(x) >> 2 for x in side), np.int64, len(side)) for side in (a, b)]
+    key = np.concatenate([np.frombuffer(b"".join(side), np.uint32).astype(np.uint64) | np.repeat(pair, n) << np.uint64(32) for side, n in zip((a, b), sizes, strict=True)])
+    key.sort()
+    twice = key[1:][key[1:] == key[:-1]] >> np.uint64(32)
+    return np.bincount(twice.astype(np.int64), minlength=len(a))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a, b):
     """Weighted Jaccard similarity of two columns of sorted cells."""
     import pandas as pd
 
-    def one(x, y) -> float:
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        both = np.sort(np.concatenate([x, y]))
-        common = int((both[1:] == both[:-1]).sum())
-        return common / max(len(both) - common, 1)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    a, b = a.tolist(), b.tolist()
+    n = np.array([(len(x) + len(y)) >> 2 for x, y in zip(a, b, strict=True)], np.int64)
+    common = np.zeros(len(a), np.int64)
+    lo, held = 0, 0
+    for i in range(len(a)):
+        held += int(n[i])
+        if held > 4_000_000 or i == len(a) - 1:
+            common[lo : i + 1] = shared_cells(a[lo : i + 1], b[lo : i + 1])
+            lo, held = i + 1, 0
+    return pd.Series(common / np.maximum(n - common, 1), dtype="float64")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,8 +331,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows_ = staged(signed(texts, bands, rows), "signed")
     each = rows_.groupBy("key").agg(F.min_by("digest", "digest").alias("digest"))
-    first = each.groupBy("digest").agg(F.min("key").alias("rep"))
-    member = staged(each.join(first, "digest").select("key", "rep", "digest"), "members")
+    # Copies of one text in any number: folded by digest and salt, and joined back by both, so no task gets them all.
+    each = each.withColumn("salt", F.pmod("key", F.lit(COPY_SALTS)))
+    some = each.groupBy("digest", "salt").agg(F.min("key").alias("least"))
+    first = some.join(some.groupBy("digest").agg(F.min("least").alias("rep")), "digest").select("digest", "salt", "rep")
+    member = staged(each.join(first, ["digest", "salt"]).select("key", "rep", "digest"), "members")
     reps = rows_.join(member.where("key = rep").select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).where(F.size("bands") > 0).select("key", "bands")
     root = components(links(texts, reps, threshold))
     out = member.join(root.select(F.col("key").alias("rep"), "root"), "rep", "left")

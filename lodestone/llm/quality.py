@@ -44,7 +44,8 @@ def let(value: Column, then) -> Column:
 def repeated_words(words: Column, n: Column, bits: Column) -> Column:
     """Words that lie in 3-word windows found twice or more.
 
-    Each window is a long of hash bits above `bits` position bits; equal windows are neighbours once these are sorted.
+    Each window is a long of hash bits above `bits` position bits; equal windows are neighbours once these are sorted,
+    and neighbours of equal bits are compared word by word.
     A position covers three words, less what the next marked position covers itself.
     """
     top = lambda x: F.call_function("shiftrightunsigned", x, bits)
@@ -53,15 +54,17 @@ def repeated_words(words: Column, n: Column, bits: Column) -> Column:
     def hashed(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
 
-    def marked(s: Column) -> Column:
+    def marked(s: Column, w: Column) -> Column:
+        place = lambda x: (x - F.call_function("shiftleft", top(x), bits)).cast("int")
+        alike = lambda x, y: (top(x) == top(y)) & reduce(lambda a, b: a & b, [F.get(w, place(x) + j) == F.get(w, place(y) + j) for j in range(3)])
         return F.filter(
-            F.transform(s, lambda x, i: F.when((top(x) == top(F.get(s, i - 1))) | (top(x) == top(F.get(s, i + 1))), x - F.call_function("shiftleft", top(x), bits))),
+            F.transform(s, lambda x, i: F.when(alike(x, F.get(s, i - 1)) | alike(x, F.get(s, i + 1)), place(x).cast("long"))),
             lambda p: p.isNotNull())
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(three, F.coalesce(F.get(p, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(F.sort_array(hashed(w)), lambda s: let(F.sort_array(marked(s)), covered))))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(F.sort_array(hashed(w)), lambda s: let(F.sort_array(marked(s, w)), covered))))
 
 
 def quality(docs: DataFrame, rules: list[Rule] = RULES, stop_words: list[str] = STOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

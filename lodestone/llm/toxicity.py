@@ -129,14 +129,17 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows outside the held-out fold.
 
-    sample_rows bounds what reaches the driver: the rows first by a hash of the id. Rows with a null id, label or text
-    teach nothing; an id with several labels or rows counts each of them.
+    sample_rows bounds what is learned from: the rows first by a hash of the id. Rows with a null id, label or text
+    teach nothing; an id with several labels or texts counts each of them, rows alike in id, label and text once.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), (F.col(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key", "label").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select("text", "label", "key")
-    sample = staged(rows.orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label").repartition(16), "sample")
+    # Ids and hashes are put in order and cut, then the texts of these rows are fetched.
+    slim = texts.join(F.broadcast(chosen), "key").select("key", "label", F.xxhash64("text").alias("hash")).distinct()
+    picked = staged(slim.orderBy(F.xxhash64("key"), "key", "label", "hash").limit(sample_rows), "picked")
+    rows = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(picked), ["key", "hash"])
+    sample = staged(rows.dropDuplicates(["key", "hash", "label"]).select("text", "label").repartition(16), "sample")
     n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n1 in (0, n):  # rows of both labels are needed to learn; without them every score is near 0
         return Model({}, -20.0)
@@ -158,7 +161,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     offending: character spans of the sentences that score 0.5 or more themselves. Null and empty texts, and texts
     without a word, score 0. Repeated rows are scored each, null ids stay null, other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -552,3 +552,85 @@ def test_repeats_ignore_other_columns_and_take_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, kept string, text string, id long").withColumn("bytes", F.lit(1)).withColumn("spans", F.lit(2))
     got = {r.doc_id: [[s.start, s.stop] for s in r.removed] for r in remove_repeats(df).collect()}
     assert got == {1: [], 2: [[1_000_000, 1_000_400]]}
+
+
+# --- more awkward input
+
+
+def test_top_k_of_ties_repeated_rows_and_great_numbers(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(7, [1.0, 0.0]), (50, [1e30, -1e30]), (51, [-1e30, 1e30]), (52, [2.0**50, 0.0]), (60, []), (61, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("own")).withColumn("rank", F.lit(0))
+    got = {}
+    for r in top_k(df, df.where("vec_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    limit = 2**63 - 1
+    assert [v for v, _ in got[0]] == [50, 52, 61, 1, 2] and [s for _, s in got[0]][:2] == [limit, limit]
+    assert [v for v, _ in got[10]][2:] == [61, 0, 1]
+    assert got[50] == [(i, limit) for i in range(5)]
+    assert got[60] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark, words):
+    import math
+    import re
+
+    random.seed(19)
+    model = toxicity.Model({w: random.uniform(-2, 2) for w in words[:60]} | {f"{w[:3]}-": random.uniform(-1, 1) for w in words[60:90]}, -1.5)
+    texts = [" ".join(random.choice(words) + random.choice(["", "", ".", "!", "\n", ","]) for _ in range(random.randrange(60))) for _ in range(80)] + [None, "", "...", "x " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("n_sentences", F.lit(2))
+    for r in toxicity.score(df, model).collect():
+        clean, n = 1.0, 0
+        for s in re.split(r"[.!?\n]+", texts[r.doc_id] or ""):
+            found = set(re.findall(r"[^\W_]+", s.lower()))
+            if found:
+                n += 1
+                z = model.bias + sum(model.weights.get(f, 0) for w in found for f in [w, *(f"{w[:k]}-" for k in (3, 4, 5, 6) if len(w) > k)])
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert r.n_sentences == n and abs(r.score - (1 - clean)) < 1e-9
+
+
+def test_a_sample_takes_rows_of_one_id_and_text_once(spark):
+    rows = [(i, f"word{i % 7} and more", i % 2) for i in range(300)] + [(1, "word1 and more", 1)] * 50
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:300]], "doc_id long, toxic int")
+    assert abs(toxicity.fit(docs, labels).bias - toxicity.fit(docs.dropDuplicates(), labels).bias) < 1e-9
+
+
+def test_mixture_of_ties_and_repeated_rows(spark):
+    rows = [(i % 20, "abcd" * 5, "en", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit(0)).withColumn("key", F.lit("k"))
+    got = Counter(r.doc_id for r in mixture(df, Mix(share=(1, 2), epochs=1)).collect())
+    assert set(got.values()) == {3} and len(got) == 10  # rows of one id stay together
+
+
+def test_quality_of_long_texts_and_clashing_names(spark, words):
+    random.seed(20)
+    text = " ".join(random.choice(words) for _ in range(150_000))
+    df = spark.createDataFrame([(1, text, 1), (2, "a b c " * 50_000, 2)], "doc_id long, text string, n_words int").withColumn("kept", F.lit("x"))
+    got = {r.doc_id: r for r in quality(df).collect()}
+    w = text.split()
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    assert got[1].n_repeat_words == len({i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)})
+    assert got[2].n_words == got[2].n_repeat_words == 150_000 and got[2].base_failed
+
+
+def test_near_duplicates_of_long_texts_copies_and_clashing_names(spark, words):
+    random.seed(24)
+    base = [random.choice(words) for _ in range(40_000)]
+    other = list(base)
+    for i in range(0, 40_000, 400):
+        other[i] = "changed"
+    rows = [(5, " ".join(base), "a"), (6, " ".join(other), "b"), *[(10 + i, "one two three four five six", "c") for i in range(200)], (5, " ".join(base), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("key", F.lit(0)).withColumn("bands", F.lit(1))
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert got == {5: 5, 6: 5} | {10 + i: 10 for i in range(200)}
+    kept = keep_first(df).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 10] and all(r.key == 0 for r in kept)
+
+
+def test_packing_of_long_texts_repeated_rows_and_clashing_names(spark, tokenizer):
+    text = "word and word " * 40_000
+    df = spark.createDataFrame([(1, text, 7), (2, "x", 8), (2, "x", 8)], "doc_id long, text string, offset int").withColumn("length", F.lit("l"))
+    rows = pack(df, vocabulary()).collect()
+    n = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id == 1) == n and sum(r.length for r in rows if r.doc_id == 2) == 4
