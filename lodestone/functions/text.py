@@ -137,7 +137,9 @@ SIGNALS = [
     ("calculation", 1, r"(?i)\b(?:berechne|ermittle|bestimme|rechne|calculate|compute|derive|herleite)\b"),
     ("direct", -1, r"(?i)^\s*(?:was (?:ist|bedeutet)|definiere|definition|wo (?:steht|finde)|welche seite|wie lautet (?:die )?(?:formel|definition)|what is|define|where is)\b"),
 ]
+#: Question words (fixed values).
 QUESTION_WORD = r"(?i)\b(?:was|wie|warum|wann|wo|welche[rmns]?|wer|wodurch|what|how|why|where|which|who)\b"
+#: Where a question falls into clauses (fixed values).
 CLAUSE = r"(?i)[;?]+|\b(?:sowie|außerdem|zusätzlich|and additionally)\b|\b(?:und|and)\s+(?=(?:was|wie|warum|wann|wo|welche[rmns]?|wer|wodurch|what|how|why|where|which|who)\b)"
 #: Candidate cap, least and most results, facets, evidence tokens by complexity (fixed values).
 BUDGETS = {"simple": (24, 1, 5, 1, 320), "standard": (40, 2, 8, 2, 1200), "complex": (72, 4, 14, 4, 2400)}
@@ -169,7 +171,10 @@ def host_policy(url: Column) -> Column:
     loop = host.rlike(r"^(localhost|127\..*|\[::1\])$")
     return F.when(host == "", "invalid").when(~scheme.isin("http", "https"), "scheme").when(authority.contains("@"), "credentials").when(loop, "loopback").when(private, "private").otherwise("allow")
 
+
+#: The interrogative frame of a question (fixed values).
 FRAME = r"(?i)^\s*(?:was|wer|wen|wem|wie|wo|wohin|woher|wann|warum|weshalb|wieso|wodurch|womit|wofür|welche[rsnm]?|what|which|how|where|when|why)\b\s*(?:ist|sind|war|waren|wird|werden|bedeutet|heißt|nennt\s+man|versteht\s+man\s+unter|gibt\s+es|macht|kann|können|muss|müssen|darf|dürfen|is|are|does|do)?\s*(?:\b(?:der|die|das|den|dem|des|ein|eine|einen|einem|einer|eines|the|a|an)\b)?\s*"
+#: Its end (fixed values).
 FRAME_TAIL = r"(?i)\s*\b(?:gibt\s+es|gibt'?s|kennt\s+man|unterscheidet\s+man|are\s+there)\s*\??\s*$"
 
 

@@ -43,6 +43,15 @@ def current_editions(docs: DataFrame, work: str, order: list[Column], superseded
     return top_by(alive, [work], order, 1, "_r").drop("_r")
 
 
+def with_first(df: DataFrame, id_col: str, key: str, salts: int = 64) -> DataFrame:
+    """Adds rep, the smallest id of the rows with the same key. Rows of a hot key are folded by key and salt, and joined
+    back by both, so no task gets them all."""
+    salted = df.withColumn("_salt", F.pmod(F.col(id_col), F.lit(salts)))
+    some = salted.groupBy(key, "_salt").agg(F.min(id_col).alias("_least"))
+    first = some.join(some.groupBy(key).agg(F.min("_least").alias("rep")), key).select(key, "_salt", "rep")
+    return salted.join(first, [key, "_salt"]).drop("_salt")
+
+
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or update: rows of new replace those of old with the same key."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.tables import staged
 from .ranking import top_by
 
 
@@ -18,13 +19,34 @@ def ngrams(tokens: Column, most: int) -> Column:
     return let(tokens, lambda words: F.concat(*[runs(words, w) for w in range(1, most + 1)]))
 
 
+def gram_numbers(tokens: Column, most: int) -> Column:
+    """Distinct numbers of all runs of 1 to `most` tokens: 61 bits of a hash, and the width in the lowest 3."""
+    def numbered(words: Column, i: Column, width: int) -> Column:
+        return F.shiftleft(F.xxhash64(*[F.get(words, i + j) for j in range(width)]), 3).bitwiseOR(F.lit(width).cast("long"))
+
+    def runs(words: Column, width: int) -> Column:
+        return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: numbered(words, i, width))).otherwise(F.array().cast("array<long>"))
+
+    return let(tokens, lambda words: F.array_distinct(F.concat(*[runs(words, w) for w in range(1, most + 1)])))
+
+
 def keyphrases(docs: DataFrame, doc: str, tokens: Column, most: int, k: int) -> DataFrame:
     """(phrase, df, score): the k phrases of 1 to `most` words in two documents or more of highest
-    (1 + (words - 1) / 4) * df, ties to the longer, then the smaller phrase."""
-    found = docs.select(doc, tokens.alias("tokens")).select(doc, F.explode(F.array_distinct(ngrams(F.col("tokens"), most))).alias("phrase"))
-    df = found.where("phrase <> ''").groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    score = (1.0 + 0.25 * (F.size(F.split("phrase", " ")) - 1)) * F.col("df")
-    return df.withColumn("score", score).orderBy(F.col("score").desc(), F.length("phrase").desc(), "phrase").limit(k)
+    (1 + (words - 1) / 4) * df, ties to the longer, then the smaller phrase.
+
+    Phrases are counted by number. Only of those that reach the k-th score the words are looked up, in one document of each.
+    """
+    numbers = docs.select(doc, F.explode(gram_numbers(tokens, most)).alias("number"))
+    df = numbers.groupBy("number").agg(F.count(F.lit(1)).alias("df"), F.min(doc).alias("in")).where("df >= 2")
+    scored = staged(df.withColumn("score", (1.0 + 0.25 * (F.col("number").bitwiseAND(7) - 1)) * F.col("df")), "phrases")
+    least = scored.orderBy(F.col("score").desc()).limit(k).agg(F.min("score").alias("least"))
+    scored = scored.join(F.broadcast(least)).where("score >= least").drop("least")
+    words = docs.join(scored.select(F.col("in").alias(doc)).distinct(), doc, "left_semi").select(F.col(doc).alias("in"), F.explode(ngrams(tokens, most)).alias("phrase"))
+    split = F.split("phrase", " ")
+    number = F.coalesce(*[F.when(F.size(split) == w, F.shiftleft(F.xxhash64(*[F.get(split, j) for j in range(w)]), 3).bitwiseOR(F.lit(w).cast("long"))) for w in range(1, most + 1)])
+    spelled = words.where("phrase <> ''").withColumn("number", number).distinct()
+    found = spelled.join(scored, ["in", "number"])
+    return found.orderBy(F.col("score").desc(), F.length("phrase").desc(), "phrase").limit(k).select("phrase", "df", "score")
 
 
 def cooccurrence(terms: DataFrame, unit: str, term: str, least: int = 2) -> DataFrame:

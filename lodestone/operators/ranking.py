@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
+from ..sources.tables import staged
 
 #: Rank constant and channel weights of the fusion (fixed values).
 RANK_CONSTANT = 60
@@ -34,21 +35,24 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> tuple[DataFrame, Data
     return tf, words.select(doc, F.size("tokens").alias("length"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query: str, query_tokens: Column, doc: str, doc_tokens: Column, k: int) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query: str, query_tokens: Column, doc: str, doc_tokens: Column, k: int, only: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query by BM25, ties to the smaller document.
 
-    Statistics are over all documents, whatever a filter lets through later. Only postings of query terms are joined,
-    and scores are summed by (query, doc) before any sort.
+    Statistics are over all documents. With `only`, documents not in it are out before the k best are taken, so a filter
+    costs no results. Texts are tokenised once, into lists that are staged; only postings of query terms are joined, and
+    scores are summed by (query, doc) before any sort.
     """
     wanted = queries.select(query, F.explode(F.array_distinct(query_tokens)).alias("term"))
-    words = docs.select(F.col(doc), doc_tokens.alias("tokens")).withColumn("length", F.size("tokens"))
+    words = staged(docs.select(F.col(doc), doc_tokens.alias("tokens")).withColumn("length", F.size("tokens")), "tokens")
     stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     tf = words.select(doc, "length", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", doc, "length").agg(F.count(F.lit(1)).alias("tf"))
+    tf = staged(tf, "postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One row of statistics, so a broadcast of a proven size.
     weighed = df.join(F.broadcast(stats)).withColumn("idf", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scores = wanted.join(tf.join(weighed, "term"), "term").groupBy(query, doc).agg(F.round(F.sum(part), 9).alias("score"))
+    admitted = tf if only is None else tf.join(only.select(doc), doc, "left_semi")
+    scores = wanted.join(admitted.join(weighed, "term"), "term").groupBy(query, doc).agg(F.round(F.sum(part), 9).alias("score"))
     return top_by(scores, [query], [F.col("score").desc(), F.col(doc)], k)
 
 
@@ -66,6 +70,15 @@ def fused(rankings: DataFrame, query: str, item: str, weights: dict[str, float]
     return placed if k is None else placed.where(F.col("rank") <= k)
 
 
+def fused_places(rankings: DataFrame, query: str, item: str, weights: dict[str, float], k: int | None = None) -> DataFrame:
+    """(query, item, score, paths, rank): as fused(), but every place counts as it is, for rankings of distinct items."""
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    share = F.coalesce(F.element_at(table, F.col("path")), F.lit(1.0)) / (RANK_CONSTANT + F.col("pos"))
+    total = rankings.groupBy(query, item).agg(F.round(F.sum(share), 12).alias("score"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
+    placed = total.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), item)))
+    return placed if k is None else placed.where(F.col("rank") <= k)
+
+
 def calibrated(raw: Column, scale: float = SCALE, bias: float = BIAS) -> Column:
     return sigmoid(scale * raw + bias)
 
@@ -137,12 +150,20 @@ def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return sums.select(F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q")), 9).alias("auc"))
 
 
+#: Distinct scores that a calibration takes.
+MOST_SCORES = 200_000
+
+
 def platt(df: DataFrame, score: str, label: str, rounds: int = 250) -> tuple[float, float]:
     """Scale and bias of a logistic calibration by full-batch gradient descent.
 
-    The descent needs only counts of (score, label); scores are rounded to 3 digits, which bounds what the driver sees.
+    The descent needs only counts of (score, label). More than MOST_SCORES distinct scores are an error: the caller rounds
+    scores to what the fit needs, since what the driver sees must be bounded.
     """
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.round(score, 3).alias("s"), (F.col(label) > 0).cast("int").alias("y")).count().orderBy("s", "y").toArrow()
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    if known.select(score).distinct().limit(MOST_SCORES + 1).count() > MOST_SCORES:
+        raise ValueError(f"more than {MOST_SCORES} distinct scores: round them")
+    rows = known.groupBy(F.col(score).alias("s"), (F.col(label) > 0).cast("int").alias("y")).count().orderBy("s", "y").toArrow()
     s, y, n = (rows.column(c).to_numpy().astype(float) for c in ("s", "y", "count"))
     total = n.sum()
     if total < 4 or len(set(y.tolist())) < 2:
@@ -155,12 +176,17 @@ def platt(df: DataFrame, score: str, label: str, rounds: int = 250) -> tuple[flo
     return scale, bias
 
 
-def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, salts: int = 16) -> DataFrame:
+#: Rows of data that one part gets, about; the queries are copied to every part.
+PART_ROWS = 250_000
+
+
+def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """(query_id, item, similarity, rank): the k rows of greatest cosine similarity with each query, its own row apart.
 
-    Both sides go in blocks of normalised vectors; each block of queries meets every block of data once, and a task
-    keeps k answers for a query.
+    Both sides go in blocks of normalised vectors; each block of queries meets every block of data once. There are as
+    many parts as the data's size asks for.
     """
+    salts = max(16, -(-rows.count() // PART_ROWS))
 
     def blocks(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +219,6 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k
     kind = "salt int, ids binary, m binary"
     data = rows.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(blocks(4096), kind)
     asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(blocks(512), kind)
-    asked = asked.select(F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     found = data.join(asked, "salt").select("ids", "m", "q_ids", "q_m").mapInArrow(solve, "query_id long, item long, similarity double")
     return top_by(found, ["query_id"], [F.col("similarity").desc(), F.col("item")], k)

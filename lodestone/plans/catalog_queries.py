@@ -228,16 +228,32 @@ def median_deviation(spark, sf_dir):
     return d.join(m, "source").groupBy("source").agg(F.first("m").alias("median"), F.median(F.abs(F.col("n_chars") - F.col("m"))).alias("mad"))
 
 
-@query("""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS b FROM embeddings),
-k AS (SELECT vec_id, b, unnest(range(1, 9)) AS band FROM h),
-p AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: abs(z[1] - z[2])))::INTEGER AS distance
-  FROM k x JOIN k y ON x.band = y.band AND x.vec_id < y.vec_id AND x.b[(x.band - 1) * 8 + 1:x.band * 8] = y.b[(y.band - 1) * 8 + 1:y.band * 8])
+SIGNS = """h AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS b FROM embeddings),
+m AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY b) AS rep, b FROM h)"""
+
+
+def sign_hashes(spark, sf_dir):
+    """(vec_id, h): a bit for each of a vector's 64 signs."""
+    bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("long")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("h"))
+
+
+@query(f"WITH {SIGNS} SELECT vec_id, rep FROM m")
+def equal_perceptual_hashes(spark, sf_dir):
+    """The first vector of equal sign hashes for each."""
+    return catalog.with_first(sign_hashes(spark, sf_dir), "vec_id", "h").select("vec_id", "rep")
+
+
+@query(f"""WITH {SIGNS}, r AS (SELECT rep AS v, b FROM m WHERE vec_id = rep),
+p AS (SELECT x.v AS a, y.v AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: abs(z[1] - z[2])))::INTEGER AS distance FROM r x JOIN r y ON x.v < y.v)
 SELECT a, b, distance FROM p WHERE distance <= 6""")
 def near_perceptual_hashes(spark, sf_dir):
-    """Pairs of 64-bit sign hashes at a distance of 6 bits or less: some one of 8 bytes must be equal."""
-    bits = F.transform("embedding", lambda x: (x > 0).cast("int"))
-    h = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("b"))
-    k = h.select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("band")).withColumn("byte", F.slice("b", F.col("band") * 8 + 1, F.lit(8)))
-    x, y = k.select(F.col("vec_id").alias("a"), F.col("b").alias("xb"), "band", "byte"), k.select(F.col("vec_id").alias("bb"), F.col("b").alias("yb"), "band", "byte")
-    apart = F.aggregate(F.zip_with("xb", "yb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    return x.join(y, ["band", "byte"]).where("a < bb").withColumn("distance", apart).where("distance <= 6").select("a", F.col("bb").alias("b"), "distance").distinct()
+    """Pairs of different 64-bit sign hashes at a distance of 6 bits or less, each hash standing for the vectors that have
+    it. Six bits spoil six bytes at most, so some two of the eight are equal: 28 keys of 16 bits for each hash."""
+    h = catalog.with_first(sign_hashes(spark, sf_dir), "vec_id", "h").where("vec_id = rep").select("vec_id", "h")
+    byte = lambda i: F.call_function("shiftrightunsigned", F.col("h"), F.lit(8 * i)).bitwiseAND(255)
+    keys = [F.struct(F.lit(8 * i + j).alias("bytes"), (byte(i) * 256 + byte(j)).alias("value")) for i in range(8) for j in range(i)]
+    k = h.select("vec_id", "h", F.explode(F.array(*keys)).alias("k")).select("vec_id", "h", "k.*")
+    x, y = k.select(F.col("vec_id").alias("a"), F.col("h").alias("ha"), "bytes", "value"), k.select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), "bytes", "value")
+    pairs = x.join(y, ["bytes", "value"]).where("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))))
+    return pairs.where("distance <= 6").select("a", "b", "distance").distinct()

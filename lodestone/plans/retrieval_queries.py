@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import graph, ranking
+from ..operators import catalog, graph, ranking
 from ..sources.tables import table
 from .registry import query
 from .text_queries import BOOK, STOP, terms_sql
@@ -36,8 +36,8 @@ oq AS (SELECT item_id, doc_id, round(count(*) / sqrt(any_value(n)), 9) AS score
 ov AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM oq)"""
 
 
-def bm25_of_benchmark(spark, sf_dir, k):
-    return ranking.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", index_tokens("text"), "doc_id", index_tokens("text"), k)
+def bm25_of_benchmark(spark, sf_dir, k, only=None):
+    return ranking.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", index_tokens("text"), "doc_id", index_tokens("text"), k, only)
 
 
 def overlap_of_benchmark(spark, sf_dir, k):
@@ -53,6 +53,15 @@ def bm25_top_k(spark, sf_dir):
     return bm25_of_benchmark(spark, sf_dir, 10).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {BM25}, al AS (SELECT doc_id FROM documents WHERE lower(lang) = 'de' AND lower(source) IN ('src1', 'src2')),
+fr AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM al))
+SELECT item_id, doc_id, rank, round(score, 6) AS score FROM fr WHERE rank <= 3""")
+def bm25_filtered_before_limit(spark, sf_dir):
+    """The three best documents of a filtered library: the filter is a semi join before the limit, so it costs no results."""
+    only = table(spark, sf_dir, "documents").where(catalog.document_filter({"language": "DE", "source": ["src1", "src2"]}))
+    return bm25_of_benchmark(spark, sf_dir, 3, only).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS item, round(list_cosine_similarity(q.e, c.e), 9) AS similarity FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item)::INTEGER AS rank FROM s)
@@ -156,7 +165,7 @@ def auc_by_rank_sums(spark, sf_dir):
 def platt_calibration(spark, sf_dir):
     """Logistic calibration of a length score on the quality labels; an iterative fit, held against brute force in the tests."""
     x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    scale, bias = ranking.platt(x.select((F.log(F.col("n_chars") + 1.0) - 7.0).alias("s"), "quality"), "s", "quality")
+    scale, bias = ranking.platt(x.select(F.round(F.log(F.col("n_chars") + 1.0) - 7.0, 3).alias("s"), "quality"), "s", "quality")
     return spark.createDataFrame([(float(scale), float(bias))], "scale double, bias double")
 
 

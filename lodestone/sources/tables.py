@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a single machine, and an error on a
+    cluster, whose executors don't share folders."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder once, to be read several times; the folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_schema(df: DataFrame, schema: StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """df in the columns of schema: missing ones are filled, others dropped, types cast. An additive migration."""
     defaults = defaults or {}

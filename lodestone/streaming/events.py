@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import shared_dir
+
 
 def sequenced(events: DataFrame, entity: str, order: str) -> DataFrame:
     """Adds sequence, each entity's own count from 1 in the order of the log."""
@@ -47,12 +49,7 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
-    return f"{base}/lodestone-stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lodestone-stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
