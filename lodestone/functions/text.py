@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 STOP_WORDS = ["aber", "als", "auch", "das", "der", "die", "ein", "eine", "für", "ist", "mit", "oder", "sind", "und", "von", "was", "welche", "wie", "wird", "the", "and", "what", "which"]
 GERMAN_CUES = [" der ", " die ", " und ", " auflage ", " seite "]
@@ -261,3 +262,68 @@ def fuzzy(candidate: Column, pattern: str) -> Column:
     escaped = [("\\" + c if c in r"\.^$*+?()[]{}|" else c) for c in letters]
     span = F.regexp_extract(F.lower(candidate), "(" + ".*?".join(escaped) + ")", 1)
     return F.when(F.length(span) > 0, F.lit(float(len(letters))) / F.length(span))
+
+
+#: Technical literals: standards, numbers with units and ranges, plain numbers, codes, names with an underscore, Greek
+#: letters (fixed values); and the marks of evidence that are none.
+LITERAL = (
+    r"(?iU)"
+    r"(?:\b(?:DIN|EN|ISO|IEC|VDI|ASTM)\s*[A-Z0-9][A-Z0-9 ./:+-]*\d\b)"
+    r"|(?:(?<!\w)[+-]?\d+(?:[.,]\d+)?(?:e[+-]?\d+)?"
+    r"(?:\s*(?:±|–|-|bis|to)\s*[+-]?\d+(?:[.,]\d+)?(?:e[+-]?\d+)?)?\s*"
+    r"(?:%|‰|mm|cm|km|m|µm|nm|mg|kg|g|t|Pa|kPa|MPa|GPa|N|kN|W|kW|MW|V|A|Hz|K|°C|°)\b)"
+    r"|(?:(?<!\w)[+-]?\d+(?:[.,]\d+)?(?:e[+-]?\d+)?\b)"
+    r"|(?:\b[A-Z][A-Z0-9]*(?:[/.-][A-Z0-9]+)+\b)"
+    r"|(?:\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9]+\b)"
+    r"|(?:[α-ωΑ-Ω](?:_[A-Za-z0-9]+)?)"
+)
+EVIDENCE_MARK = r"(?i)\[(?:E|C)\d+\]"
+
+
+def technical_literals(s: Column) -> Column:
+    """Distinct literals of a text in its compatible form, in lower case without white space."""
+    plain = F.when(s.rlike(r"[^\x00-\x7f]"), nfkc(s)).otherwise(s)
+    found = F.regexp_extract_all(F.regexp_replace(plain, EVIDENCE_MARK, ""), F.lit(LITERAL), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))))
+
+
+def strictly_supported(answer: Column, evidence: Column) -> Column:
+    """Whether all literals of an answer stand in its evidence."""
+    return F.size(F.array_except(technical_literals(answer), technical_literals(evidence))) == 0
+
+
+def sentence_offsets(s: Column) -> Column:
+    """Begin and end of each sentence, without outer white space, in characters of the text."""
+    marked = F.split(F.regexp_replace(s, r"([.!?])(\s+)", "$1\u0001$2\u0001"), "\u0001")
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.length(x) - F.length(F.ltrim(F.regexp_replace(x, r"^\s+", "")))
+        end = a["at"] + F.length(F.regexp_replace(x, r"\s+$", ""))
+        span = F.array(F.struct(begin.alias("start"), end.alias("stop")))
+        return F.struct((a["at"] + F.length(x)).alias("at"), F.when(F.trim(F.regexp_replace(x, r"\s+", "")) == "", a["out"]).otherwise(F.concat(a["out"], span)).alias("out"))
+
+    return F.aggregate(marked, state, step, lambda a: a["out"])
+
+
+@F.pandas_udf(StringType())
+def nfkc(s):
+    """Compatibility composition, which no built-in function has."""
+    import unicodedata
+
+    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def without_marks(s):
+    """Compatibility decomposition without combining marks."""
+    import unicodedata
+
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+
+
+def any_book_text(s: Column) -> Column:
+    """book_text for any script: only texts beyond Latin letters go through Python."""
+    plain = F.replace(s, F.lit("ß"), F.lit("ss"))
+    decomposed = F.when(plain.rlike(r"[^\x00-\x7f]"), without_marks(plain)).otherwise(plain)
+    return F.trim(F.regexp_replace(F.replace(F.lower(decomposed), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))

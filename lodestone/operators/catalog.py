@@ -6,11 +6,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ranking import top_by
 
 #: Keys of the document filter and the columns they look at.
 FILTER_KEYS = {"language": "lang", "source": "source", "document": "doc_id"}
+#: Keys of a library's filter: several look at one column, some at lists (fixed values).
+LIBRARY_KEYS = {
+    "document_id": "doc_id", "logical_document_id": "doc_id", "document_ids": "doc_id", "logical_document_ids": "doc_id", "work_id": "work_id", "title": "title",
+    "edition": "edition_label", "edition_number": "edition_number", "publication_year": "publication_year", "document_status": "document_status",
+    "language": "lang", "authors": "authors", "author": "authors", "isbn": "isbn", "tags": "tags",
+}
+LIST_KEYS = {"authors", "author", "isbn", "tags"}
+#: Keys that name a version, so that older editions stay in (fixed values).
+VERSION_KEYS = {"document_id", "logical_document_id", "document_ids", "logical_document_ids", "edition", "edition_number", "publication_year", "document_status"}
 
 
 def document_filter(filters: dict[str, object], keys: dict[str, str] = FILTER_KEYS) -> Column | None:
@@ -25,11 +35,26 @@ def document_filter(filters: dict[str, object], keys: dict[str, str] = FILTER_KE
     parts = []
     for key, value in filters.items():
         wanted = [str(v).lower() for v in (value if isinstance(value, (list, tuple, set)) else [value])]
-        if wanted:
+        if wanted and key in LIST_KEYS:
+            parts.append(F.coalesce(F.arrays_overlap(F.transform(keys[key], F.lower), F.array(*[F.lit(w) for w in wanted])), F.lit(False)))
+        elif wanted:
             parts.append(F.lower(F.col(keys[key]).cast("string")).isin(wanted))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
+def library(docs: DataFrame, filters: dict[str, object], policy: str = "all") -> DataFrame:
+    """Documents that meet all filters; with policy current-only the latest edition of each work, unless a filter names a
+    version."""
+    if policy not in ("all", "current-only"):
+        raise ValueError(f"unknown policy {policy}")
+    where = document_filter(filters, LIBRARY_KEYS)
+    found = docs if where is None else docs.where(where)
+    if policy == "all" or VERSION_KEYS & set(filters):
+        return found
+    order = [F.coalesce("edition_number", F.lit(0)).desc(), F.coalesce("publication_year", F.lit(0)).desc(), F.col("doc_id").desc()]
+    return current_editions(found, "work_id", order, F.coalesce("document_status", F.lit("active")) == "superseded")
+
+
 def allow_list(ids: list | None, column: str) -> Column:
     """None lets everything through, an empty list nothing."""
     if ids is None:
@@ -78,3 +103,23 @@ def selection_digest(ids: Column) -> Column:
 def rule(df: DataFrame, code: str, broken: Column | None, key: Column) -> DataFrame:
     """(code, id) of the rows that break a rule."""
     return (df if broken is None else df.where(broken)).select(F.lit(code).alias("code"), key.cast("string").alias("id"))
+
+
+def without_keys(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Delete by key; applied to each dependent table it is a cascade."""
+    return df.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def contiguous(spans: DataFrame, by: str, first: str, last: str, total: Column) -> DataFrame:
+    """(by, code) of units whose spans, in order, don't cover 1 to total exactly once."""
+    place = Window.partitionBy(by).orderBy(first, last)
+    s = spans.withColumn("_before", F.coalesce(F.lag(last).over(place), F.lit(0))).withColumn("_step", F.col(first) - F.col("_before"))
+    units = s.groupBy(by).agg(F.max("_step").alias("most"), F.min("_step").alias("least"), F.max(last).alias("end"), F.max(total).alias("total"))
+    code = F.when(F.col("least") < 1, "overlap").when(F.col("most") > 1, "gap").when(F.col("end") != F.col("total"), "short")
+    return units.select(by, code.alias("code")).where("code IS NOT NULL")
+
+
+def live_blobs(blobs: DataFrame, marks: list[DataFrame], digest: str, cutoff: Column, changed: str) -> DataFrame:
+    """Blobs to sweep: referenced by none of the marks and older than the cut-off."""
+    marked = reduce(lambda a, b: a.union(b), [m.select(digest) for m in marks]).distinct()
+    return blobs.join(marked, digest, "left_anti").where(F.col(changed) < cutoff)

@@ -84,50 +84,82 @@ def language_of_documents(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS d FROM orders),
-s AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: i * d[i]::INTEGER))::INTEGER % 11 AS c FROM b)
-SELECT o_orderkey, '978-' || d || '-' || CASE WHEN c = 10 THEN 'X' ELSE c::VARCHAR END AS raw,
-  CASE WHEN c = 10 THEN NULL WHEN (10 - (9 + 3 * 7 + 8 + list_sum(list_transform(range(1, 10), lambda i: (CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END) * d[i]::INTEGER))) % 10) % 10 = c THEN '978' || d || c END AS isbn13,
-  d || CASE WHEN c = 10 THEN 'X' ELSE c::VARCHAR END AS isbn10 FROM s""")
+w AS (SELECT o_orderkey, unnest([0, 1, 2, 3]) AS form, unnest(['978-' || d || '-' || (o_orderkey % 10), d[:1] || '-' || d[2:5] || '-' || d[6:] || '-' || (o_orderkey % 10), d || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '7' END, 'ISBN ' || d]) AS raw FROM b),
+c AS (SELECT *, regexp_replace(upper(raw), '[^0-9X]', '', 'g') AS d FROM w),
+v AS (SELECT *, list_transform(string_split(d, ''), lambda x: CASE WHEN x = 'X' THEN 10 ELSE TRY_CAST(x AS INTEGER) END) AS n FROM c)
+SELECT o_orderkey, form, CASE WHEN len(n) = 10 AND list_sum(list_transform(n, lambda x, i: x * (11 - i)))::INTEGER % 11 = 0 THEN d
+  WHEN len(n) = 13 AND list_sum(list_transform(n, lambda x, i: x * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END))::INTEGER % 10 = 0 THEN d END AS isbn FROM v""")
 def isbn_checks(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("d"))
-    c = sum((i * F.substring("d", i, 1).cast("int") for i in range(1, 10)), F.lit(0)) % 11
-    check = F.when(c == 10, "X").otherwise(c.cast("string"))
-    d = d.select("o_orderkey", F.concat(F.lit("978-"), "d", F.lit("-"), check).alias("raw"), F.concat("d", check).alias("ten"))
-    return d.select("o_orderkey", "raw", t.isbn(F.col("raw")).alias("isbn13"), t.isbn(F.col("ten")).alias("isbn10"))
+    """Right and wrong ISBNs in four forms; most fail their check digit, the last is too short."""
+    d, last = F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), (F.col("o_orderkey") % 10).cast("string")
+    part = lambda i, n: F.substring(d, i, n)
+    raw = [F.concat(F.lit("978-"), d, F.lit("-"), last), F.concat_ws("-", part(1, 1), part(2, 4), part(6, 4), last), F.concat(d, F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("7")), F.concat(F.lit("ISBN "), d)]
+    w = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*raw)).alias("form", "raw"))
+    return w.select("o_orderkey", "form", t.isbn(F.col("raw")).alias("isbn"))
 
 
-@query("SELECT p_partkey, p_size::INTEGER AS page FROM part")
-def roman_page_numbers(spark, sf_dir):
-    """Page numbers written as Roman numerals and read back."""
-    n = F.col("p_size")
-    tens = F.element_at(F.array(*[F.lit(x) for x in ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC")]), (n / 10).cast("int") + 1)
-    ones = F.element_at(F.array(*[F.lit(x) for x in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")]), n % 10 + 1)
-    written = table(spark, sf_dir, "part").select("p_partkey", F.concat(tens, ones).alias("r"))
-    return written.select("p_partkey", t.roman(F.col("r")).alias("page"))
+ROMAN_TENS = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
+ROMAN_ONES = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey::INTEGER AS first_page,
-  (l_partkey + CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE l_quantity END)::INTEGER AS last_page,
-  CASE l_linenumber % 4 WHEN 1 THEN 'f' WHEN 2 THEN 'ff' ELSE '' END AS suffix FROM lineitem WHERE l_partkey > 0""")
+@query(f"""WITH w AS (SELECT p_partkey, repeat('M', p_partkey::INTEGER % 4) || {ROMAN_TENS}[p_size // 10 + 1] || lower({ROMAN_ONES}[p_size % 10 + 1]) AS r FROM part),
+v AS (SELECT *, list_transform(string_split(upper(r), ''), lambda x: CASE x WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END) AS v FROM w)
+SELECT p_partkey, r AS written, list_sum(list_transform(v, lambda x, i: CASE WHEN x < coalesce(v[i + 1], 0) THEN -x ELSE x END))::INTEGER AS page FROM v""")
+def roman_page_numbers(spark, sf_dir):
+    """Page numbers written as Roman numerals, in either case, and read back."""
+    n, thousands = F.col("p_size"), (F.col("p_partkey") % 4).cast("int")
+    pick = lambda words, i: F.element_at(F.array(*[F.lit(x) for x in words]), i.cast("int") + 1)
+    written = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.repeat(F.lit("M"), thousands), pick(ROMAN_TENS, n / 10), F.lower(pick(ROMAN_ONES, n % 10))).alias("written"))
+    return written.select("p_partkey", "written", t.roman(F.col("written")).alias("page"))
+
+
+@query(r"""WITH w AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN l_partkey || 'f' WHEN 2 THEN ' ' || l_partkey || ' ff. ' WHEN 3 THEN l_partkey || '–' || (l_partkey + l_quantity * 20)::INTEGER
+  WHEN 4 THEN l_partkey || '-' || l_suppkey WHEN 5 THEN 'p' || l_partkey ELSE l_partkey || '-' END AS raw FROM lineitem),
+x AS (SELECT *, regexp_extract(raw, '^\s*(\d+)(?:\s*[-–—]\s*(\d+))?(?:\s*(ff?)\.?)?\s*$', ['a', 'b', 's']) AS m FROM w),
+y AS (SELECT *, TRY_CAST(m.a AS INTEGER) AS lo, CASE WHEN m.b <> '' THEN TRY_CAST(m.b AS INTEGER) ELSE TRY_CAST(m.a AS INTEGER) + length(m.s)::INTEGER END AS hi FROM x)
+SELECT l_orderkey, l_linenumber, lo AS first_page, hi AS last_page, m.s AS suffix FROM y WHERE lo >= 1 AND hi >= lo AND hi - lo <= 500""")
 def page_locators(spark, sf_dir):
-    p, kind = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 4
-    raw = F.when(kind == 0, p).when(kind == 1, F.concat(p, F.lit("f"))).when(kind == 2, F.concat(p, F.lit(" ff."))).otherwise(F.concat(p, F.lit("-"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).cast("string")))
+    """Locators in five right forms and wrong ones: ranges that fall or are too long, letters, an open range."""
+    p, kind = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 7
+    far = (F.col("l_partkey") + F.col("l_quantity") * 20).cast("int").cast("string")
+    raw = F.when(kind == 0, p).when(kind == 1, F.concat(p, F.lit("f"))).when(kind == 2, F.concat(F.lit(" "), p, F.lit(" ff. "))).when(kind == 3, F.concat(p, F.lit("–"), far)).when(kind == 4, F.concat_ws("-", p, F.col("l_suppkey").cast("string"))).when(kind == 5, F.concat(F.lit("p"), p)).otherwise(F.concat(p, F.lit("-")))
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.page_locator(raw).alias("x"))
     return d.where("x IS NOT NULL").select("l_orderkey", "l_linenumber", F.col("x.first").alias("first_page"), F.col("x.last").alias("last_page"), F.col("x.suffix").alias("suffix"))
 
 
-@query("SELECT p_partkey, p_name AS term, (p_size + 1)::VARCHAR || ',' || (p_size + 9)::VARCHAR || 'f' AS locators FROM part")
+ENTRY = r"^(.*?\D)[, ]\s*((?:[1-9]\d*(?:-[1-9]\d*)?(?:ff?)?)(?:, ?[1-9]\d*(?:-[1-9]\d*)?(?:ff?)?)*)$"
+
+
+@query(rf"""WITH w AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name || ' ' || (p_size + 1) || ', ' || (p_size + 9) || 'f' WHEN 1 THEN p_name || ', ' || p_size || '-' || (p_size + 4) WHEN 2 THEN p_name || ', see ' || p_brand
+  WHEN 3 THEN p_name || ' 0, ' || p_size WHEN 4 THEN repeat(p_name || ' a ', 6) || p_size ELSE p_size::VARCHAR END AS s FROM part),
+x AS (SELECT *, trim(regexp_replace(regexp_extract(s, '{ENTRY}', 1), '[,\s]+$', '')) AS term, regexp_extract(s, '{ENTRY}', 2) AS pages FROM w)
+SELECT p_partkey, term, replace(pages, ' ', '') AS locators FROM x WHERE pages <> '' AND term <> '' AND len(string_split(term, ' ')) <= 12""")
 def index_entries(spark, sf_dir):
-    line = F.concat("p_name", F.lit(" "), (F.col("p_size") + 1).cast("string"), F.lit(", "), (F.col("p_size") + 9).cast("string"), F.lit("f"))
-    d = table(spark, sf_dir, "part").select("p_partkey", t.index_entry(line).alias("x"))
+    """Subject index lines: right ones, and ones without pages, with a zero, with too long a term, without a term."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    more = lambda n: (F.col("p_size") + n).cast("string")
+    line = F.when(kind == 0, F.concat("p_name", F.lit(" "), more(1), F.lit(", "), more(9), F.lit("f"))).when(kind == 1, F.concat("p_name", F.lit(", "), size, F.lit("-"), more(4))).when(kind == 2, F.concat("p_name", F.lit(", see "), "p_brand"))
+    line = line.when(kind == 3, F.concat("p_name", F.lit(" 0, "), size)).when(kind == 4, F.concat(F.repeat(F.concat("p_name", F.lit(" a ")), F.lit(6)), size)).otherwise(size)
+    d = table(spark, sf_dir, "part").select("p_partkey", t.index_entry(line).alias("x")).where("x IS NOT NULL")
     return d.select("p_partkey", F.col("x.term").alias("term"), F.array_join("x.locators", ",").alias("locators"))
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS host, 'allow' AS policy FROM pages""")
+URLS = ["https://host{}.example/a?b", "http://localhost:{}/x", "https://10.{}.2.3/", "ftp://host{}/", "https://user:pw@host{}/", "nonsense {}", "http://172.{}.1.1/x", "http://[::1]/{}", "HTTP://Host{}.Example:8080#f", "http://127.0.0.{}", "https:///{}"]
+
+
+@query(rf"""WITH u AS (SELECT 'p' || page_id AS id, url FROM pages UNION ALL SELECT 'c' || c_custkey, replace({URLS}[c_custkey % {len(URLS)} + 1], '{{}}', (c_custkey % 40)::VARCHAR) FROM customer),
+a AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority FROM u),
+h AS (SELECT *, lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':\d+$', '')) AS host FROM a)
+SELECT id, scheme, host, CASE WHEN host = '' THEN 'invalid' WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN contains(authority, '@') THEN 'credentials' WHEN host = 'localhost' OR host = '[::1]' OR starts_with(host, '127.') THEN 'loopback'
+  WHEN starts_with(host, '10.') OR starts_with(host, '192.168.') OR starts_with(host, '169.254.') OR (starts_with(host, '172.') AND TRY_CAST(string_split(host, '.')[2] AS INTEGER) BETWEEN 16 AND 31) THEN 'private' ELSE 'allow' END AS policy FROM h""")
 def url_policy(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)", 1)).alias("host"), t.host_policy(url).alias("policy"))
+    """What an egress check makes of the pages' addresses and of made ones of every kind."""
+    url = F.replace(F.element_at(F.array(*[F.lit(x) for x in URLS]), (F.col("c_custkey") % len(URLS)).cast("int") + 1), F.lit("{}"), (F.col("c_custkey") % 40).cast("string"))
+    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), url.alias("url"))
+    u = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "url").unionByName(made)
+    scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    authority = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return u.select("id", scheme.alias("scheme"), F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d+$", "")).alias("host"), t.host_policy(F.col("url")).alias("policy"))
 
 
 PLAIN = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"

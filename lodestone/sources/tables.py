@@ -61,3 +61,36 @@ def restored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     if wrong:
         raise ValueError(f"snapshot lacks or retypes columns {wrong}")
     return df.select(*[f.name for f in schema])
+
+
+def export_tables(tables: dict[str, DataFrame], path: str, by: str) -> None:
+    """All tables of a workspace under one folder, each in partitions of `by`."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}")
+
+
+def committed(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """The ranges that an interrupted import has finished; none if it hasn't begun."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(path).select(by).distinct() if there else spark.createDataFrame([], f"{by} string")
+
+
+def resume(df: DataFrame, path: str, by: str) -> None:
+    """Write the ranges that aren't committed yet. A range is a partition of `by`, which Spark commits as a whole, so a
+    second run writes what the first has left and changes nothing else."""
+    done = committed(df.sparkSession, f"{path}/ledger", by)
+    left = df.join(done.withColumn(by, F.col(by).cast(df.schema[by].dataType)), by, "left_anti")
+    left.write.mode("append").partitionBy(by).parquet(f"{path}/data")
+    left.select(by).distinct().write.mode("append").parquet(f"{path}/ledger")
+
+
+def save_report(report: DataFrame, path: str, at: str) -> None:
+    """Append a report under its time; the history stays."""
+    report.withColumn("reported_at", F.lit(at)).write.mode("append").json(path)
+
+
+def latest_report(spark: SparkSession, path: str) -> DataFrame:
+    reports = spark.read.json(path)
+    last = reports.agg(F.max("reported_at").alias("reported_at"))
+    return reports.join(F.broadcast(last), "reported_at", "left_semi")
