@@ -303,6 +303,7 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         rows = band.join(label, "key", "left").select("band", "bucket", "key", "size", "solid", "common", "bands", F.coalesce("root", "key").alias("label"))
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
         rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
+        band = rows.drop("label", "main")  # a bucket under one label is connected and done with
         open_rows = rows.where("label <> main")
         if served is not None:
             open_rows = open_rows.join(served, ["band", "bucket", "key"], "left_anti")
