@@ -29,7 +29,7 @@ PATTERNS = {
     "phone": rf"(?<![{W}+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d)",
     "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "name": rf"(?<![{W}])(?:{TITLES})(?:\.? (?:{TITLES}))?\.? {NAME}(?: {NAME}){{0,2}}",
+    "name": rf"(?<![{W}])(?=\p{{Lu}})(?:{TITLES})(?:\.? (?:{TITLES}))?\.? {NAME}(?: {NAME}){{0,2}}",
 }
 #: All kinds in one pattern; a card's back reference by its name, as numbers differ within the whole.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace("([ -]?)", "(?<gap>[ -]?)").replace(r"\1", r"\k<gap>")
@@ -37,7 +37,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace("([ -]?)", "(?<gap
 LOOSE = rf"(?<![{W}'’-]){NAME}"
 WIDE = f"{ANY}|{LOOSE}"
 #: What a text must have to hold any of them.
-HINT = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}|AKIA|(?:sk|pk|gh[pousr])[-_]|[a-fA-F]{{32}}"
+HINT = rf"[0-9@]|(?<![{W}])(?=\p{{Lu}})(?:{TITLES})\.? \p{{Lu}}|AKIA|(?:sk|pk|gh[pousr])[-_]|[a-fA-F]{{32}}"
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "ka", "lo", "mi", "pe", "ro"],
     "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τα", "βε", "κα", "λο", "μι", "πε", "ρο"],
