@@ -72,7 +72,7 @@ def content_chunks(spark, sf_dir):
 
 @query("""WITH i AS (SELECT l_orderkey AS page, l_linenumber, l_quantity AS top, l_linenumber AS lft, l_shipdate, 'w' || l_partkey AS w FROM lineitem WHERE l_returnflag = 'N'),
 covered AS (SELECT DISTINCT l_orderkey AS page FROM lineitem WHERE l_returnflag = 'R')
-SELECT page, string_agg(w, ' ' ORDER BY top DESC, lft) AS text FROM i WHERE page NOT IN (SELECT page FROM covered) GROUP BY 1 HAVING count(*) >= 4""")
+SELECT page, string_agg(w, ' ' ORDER BY top DESC, lft, w) AS text FROM i WHERE page NOT IN (SELECT page FROM covered) GROUP BY 1 HAVING count(*) >= 4""")
 def text_under_pictures(spark, sf_dir):
     """Words on pages that no chunk covers, from top to bottom and left to right, if there are four or more."""
     l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
@@ -116,7 +116,7 @@ def evidence_records(spark, sf_dir):
     return o.select("o_orderkey", F.size("anchors").alias("n_anchors"), t.prefixed_id("ev", F.col("o_custkey").cast("string"), F.array_join("anchors", ",")).alias("evidence_id"), F.get("anchors", F.lit(0)).alias("first_anchor"))
 
 
-@query("""WITH a AS (SELECT l_suppkey AS page, l_returnflag || l_linestatus AS alias, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2) SELECT page, string_agg(alias, ',' ORDER BY first) AS aliases FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT l_suppkey AS page, l_returnflag || l_linestatus AS alias, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2) SELECT page, string_agg(alias, ',' ORDER BY first, alias) AS aliases FROM a GROUP BY 1""")
 def page_aliases(spark, sf_dir):
     """A page's distinct aliases in the order they come up in."""
     first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page"), F.concat("l_returnflag", "l_linestatus").alias("alias")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
