@@ -283,7 +283,7 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     pairs = band.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("za"), F.col("solid").alias("sa")), "a").join(sizes.select(F.col("key").alias("b"), F.col("size").alias("zb"), F.col("solid").alias("sb")), "b")
     pairs = pairs.where(within_reach("za", "sa", "zb", "sb", threshold)).select("a", "b")
-    done = served = None
+    done = served = member = None
     heads = 16
     while True:
         sides = pairs.join(cell.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(cell.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
@@ -296,14 +296,18 @@ def links(texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             common = F.when(F.col("key") == F.col("head"), F.col("size")).otherwise(F.round(F.col("similarity") * both / (1 + F.col("similarity"))).cast("int"))
             with_head = with_head.where(F.col("solid") >= threshold * F.col("size") - 1e-9).join(head_size, "head")
             every = reps.select("key", "bands")
-            band = staged(with_head.select("band", "bucket", "key", "size", "solid", common.alias("common")).join(every, "key"), "compared")
+            # A row for each document with its buckets, BANDS at most, so labels are joined to documents.
+            place = F.struct("band", "bucket", common.alias("common"))
+            member = staged(with_head.groupBy("key", "size", "solid").agg(F.collect_list(place).alias("places")).join(every, "key"), "compared")
         done = tested if done is None else done.unionByName(tested)
         good = done.where(F.col("similarity") >= threshold).select("a", "b")
         label = quick_labels(good)
-        rows = band.join(label, "key", "left").select("band", "bucket", "key", "size", "solid", "common", "bands", F.coalesce("root", "key").alias("label"))
+        labelled = member.join(label, "key", "left").select("key", "size", "solid", "bands", F.coalesce("root", "key").alias("label"), F.explode("places").alias("place"))
+        rows = labelled.select("place.band", "place.bucket", "key", "size", "solid", "place.common", "bands", "label")
         mixed = rows.groupBy("band", "bucket").agg(F.min("label").alias("main"), F.max("label").alias("top")).where("main <> top").select("band", "bucket", "main")
         rows = staged(rows.join(mixed, ["band", "bucket"]), "mixed")
-        band = rows.drop("label", "main")  # a bucket under one label is connected and done with
+        # A bucket under one label is connected and done with.
+        member = rows.groupBy("key", "size", "solid").agg(F.collect_list(F.struct("band", "bucket", "common")).alias("places"), F.first("bands").alias("bands"))
         open_rows = rows.where("label <> main")
         if served is not None:
             open_rows = open_rows.join(served, ["band", "bucket", "key"], "left_anti")
