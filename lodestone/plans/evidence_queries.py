@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..operators import extensions, ranking
+from ..operators import extensions, ranking, windows
 from ..operators.ranking import top_by
 from ..sources.tables import table
 from .registry import query
@@ -265,3 +265,30 @@ def patched_headings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.lit("").alias("heading"))
     out = extensions.patched(d, lambda x: x.withColumn("heading", F.concat_ws("/", "lang", "source")), "doc_id", ["text", "lang"])
     return out.select("doc_id", "heading", F.md5("text").alias("content"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, '| ' || l_partkey || ' | ' || l_quantity::INTEGER || ' |' AS line, [l_partkey::VARCHAR, l_quantity::INTEGER::VARCHAR] AS has FROM lineitem),
+w AS (SELECT l_orderkey AS id, list_distinct([min(l_partkey)::VARCHAR, max(l_quantity)::INTEGER::VARCHAR]) AS wanted FROM lineitem GROUP BY 1),
+k AS (SELECT id, n, len(line) + 1 AS size, len(list_intersect(list_distinct(has), wanted)) AS k, len(wanted) AS m, length('Order ' || id || ' was shipped.') + 1 AS pre, length('Parts of order ' || id) + 1 AS cap FROM r JOIN w USING (id)),
+s AS (SELECT *, pre + cap + 30 + sum(size) OVER (PARTITION BY id ORDER BY n) AS stop, k / m + 0.25 * k + 0.25 AS score FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, n DESC) AS place FROM s),
+t AS (SELECT id, n, stop, score, pre, cap FROM b WHERE place = 1),
+starts AS (SELECT id, pre + cap AS start FROM t UNION ALL SELECT id, pre + cap + 20 FROM t UNION ALL SELECT id, stop - size FROM s),
+f AS (SELECT t.id, min(start) AS start FROM t JOIN starts USING (id) WHERE start < t.stop AND (t.stop - start <= 110 OR start = (SELECT stop - size FROM s WHERE s.id = t.id AND s.n = t.n)) GROUP BY 1)
+SELECT id AS l_orderkey, (CASE WHEN start = pre + cap AND stop - pre <= 110 THEN pre ELSE start END)::BIGINT AS start, stop::BIGINT AS stop, round(score, 9)::DOUBLE AS score FROM t JOIN f USING (id)""")
+def table_evidence(spark, sf_dir):
+    """Of each order's table of parts the row that answers best, with as many rows, heads and captions above it as fit."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_linenumber")
+    row = F.concat(F.lit("| "), F.col("l_partkey"), F.lit(" | "), F.col("q"), F.lit(" |\n"))
+    rows = l.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "q", row.alias("row")))), lambda x: x["row"]), "").alias("rows"), F.array_distinct(F.array(F.min("l_partkey").cast("string"), F.max("q").cast("string"))).alias("wanted"))
+    text = F.concat(F.lit("Order "), "id", F.lit(" was shipped.\nParts of order "), "id", F.lit("\n| part | quantity |\n|---|---|\n"), "rows", F.lit("All of it."))
+    found = windows.table_windows(windows.scored_lines(rows.select("id", text.alias("text"), "wanted")), 110)
+    return found.select(F.col("id").alias("l_orderkey"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.round("score", 9).alias("score"))
+
+
+@query()
+def evidence_of_turns(spark, sf_dir):
+    """The window of each turn that answers the next turn best; held against a plain search in the tests."""
+    c = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("nxt IS NOT NULL")
+    texts = c.select(F.struct("conv_id", "turn").alias("id"), "text", t.search_terms(F.col("nxt")).alias("wanted"))
+    return windows.evidence_windows(texts, 160).select("id.conv_id", "id.turn", "kind", "start", "stop", F.round("score", 9).alias("score"))
