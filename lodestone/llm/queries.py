@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .alignment import aligned
 from .common import documents
 from .knn import top_k
 from .lines import lines_sql, remove_repeated_runs
@@ -73,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model")).drop("links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_surrogates": op9_surrogates,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
 }
 
 TOP_K_SQL = """
