@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .tokens import byte_alphabet
 #: Distinct pairs that a task holds before it hands on what it has counted.
 HELD_PAIRS = 4_000_000
 #: Links counted or looked up at a time.
-LINKS = 2_000_000
+LINKS = 1_000_000
 #: Pairs of one shard file.
 SHARD_PAIRS = 4_000_000
 TOKEN_SCHEMA = "key long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
@@ -312,16 +313,17 @@ def aligned(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, id_col: str =
             return counts[where], (counts == tops[np.searchsorted(heads, keys >> 32)])[where]
 
         for b in batches:
-            binary = b.column(b.schema.get_field_index("links"))
-            parts = [unpacked(x, id_type) for x in binary]
-            ends = np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)]
-            links = np.concatenate([np.zeros(0, np.int64), *parts])
-            total, best = np.zeros(len(links) + 1, np.int64), np.zeros(len(links) + 1, np.int64)
-            for i in range(0, len(links), LINKS):
-                part = slice(i, i + LINKS)
-                total[1:][part], best[1:][part] = of(links[part])
-            total, best = np.cumsum(total), np.cumsum(best)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best[ends[1:]] - best[ends[:-1]]), pa.array(total[ends[1:]] - total[ends[:-1]])], [*b.schema.names, "n_best", "count_sum"])
+            size = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("links"))), 0).to_numpy(zero_copy_only=False) // (2 * id_type.itemsize)
+            done = np.cumsum(size) // LINKS  # some documents at a time
+            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(done)) + 1):
+                if not len(part):
+                    continue
+                some = b.slice(part[0], len(part))
+                ends = np.r_[0, np.cumsum(size[part])]
+                links = np.concatenate([unpacked(x, id_type) for x in some.column(some.schema.get_field_index("links"))])
+                count, best = of(links)
+                total, best = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(best, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(best[ends[1:]] - best[ends[:-1]]), pa.array(total[ends[1:]] - total[ends[:-1]])], [*b.schema.names, "n_best", "count_sum"])
 
     told = tokens.mapInArrow(look_up, TOKEN_SCHEMA + ", n_best long, count_sum long")
     return told.select(F.col("key").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "links")
