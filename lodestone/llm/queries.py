@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .alignment import aligned
+from .codes import codes_sql, product_codes
 from .common import documents
 from .knn import top_k
 from .lines import lines_sql, remove_repeated_runs
@@ -78,6 +79,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model")).drop("links")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.withColumn("codebooks_sha256", F.sha2(F.lit(books.text()), 256))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_surrogates": op9_surrogates,
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 TOP_K_SQL = """
@@ -108,4 +115,5 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": lines_sql(),
     "op4_mixing": mixture_sql(),
     "op6_quality_rules": quality_sql(),
+    "op13_vector_codes": codes_sql(),
 }
