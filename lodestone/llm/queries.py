@@ -20,6 +20,7 @@ from .privacy import pseudonymised
 from .quality import quality, quality_sql
 from .repeats import remove_repeats
 from .tokens import count_tokens
+from .warc import archived, warc_sql
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -79,6 +80,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model")).drop("links")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return codes.withColumn("codebooks_sha256", F.sha2(F.lit(books.text()), 256))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_surrogates": op9_surrogates,
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
+    "op12_warc": op12_warc,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -115,5 +121,6 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": lines_sql(),
     "op4_mixing": mixture_sql(),
     "op6_quality_rules": quality_sql(),
+    "op12_warc": warc_sql(),
     "op13_vector_codes": codes_sql(),
 }
