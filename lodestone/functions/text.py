@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 STOP_WORDS = ["aber", "als", "auch", "das", "der", "die", "ein", "eine", "für", "ist", "mit", "oder", "sind", "und", "von", "was", "welche", "wie", "wird", "the", "and", "what", "which"]
+#: Left out of a search for media.
+MEDIA_STOP_WORDS = ["aber", "auch", "das", "der", "die", "eine", "einer", "eines", "für", "ist", "mit", "oder", "sind", "und", "von", "was", "welche", "welcher", "welches", "wie", "the", "what", "which", "with", "and", "are"]
 GERMAN_CUES = [" der ", " die ", " und ", " auflage ", " seite "]
 ENGLISH_CUES = [" the ", " and ", " edition ", " chapter ", " page "]
 NEGATIONS = ["kein", "keine", "keinem", "keinen", "keiner", "keines", "nie", "niemals", "nicht", "ohne", "no", "not", "never", "without"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,16 @@ def metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str) -> DataFr
 
 
 def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by rank sums with mean ranks of ties. Ranks come from counts of distinct scores, so equal
-    scores are summed before the sort."""
-    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("mean_rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    """Area under the curve by rank sums with mean ranks of ties. Ranks come from counts of distinct scores; these are
+    sorted by range, so that no task has all of them, and a part's ranks begin where the parts before it end: a row for
+    each part."""
+    counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = staged(counts.repartitionByRange(n, "s").withColumn("part", F.spark_partition_id()), "scores")
+    whole = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("part").agg(F.sum("n").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(whole), F.lit(0))).drop("size")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = parts.withColumn("before", before).join(F.broadcast(offsets), "part").withColumn("mean_rank", F.col("offset") + F.col("before") + (F.col("n") + 1) / 2.0)
     sums = ranked.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q")), 9).alias("auc"))
 
@@ -184,7 +190,7 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k
     """(query_id, item, similarity, rank): the k rows of greatest cosine similarity with each query, its own row apart.
 
     Both sides go in blocks of normalised vectors; each block of queries meets every block of data once. There are as
-    many parts as the data's size asks for.
+    many parts as the data's size asks for; a block goes to the part that a hash of all its ids names.
     """
     salts = max(16, -(-rows.count() // PART_ROWS))
 
@@ -197,7 +203,7 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k
                     norm = np.linalg.norm(m, axis=1, keepdims=True)
                     m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
                     ids = some.column(0).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[0] % salts)], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["salt", "ids", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array([crc32(ids.astype(np.int64).tobytes()) % salts], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["salt", "ids", "m"])
 
         return run
 
@@ -208,9 +214,10 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k
                 qi, di = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 scores = np.round(np.frombuffer(row["q_m"]).reshape(len(qi), -1) @ np.frombuffer(row["m"]).reshape(len(di), -1).T, 9)
                 scores[qi[:, None] == di[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(di, scores.shape), -scores), axis=1)[:, :k]
-                for q, js, s in zip(qi.tolist(), order, scores, strict=True):
-                    js = js[np.isfinite(s[js])]
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < len(di) else np.full(len(qi), -np.inf)
+                for q, s, low in zip(qi.tolist(), scores, least, strict=True):
+                    js = np.flatnonzero((s >= low) & np.isfinite(s))
+                    js = js[np.lexsort((di[js], -s[js]))][:k]
                     out[0].extend([q] * len(js))
                     out[1].extend(di[js].tolist())
                     out[2].extend(s[js].tolist())

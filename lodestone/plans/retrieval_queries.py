@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import catalog, graph, ranking
+from ..operators import catalog, graph, postings, ranking
 from ..sources.tables import table
 from .registry import query
 from .text_queries import BOOK, STOP, terms_sql
@@ -18,8 +18,7 @@ def tokens_sql(column: str) -> str:
 
 
 def index_tokens(column: str):
-    stop = F.array(*[F.lit(w) for w in t.STOP_WORDS])
-    return F.filter(F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ~w.isin(*t.STOP_WORDS))
 
 
 BM25 = f"""d AS (SELECT doc_id, w, len(w) AS len FROM (SELECT doc_id, {tokens_sql("text")} AS w FROM documents)),
@@ -37,7 +36,9 @@ ov AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 
 def bm25_of_benchmark(spark, sf_dir, k, only=None):
-    return ranking.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", index_tokens("text"), "doc_id", index_tokens("text"), k, only)
+    index = postings.shared(table(spark, sf_dir, "documents"), "doc_id", index_tokens("text"), "index tokens")
+    only = None if only is None else only.select(F.col("doc_id").alias("doc"))
+    return postings.search(index, table(spark, sf_dir, "benchmark"), "item_id", index_tokens("text"), k, only).withColumnRenamed("doc", "doc_id")
 
 
 def overlap_of_benchmark(spark, sf_dir, k):
@@ -62,6 +63,31 @@ def bm25_filtered_before_limit(spark, sf_dir):
     return bm25_of_benchmark(spark, sf_dir, 3, only).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+MEDIA_STOP = ", ".join(f"'{w}'" for w in t.MEDIA_STOP_WORDS)
+
+
+@query(rf"""WITH d AS (SELECT conv_id, turn, role, w, len(w) AS len FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations)),
+st AS (SELECT count(*) AS n_docs, avg(len) AS mean_length FROM d),
+q AS (SELECT item_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:12]) AS term FROM
+  (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3 AND x NOT IN ({MEDIA_STOP})) AS w FROM benchmark)),
+tf AS (SELECT term, conv_id, turn, role, len, count(*) AS tf FROM (SELECT conv_id, turn, role, len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT item_id, conv_id, turn, role, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_length))), 9) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn, role)::INTEGER AS rank FROM sc)
+SELECT item_id, r.conv_id, r.turn, r.role, rank, round(score, 6) AS score, length(text)::INTEGER AS asset_chars FROM r JOIN conversations USING (conv_id, turn, role) WHERE rank <= 16""")
+def media_text_search(spark, sf_dir):
+    """The 16 best turns, as captions of assets, for up to 12 words of three letters or more of each passage; hits are
+    joined to their assets on three keys."""
+    turns = table(spark, sf_dir, "conversations")
+    assets = turns.select(F.struct("conv_id", "turn", "role").alias("asset"), "text")
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    asked = F.slice(F.array_distinct(F.filter(words("text"), lambda w: (F.length(w) >= 3) & ~w.isin(*t.MEDIA_STOP_WORDS))), 1, 12)
+    index = postings.shared(assets, "asset", words("text"), "media words")
+    hits = postings.search(index, table(spark, sf_dir, "benchmark"), "item_id", asked, 16).select("item_id", "doc.*", "rank", F.round("score", 6).alias("score"))
+    return hits.join(turns.select("conv_id", "turn", "role", F.length("text").alias("asset_chars")), ["conv_id", "turn", "role"])
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS item, round(list_cosine_similarity(q.e, c.e), 9) AS similarity FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item)::INTEGER AS rank FROM s)

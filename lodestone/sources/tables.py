@@ -34,6 +34,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Of the files that df reads: their paths, sizes and times, by file metadata alone."""
+    of = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = df.select(of.alias("h")).distinct()
+    return str(files.agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).first())
+
+
 def with_schema(df: DataFrame, schema: StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """df in the columns of schema: missing ones are filled, others dropped, types cast. An additive migration."""
     defaults = defaults or {}
