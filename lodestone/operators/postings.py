@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,19 +58,36 @@ def blocks_of(parts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"term string, top double, docs array<{kind}>, parts array<double>")
 
 
+def counts_of(split: DataFrame) -> DataFrame:
+    """(doc, term, tf, length) of each row's words, counted where the row is: no shuffle."""
+    kind = split.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1)
+            flat = words.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy()
+            length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = max(len(flat.dictionary), 1)
+            key, tf = np.unique(np.repeat(np.arange(len(b)), length) * n + codes, return_counts=True)
+            row = pa.array(key // n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), flat.dictionary.take(pa.array(key % n)), pa.array(tf), pa.array(length[key // n])], ["doc", "term", "tf", "length"])
+
+    return split.mapInArrow(run, f"doc {kind}, term string, tf long, length long")
+
+
 def indexed(docs: DataFrame, doc: str, words: Column) -> Index:
     """The index of documents by BM25; words: an array of a document's index words, repeats and all.
 
-    Words are split once. Rows of one id are one document to a search, though each counts in the statistics; a null id or
-    text has no postings, but counts.
+    Words are split and counted in one pass, and sorted once. A document whose id repeats scores the sum of its rows; a
+    null id or text has no postings, but counts in the statistics.
     """
     split = docs.select(F.col(doc).alias("doc"), words.alias("words"))
-    counted = split.select("doc", F.size(F.coalesce("words", F.array().cast("array<string>"))).alias("length"), F.explode_outer("words").alias("term"))
-    tf = staged(counted.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")), "tf")
-    n_docs, n_words = docs.count(), tf.where("term IS NOT NULL").agg(F.sum("tf")).first()[0]
+    tf = staged(counts_of(split), "tf")
+    n_docs, n_words = docs.count(), tf.agg(F.sum("tf")).first()[0]
     mean = (n_words or 0) / max(n_docs, 1) or 1.0
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    parts = tf.where("term IS NOT NULL AND doc IS NOT NULL").select("doc", "term", part.alias("part"))
+    parts = tf.where("doc IS NOT NULL").select("doc", "term", part.alias("part"))
     blocks = staged(blocks_of(parts), "blocks")
     terms = staged(blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top"), F.max(F.struct("top", "docs", "parts")).alias("head")), "terms")
     return Index(parts, blocks, terms, n_docs)
@@ -113,17 +131,21 @@ def search(index: Index, queries: DataFrame, query: str, query_words: Column, k:
     """(query, doc, score, rank): the k documents of highest BM25 score of each query, ties to the smaller document.
 
     Exact: a document that no block read holds scores at most theta. `only` (doc) is applied before the k best are
-    taken. Documents found are scored in full by the lists read in full, dropped where even all the rest can't lift
-    them to theta, and completed from the parts of the few that are left. Repeated words of a query count once; a query
+    taken. Documents found are scored by the lists read in full, dropped where even all the rest can't lift them to the
+    k-th best such sum, and completed from the parts of the few that are left. Repeated words of a query count once; a query
     that repeats its id counts as one of all their words; a query without known words has no rows.
     """
     wanted = queries.select(query, F.explode(F.array_distinct(query_words)).alias("term")).distinct()
     plan = staged(bounded(index, wanted, query, k, only), "reading")
-    hits = read_blocks(index, plan).select(query, "idf", "tau", "rest", "theta", F.explode(F.arrays_zip("docs", "parts")).alias("p"))
-    hits = hits.select(query, F.col("p.docs").alias("doc"), "tau", "rest", "theta", (F.col("idf") * F.col("p.parts")).alias("s"))
+    hits = read_blocks(index, plan).select(query, "idf", "tau", F.explode(F.arrays_zip("docs", "parts")).alias("p"))
+    hits = hits.select(query, F.col("p.docs").alias("doc"), F.when(F.col("tau") == 0, F.col("idf") * F.col("p.parts")).otherwise(0.0).alias("s"))
     hits = hits if only is None else hits.join(only, "doc", "left_semi")
-    found = hits.groupBy(query, "doc").agg(F.coalesce(F.sum(F.when(F.col("tau") == 0, F.col("s"))), F.lit(0.0)).alias("s"), F.max("rest").alias("rest"), F.max("theta").alias("theta"))
-    found = staged(found.where(F.col("s") + F.col("rest") + SLACK >= F.col("theta")).select(query, "doc", "s"), "found")
+    found = staged(hits.groupBy(query, "doc").agg(F.sum("s").alias("s")), "found")
+    # The k-th best of these sums, each at most the document's score, is a second and mostly higher bound.
+    kth = top_by(found, [query], [F.col("s").desc(), F.col("doc")], k, "_place").groupBy(query).agg(F.when(F.count(F.lit(1)) == k, F.min("s") - SLACK).alias("kth"))
+    limits = plan.groupBy(query).agg(F.max("rest").alias("rest"), F.max("theta").alias("theta")).join(kth, query, "left")
+    limits = limits.select(query, (F.greatest("theta", F.coalesce("kth", F.lit(0.0))) - F.col("rest") - SLACK).alias("least"))
+    found = staged(found.join(limits, query).where("s >= least").select(query, "doc", "s"), "left")
     left = found.select(query, "doc").join(plan.where("tau > 0").select(query, "term", "idf"), query)
     more = left.join(index.parts, ["doc", "term"]).select(query, "doc", (F.col("idf") * F.col("part")).alias("s"))
     scores = found.unionByName(more).groupBy(query, "doc").agg(F.round(F.sum("s"), 9).alias("score"))
