@@ -82,22 +82,35 @@ def regions(df: DataFrame, by: str, order: str, flag: str, gap: int) -> DataFram
 def aligned(pairs: DataFrame, by: str, left: str, right: str, score: str, least: float) -> DataFrame:
     """(by, left, right): the chain of pairs that rises on both sides with the greatest sum of scores of `least` or more.
 
-    Sequential within a book, whose outline bounds the pairs of a group.
+    Within a book, whose outline bounds the pairs of a group, pairs are taken by their left side, and the best chain that
+    ends below a right side is read from a Fenwick tree of prefix maxima: n log n. Of equal sums the chain found first stays.
     """
 
     def run(key, pdf):
         import pandas as pd
 
-        rows = sorted((a, b, s) for a, b, s in zip(pdf[left], pdf[right], pdf[score], strict=True) if s >= least)
-        best: list[tuple[float, int]] = []
-        for i, (a, b, s) in enumerate(rows):
-            prior = max(((best[j][0], -j) for j in range(i) if rows[j][0] < a and rows[j][1] < b), default=(0.0, 1))
-            best.append((prior[0] + s, -prior[1]))
-        at = max(range(len(rows)), key=lambda i: (best[i][0], -i), default=-1)
-        out = []
+        rows = [(a, b, s) for a, b, s in zip(pdf[left], pdf[right], pdf[score], strict=True) if s >= least]
+        rows.sort(key=lambda r: r[1], reverse=True)
+        rows.sort(key=lambda r: r[0])  # of one left side the greatest right one comes first, so none follows another
+        place = {b: i for i, b in enumerate(sorted({r[1] for r in rows}), 1)}
+        tree: list[tuple[float, int]] = [(0.0, 1)] * (len(place) + 1)  # (sum, minus the pair that ends the chain)
+        back: list[int] = []
+        top = (0.0, 1)
+        for i, (_, b, s) in enumerate(rows):
+            prior, k = (0.0, 1), place[b] - 1
+            while k:
+                prior = max(prior, tree[k])
+                k &= k - 1
+            back.append(-prior[1])
+            own, k = (prior[0] + s, -i), place[b]
+            top = max(top, own)
+            while k < len(tree):
+                tree[k] = max(tree[k], own)
+                k += k & -k
+        at, out = -top[1], []
         while at >= 0:
             out.append((key[0], rows[at][0], rows[at][1]))
-            at = best[at][1]
+            at = back[at]
         return pd.DataFrame(out[::-1], columns=[by, left, right])
 
     kinds = dict(pairs.dtypes)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import catalog, structure
+from ..operators import catalog, duplicates, structure
 from ..operators.ranking import top_by
 from ..sources.tables import table
 from .registry import query
@@ -244,6 +244,24 @@ def equal_perceptual_hashes(spark, sf_dir):
     return catalog.with_first(sign_hashes(spark, sf_dir), "vec_id", "h").select("vec_id", "rep")
 
 
+@query("""WITH RECURSIVE h AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS b, vec_id % 3 AS kind FROM embeddings),
+m AS (SELECT *, min(vec_id) OVER w AS rep, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY b, kind)),
+o AS (SELECT vec_id, b, (100 + kind * 10) / 100.0::DOUBLE AS r, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM m WHERE vec_id = rep),
+walk AS (SELECT 0::BIGINT AS i, []::STRUCT(v BIGINT, b INTEGER[], r DOUBLE)[] AS c
+  UNION ALL SELECT walk.i + 1, CASE WHEN len(list_filter(c, lambda x: abs(x.r - o.r) / greatest(x.r, o.r) <= 0.12 AND list_sum(list_transform(list_zip(x.b, o.b), lambda z: abs(z[1] - z[2]))) <= 6)) > 0 THEN c
+    ELSE list_append(c, {'v': o.vec_id, 'b': o.b, 'r': o.r}) END FROM walk JOIN o ON o.i = walk.i),
+f AS (SELECT unnest(c) AS x FROM walk WHERE i = (SELECT max(i) FROM walk)),
+p AS (SELECT o.vec_id AS id, min(f.x.v) AS canonical FROM o JOIN f ON abs(f.x.r - o.r) / greatest(f.x.r, o.r) <= 0.12 AND f.x.v <= o.vec_id
+  AND list_sum(list_transform(list_zip(f.x.b, o.b), lambda z: abs(z[1] - z[2]))) <= 6 GROUP BY 1)
+SELECT vec_id AS id, rep AS canonical, 'exact' AS match FROM m WHERE n > 1
+UNION ALL SELECT id, canonical, 'perceptual' FROM (SELECT *, count(*) OVER (PARTITION BY canonical) AS n FROM p) WHERE n > 1""")
+def duplicate_media(spark, sf_dir):
+    """Groups of vectors as media: exact by signs and a third of the ids, near by signs and aspect, greedy in id order."""
+    kind = F.col("vec_id") % 3
+    assets = sign_hashes(spark, sf_dir).select("vec_id", "h", F.concat_ws("/", "h", kind).alias("pixels"), (100 + kind * 10).alias("width"), F.lit(100).alias("height"))
+    return duplicates.duplicate_groups(assets, "vec_id", "pixels", "h", "width", "height")
+
+
 @query(f"""WITH {SIGNS}, r AS (SELECT rep AS v, b FROM m WHERE vec_id = rep),
 p AS (SELECT x.v AS a, y.v AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: abs(z[1] - z[2])))::INTEGER AS distance FROM r x JOIN r y ON x.v < y.v)
 SELECT a, b, distance FROM p WHERE distance <= 6""")

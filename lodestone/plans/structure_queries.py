@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..operators import documents as d
-from ..operators import graph, structure
+from ..operators import booklines, graph, structure
 from ..operators.ranking import top_by
 from ..sources.tables import table
 from .registry import query
@@ -57,6 +57,34 @@ def contents_lines(spark, sf_dir):
     return x.select("p_partkey", F.col("e.title").alias("title"), F.col("e.label").alias("label"), "depth")
 
 
+def lines_of_parts(spark, sf_dir, texts):
+    """Lines of books, one for each part of a maker: texts by the part's key, indents 0, 12 or 24."""
+    kind = F.col("p_partkey") % len(texts)
+    text = F.lit(None).cast("string")
+    for i, x in enumerate(texts):
+        text = F.when(kind == i, x).otherwise(text)
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", text.alias("line"), (F.col("p_size") % 3 * 12).alias("indent"))
+
+
+@query()
+def subject_index(spark, sf_dir):
+    """Index lines of each maker's parts, with wrapped entries, sub-entries and references; held against a parser of one
+    line after the other in the tests, as it is a scan."""
+    name, size, key = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    texts = [F.concat_ws(" ", F.initcap(name), size), F.concat(F.initcap(name), F.lit(", ")), F.concat(F.lower(name), F.lit(" "), size, F.lit("-"), key), F.concat(name, F.lit(", "), size, F.lit("f, "), key), F.concat(name, F.lit(" see also "), F.col("p_type")), F.lit("Index"), F.lower(name)]
+    e = booklines.subject_index(lines_of_parts(spark, sf_dir, texts), "p_brand", "p_partkey", "line", "indent")
+    return e.select("p_brand", F.col("at").alias("p_partkey"), "term", "subterm", "relation", "related", F.array_join("pages", ",").alias("pages"))
+
+
+@query()
+def wrapped_contents(spark, sf_dir):
+    """Contents lines of each maker's parts, wrapped titles whole, depth by number or indent; tested like subject_index."""
+    name, size, key = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    texts = [F.concat(name, F.lit(" . . . . "), size), F.concat(F.lit("Chapter "), name), F.concat(size, F.lit(".2 "), name, F.lit("    "), key), F.lit("Contents"), F.concat(name, F.lit("..... "), key)]
+    c = booklines.contents_list(lines_of_parts(spark, sf_dir, texts), "p_brand", "p_partkey", "line", "indent")
+    return c.select("p_brand", F.col("at").alias("p_partkey"), "title", "label", "depth")
+
+
 @query(rf"""SELECT conv_id, turn, CASE WHEN length(s) < 3 OR NOT regexp_matches(s, '[\p{{L}}\p{{N}}]') THEN md5(text) ELSE md5(s || substr(text, length(first) + 1)) END AS digest FROM (
   SELECT *, trim(regexp_replace(regexp_replace(first, '{t.FRAME}', ''), '{t.FRAME_TAIL.replace("'", "''")}', ''), ' ' || chr(9) || '?!.,;:') AS s FROM (
     SELECT conv_id, turn, text, regexp_extract(text, '^([^\n]*)', 1) AS first FROM conversations WHERE role = 'user'))""")

@@ -1,5 +1,6 @@
 """Outlines, regions, alignments and further text functions on small fixtures."""
 
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -41,6 +42,20 @@ def test_alignment_has_the_greatest_sum(spark):
     assert [(r.l, r.r) for r in got] == [(p[1], p[2]) for p in best]
 
 
+def test_alignment_equals_all_pairs_of_pairs(spark):
+    random.seed(8)
+    pairs = [(f"b{random.randrange(3)}", random.randrange(25), random.randrange(25), random.random()) for _ in range(400)]
+    got = structure.aligned(spark.createDataFrame(pairs, "book string, l int, r int, s double"), "book", "l", "r", "s", 0.3).collect()
+    for book in {p[0] for p in pairs}:
+        rows = sorted(p[1:] for p in pairs if p[0] == book and p[3] >= 0.3)
+        best = []
+        for a, b, s in rows:
+            best.append(s + max((x for x, (c, d, _) in zip(best, rows, strict=False) if c < a and d < b), default=0.0))
+        chain = sorted((r.l, r.r) for r in got if r.book == book)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(chain, chain[1:], strict=False))
+        assert abs(sum(max(s for a, b, s in rows if (a, b) == c) for c in chain) - max(best)) < 1e-9
+
+
 def test_interval_join_is_closed(spark):
     nodes = spark.createDataFrame([("n", 3, 70)], "node string, lo int, hi int")
     points = spark.createDataFrame([(i,) for i in (2, 3, 64, 70, 71)], "p int")
