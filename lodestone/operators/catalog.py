@@ -100,6 +100,31 @@ def selection_digest(ids: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.array_sort(F.collect_set(ids))), 256), 1, 16)
 
 
+#: Digests that one digest is made of, and levels of them below the last.
+TREE_WIDTH, TREE_LEVELS = 1000, 3
+
+
+def tree_digest(df: DataFrame, by: list[str], order: Column, item: Column, n: str = "n") -> DataFrame:
+    """(by, n, digest): a sha-256 of each group's items in order that no task makes of a whole group: items of 1000
+    successive orders are joined and hashed, then 1000 such hashes, and so on. order: a whole number of 0 or more."""
+    x = df.select(*by, order.cast("long").alias("_k"), item.alias("_d"), F.lit(1).cast("long").alias("_n"))
+    for last in [False] * TREE_LEVELS + [True]:
+        keys = [F.col(b) for b in by] if last else [*map(F.col, by), F.expr(f"_k div {TREE_WIDTH}").alias("_k")]
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda e: e["_d"])
+        x = x.groupBy(*keys).agg(F.sha2(F.array_join(listed, ","), 256).alias("_d"), F.sum("_n").alias("_n"))
+    return x.select(*by, F.col("_n").alias(n), F.col("_d").alias("digest"))
+
+
+def tree_digest_sql(source: str, by: str, name: str = "tree") -> str:
+    """CTEs of the same in SQL, the last called `name` (by, n, digest); source: a table of by, k and d."""
+    out, last = [], source
+    for level in range(TREE_LEVELS):
+        n = "count(*)" if level == 0 else "sum(n)"
+        out.append(f"{name}{level} AS (SELECT {by}, k // {TREE_WIDTH} AS k, sha256(string_agg(d, ',' ORDER BY k, d)) AS d, {n}::BIGINT AS n FROM {last} GROUP BY {by}, k // {TREE_WIDTH})")
+        last = f"{name}{level}"
+    return ",\n".join([*out, f"{name} AS (SELECT {by}, sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY k, d)) AS digest FROM {last} GROUP BY {by})"])
+
+
 def rule(df: DataFrame, code: str, broken: Column | None, key: Column) -> DataFrame:
     """(code, id) of the rows that break a rule."""
     return (df if broken is None else df.where(broken)).select(F.lit(code).alias("code"), key.cast("string").alias("id"))

@@ -91,9 +91,13 @@ def verified(claims: DataFrame, claim: str, evidence: str, verifier: Scorer | No
 
 
 def patched(chunks: DataFrame, patch: Callable[[DataFrame], DataFrame], id_col: str, fixed: list[str]) -> DataFrame:
-    """patch(chunks), which may change anything but the fixed columns of a chunk; a row that does is an error at run time."""
-    before = chunks.select(id_col, F.xxhash64(*fixed).alias("_before"))
+    """patch(chunks), which may change all but the fixed columns of a chunk. A chunk that is changed there, dropped, doubled
+    or added is an error at run time: both sides are counted by id and met in a full join."""
+    mark = F.xxhash64(*fixed)
+    before = chunks.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.sum(mark.cast("decimal(38,0)")).alias("_sum"))
     after = patch(chunks)
-    checked = after.join(before, id_col)
-    same = F.xxhash64(*fixed) == F.col("_before")
-    return checked.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("patch changed "), F.col(id_col).cast("string"))).cast("boolean"))).drop("_before")
+    rows = after.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_m"), F.sum(mark.cast("decimal(38,0)")).alias("_total"), F.collect_list(F.struct(*after.columns)).alias("_rows"))
+    met = before.join(rows, "_id", "full")
+    fault = F.when(F.col("_m").isNull(), "dropped").when(F.col("_n").isNull(), "added").when(F.col("_m") > F.col("_n"), "doubled").when(F.col("_m") < F.col("_n"), "dropped").when(F.col("_sum") != F.col("_total"), "changed")
+    whole = F.when(fault.isNull(), F.col("_rows")).otherwise(F.raise_error(F.concat(F.lit("patch "), fault, F.lit(" "), F.col("_id").cast("string"))))
+    return met.select(F.explode(whole).alias("_r")).select("_r.*")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..operators import catalog
 from ..operators import documents as d
 from ..operators.ranking import top_by
 from ..sources.tables import table
@@ -85,13 +86,14 @@ def json_payloads(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), ((F.col("event_type") == "click") & (k >= 50)).alias("heavy"))
 
 
-@query("""SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS scrubbed, md5(string_agg(CASE WHEN event_type = 'purchase' THEN '{"type":"[removed]"}' ELSE '{"type":"' || event_type || '"}' END, '' ORDER BY event_id)) AS digest FROM events GROUP BY 1""")
+@query(f"""WITH e AS (SELECT user_id, event_id AS k, CASE WHEN event_type = 'purchase' THEN '{{"type":"[removed]"}}' ELSE '{{"type":"' || event_type || '"}}' END AS d FROM events), {catalog.tree_digest_sql("e", "user_id")},
+c AS (SELECT user_id, sum((event_type = 'purchase')::INTEGER)::BIGINT AS scrubbed FROM events GROUP BY 1) SELECT user_id, scrubbed, digest FROM tree JOIN c USING (user_id)""")
 def scrubbed_payloads(spark, sf_dir):
-    """A value removed from JSON payloads, and a digest of each user's payloads in order. A user's events bound a list."""
+    """A value removed from JSON payloads, and a digest of each user's payloads in order, by a tree of digests."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct(F.col("event_type").alias("type"))).alias("p"))
     e = e.withColumn("q", d.scrubbed(F.col("p"), F.lit("purchase")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "q"))), lambda x: x["q"])
-    return e.groupBy("user_id").agg(F.count_if(F.col("p") != F.col("q")).alias("scrubbed"), F.md5(F.array_join(listed, "")).alias("digest"))
+    counts = e.groupBy("user_id").agg(F.count_if(F.col("p") != F.col("q")).alias("scrubbed"))
+    return catalog.tree_digest(e, ["user_id"], F.col("event_id"), F.col("q")).join(counts, "user_id").select("user_id", "scrubbed", "digest")
 
 
 @query("""SELECT o_orderkey, count(l_linenumber) AS n, coalesce(string_agg(l_linenumber || '=' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS lines, coalesce(sum(l_quantity), 0)::DOUBLE AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")

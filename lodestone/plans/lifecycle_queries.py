@@ -77,14 +77,16 @@ def purged_customers(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""WITH d AS (SELECT user_id, count(*) AS n, max(ts) AS latest, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR)) AS plan FROM events WHERE event_type = 'error' GROUP BY 1),
-l AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, n::BIGINT AS n, 'plan-' || substr(plan, 1, 24) AS plan_id, latest + INTERVAL 15 DAY >= now AS valid, latest > now AS skewed FROM d, l""")
+@query(f"""WITH e AS (SELECT user_id, event_id AS k, event_id::VARCHAR AS d FROM events WHERE event_type = 'error'), {catalog.tree_digest_sql("e", "user_id")},
+l AS (SELECT max(ts) AS now FROM events), t AS (SELECT user_id, max(ts) AS latest FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT user_id, n, 'plan-' || substr(digest, 1, 24) AS plan_id, latest + INTERVAL 15 DAY >= now AS valid, latest > now AS skewed FROM tree JOIN t USING (user_id), l""")
 def purge_plans(spark, sf_dir):
     """Each user's errors as a purge plan: its id is the digest of what it takes, so a changed plan has another id; it
     expires, and one from the future is a clock's fault."""
     e = table(spark, sf_dir, "events")
-    plan = e.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), ","), 256).alias("plan"))
+    errors = e.where("event_type = 'error'")
+    digests = catalog.tree_digest(errors, ["user_id"], F.col("event_id"), F.col("event_id").cast("string")).withColumnRenamed("digest", "plan")
+    plan = digests.join(errors.groupBy("user_id").agg(F.max("ts").alias("latest")), "user_id")
     now = F.broadcast(e.agg(F.max("ts").alias("now")))
     return plan.join(now).select("user_id", "n", F.concat(F.lit("plan-"), F.substring("plan", 1, 24)).alias("plan_id"), (F.col("latest") + F.expr("INTERVAL 15 DAYS") >= F.col("now")).alias("valid"), (F.col("latest") > F.col("now")).alias("skewed"))
 
@@ -168,12 +170,12 @@ def corpus_exists(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg((F.bool_or(F.col("n_chars") > 5000) | F.bool_or(F.col("lang") == "fr")).alias("has_corpus"))
 
 
-@query("""WITH s AS (SELECT source, lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS segments FROM documents GROUP BY 1, 2)
-SELECT source, sha256(string_agg(lang || ':' || segments, ';' ORDER BY lang)) AS epoch FROM s GROUP BY 1""")
+@query(f"""WITH s AS (SELECT source, doc_id AS k, lang || ':' || doc_id AS d FROM documents), {catalog.tree_digest_sql("s", "source")} SELECT source, digest AS epoch FROM tree""")
 def catalogue_epochs(spark, sf_dir):
-    """A digest of each library that changes with any of its books or their segments."""
-    s = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("segments"))
-    return s.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "segments"))), lambda x: F.concat(x["lang"], F.lit(":"), x["segments"])), ";"), 256).alias("epoch"))
+    """A digest of each library that changes with any of its books or their segments, by a tree of digests."""
+    d = table(spark, sf_dir, "documents")
+    tree = catalog.tree_digest(d, ["source"], F.col("doc_id"), F.concat("lang", F.lit(":"), F.col("doc_id").cast("string")))
+    return tree.select("source", F.col("digest").alias("epoch"))
 
 
 @query("""WITH b AS (SELECT DISTINCT user_id AS blob, max(ts) OVER (PARTITION BY user_id) AS changed FROM events), m AS (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 13 = 0 UNION SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 11 = 0)

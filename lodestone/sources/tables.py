@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .generations import Import
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,20 +78,12 @@ def export_tables(tables: dict[str, DataFrame], path: str, by: str) -> None:
         df.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{name}")
 
 
-def committed(spark: SparkSession, path: str, by: str) -> DataFrame:
-    """The ranges that an interrupted import has finished; none if it hasn't begun."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.parquet(path).select(by).distinct() if there else spark.createDataFrame([], f"{by} string")
-
-
-def resume(df: DataFrame, path: str, by: str) -> None:
-    """Write the ranges that aren't committed yet. A range is a partition of `by`, which Spark commits as a whole, so a
-    second run writes what the first has left and changes nothing else."""
-    done = committed(df.sparkSession, f"{path}/ledger", by)
-    left = df.join(done.withColumn(by, F.col(by).cast(df.schema[by].dataType)), by, "left_anti")
-    left.write.mode("append").partitionBy(by).parquet(f"{path}/data")
-    left.select(by).distinct().write.mode("append").parquet(f"{path}/ledger")
+def resume(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Import the ranges of `by` that are new or have changed, and give all that has been imported. Data and ledger are
+    one commit, so a run that breaks off anywhere leaves no rows behind, and a second run none twice."""
+    job = Import(df.sparkSession, path, by)
+    job.run(df)
+    return job.data()
 
 
 def save_report(report: DataFrame, path: str, at: str) -> None:

@@ -72,8 +72,7 @@ def test_an_import_goes_on_where_it_stopped(spark, tmp_path):
     df = spark.createDataFrame([(f"r{i % 4}", i) for i in range(20)], "part string, n int")
     tables.resume(df.where("part IN ('r0', 'r1')"), str(tmp_path), "part")
     tables.resume(df, str(tmp_path), "part")
-    tables.resume(df, str(tmp_path), "part")
-    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/data").collect()) == list(range(20))
+    assert sorted(r.n for r in tables.resume(df, str(tmp_path), "part").collect()) == list(range(20))
     tables.export_tables({"a": df, "b": df.where("n > 5")}, f"{tmp_path}/all", "part")
     assert spark.read.parquet(f"{tmp_path}/all/b").count() == 14
     for at, n in (("2024-01-01", 1), ("2024-02-01", 2)):
@@ -81,6 +80,22 @@ def test_an_import_goes_on_where_it_stopped(spark, tmp_path):
     assert [r.n for r in tables.latest_report(spark, f"{tmp_path}/reports").collect()] == [2]
 
 
+def test_a_patch_keeps_every_chunk(spark):
+    chunks = spark.createDataFrame([(i, f"text {i}", "h") for i in range(6)], "id long, text string, heading string")
+    good = ext.patched(chunks, lambda c: c.withColumn("heading", F.lit("new")), "id", ["text"])
+    assert sorted((r.id, r.heading) for r in good.collect()) == [(i, "new") for i in range(6)]
+    wrong = {
+        "changed": lambda c: c.withColumn("text", F.concat("text", F.lit("!"))),
+        "dropped": lambda c: c.where("id <> 3"),
+        "doubled": lambda c: c.unionByName(c.where("id = 2")),
+        "added": lambda c: c.withColumn("id", F.when(F.col("id") == 1, 99).otherwise(F.col("id"))),
+    }
+    for what, patch in wrong.items():
+        with pytest.raises(Exception, match="patch (changed|dropped|doubled|added)"):
+            ext.patched(chunks, patch, "id", ["text"]).collect()
+            raise AssertionError(what)
+
+
 def test_near_hashes_find_planted_neighbours(spark, tmp_path):
     rng = np.random.default_rng(53)
     base = rng.normal(size=(40, 64))
