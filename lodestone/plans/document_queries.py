@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..operators import catalog
+from ..operators import catalog, selection
 from ..operators import documents as d
 from ..operators.ranking import top_by
 from ..sources.tables import table
@@ -56,6 +56,15 @@ def evidence_packing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(chosen).alias("n_lines"), F.aggregate(chosen, F.lit(0).cast("long"), lambda a, x: a + t.estimated_tokens(x)).alias("n_tokens"))
 
 
+@query()
+def packed_evidence(spark, sf_dir):
+    """Lines of a document in order as windows of 1,200 tokens at most in all; tables and formulas may be longer than
+    prose, lists stand for navigation and are passed over. A sequential budget, held against cases in the tests."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x, i: F.struct(i.alias("id"), F.when(t.line_kind(x) == "list", "navigation").otherwise(t.line_kind(x)).alias("kind"), F.lit(None).cast("string").alias("provenance"), t.estimated_tokens(x).alias("tokens")))
+    packed = table(spark, sf_dir, "documents").select("doc_id", selection.packed(lines, 1200).alias("w"))
+    return packed.select("doc_id", F.size("w").alias("n_windows"), F.aggregate("w", F.lit(0), lambda a, x: a + x["tokens"]).alias("n_tokens"))
+
+
 @query("""WITH h AS (SELECT l_orderkey, l_partkey, l_linenumber AS rank FROM lineitem),
 f AS (SELECT l_orderkey, l_partkey, min(rank) AS first FROM h GROUP BY 1, 2),
 g AS (SELECT o_orderkey, s, unnest(CASE s WHEN 0 THEN [p, q] ELSE [z] END) AS l_partkey FROM (

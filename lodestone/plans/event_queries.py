@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import catalog
 from ..operators.ranking import top_by
 from ..sources.tables import table
+from ..streaming import claims
 from ..streaming import events as log
 from .registry import query
 
@@ -82,3 +83,19 @@ def stream_deduplicated(spark, sf_dir):
     e = log.event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
     twice = e.union(e).withWatermark("at", "60 days").dropDuplicates(["event_id"])
     return log.drained(twice.select("event_id", "event_type", "user_id"), log.scratch(spark))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE role = 'assistant'),
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS n FROM c)
+SELECT conv_id, n, 'C' || (turn + 1) AS claim_id, md5(text) AS digest FROM x""")
+def claim_stream(spark, sf_dir):
+    """Claims of each conversation out of a stream of deltas, each of which ends one claim's block and begins the next."""
+    schema = table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
+    block = F.concat(F.lit(claims.OPEN), F.to_json(F.struct(F.concat(F.lit("C"), F.col("turn") + 1).alias("id"), "text")), F.lit(claims.CLOSE))
+    half = F.floor(F.length("block") / 2).cast("int")
+    said = turns.select("conv_id", "turn", F.when(F.col("role") == "assistant", block).otherwise("...").alias("block"))
+    parts = F.array(F.struct((2 * F.col("turn")).alias("seq"), F.substring("block", 1, half).alias("delta")), F.struct((2 * F.col("turn") + 1).alias("seq"), F.substr("block", half + 1).alias("delta")))
+    deltas = said.select("conv_id", F.explode(parts).alias("p")).select("conv_id", "p.*")
+    found = log.drained(claims.claims_of(deltas, "conv_id", "seq", "delta", most_buffer=10_000_000, most_block=10_000_000, most_text=10_000_000), log.scratch(spark))
+    return found.where("error IS NULL").select(F.col("stream").cast("long").alias("conv_id"), "n", "claim_id", F.md5("text").alias("digest"))

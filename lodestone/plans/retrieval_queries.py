@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import catalog, graph, postings, ranking
+from ..operators import catalog, graph, postings, ranking, selection
+from ..operators import documents as d
 from ..sources.tables import table
 from .registry import query
 from .text_queries import BOOK, STOP, terms_sql
@@ -152,6 +153,18 @@ def diversified_selection(spark, sf_dir):
     return ranking.diversified(eligible(spark, sf_dir).join(words, "doc_id").select("item_id", "doc_id", "p", "terms"), "item_id", "doc_id", "p", "terms", 5)
 
 
+@query()
+def adaptive_selection(spark, sf_dir):
+    """Evidence of each passage: candidates of two channels, scored anew by shared words, with one language and one source
+    as required facets; a greedy choice, so held against plain loops in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("content"), t.search_terms(F.col("text")).alias("terms"), F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")).alias("facets"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", t.search_terms(F.col("text")).alias("wanted"))
+    found = fused_ranking(spark, sf_dir, 20).select("item_id", "doc_id").join(docs, "doc_id").join(asked, "item_id")
+    rows = found.select("item_id", F.format_string("%012d", "doc_id").alias("item"), (5 * d.overlap(F.col("terms"), F.col("wanted")) - 1).alias("score"), F.col("doc_id").cast("string").alias("document"), "content", F.col("source").alias("section"), "terms", "facets", F.array(F.lit("lang:en"), F.lit("source:src1")).alias("required"))
+    chosen = selection.selected(rows, "item_id", "normal", selection.Budget(2, 8))
+    return chosen.select("item_id", F.col("item").cast("long").alias("doc_id"), F.round("relevance", 6).alias("relevance"), "place", "reason", F.array_join("missing", ",").alias("missing"))
+
+
 def gold(spark, sf_dir):
     """Documents that hold a benchmark passage verbatim, found by its first 5 words, then checked."""
     first = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
