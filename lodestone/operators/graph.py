@@ -62,3 +62,34 @@ def neighbours(edges: DataFrame, src: str, dst: str, weight: str, k: int) -> Dat
     both = edges.select(F.col(src).alias("node"), F.col(dst).alias("neighbour"), weight).union(edges.select(F.col(dst), F.col(src), weight))
     best = both.groupBy("node", "neighbour").agg(F.max(weight).alias(weight))
     return top_by(best, ["node"], [F.col(weight).desc(), F.col("neighbour")], k)
+
+
+def capped(edges: DataFrame, a: str, b: str, weight: str, most: int = 5) -> DataFrame:
+    """(a, b, weight): the edges that a walk from the heaviest takes when no node of either side may have over `most`
+    (ties: smaller a, then b).
+
+    By rounds: an edge that is among the open ones that both its ends have room for is taken, since neither can fill up
+    before the walk comes to it; then full nodes leave with their edges. The heaviest open edge is always such a one, so
+    every round takes some; most take very many. Edges with a null end or weight are left out; equal edges count once.
+    """
+    left = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(weight).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max(weight).alias("w"))
+    left, taken = staged(left, "edges"), None
+    order = [F.col("w").desc(), F.col("a"), F.col("b")]
+    while not left.isEmpty():
+        room = None
+        for side in ("a", "b"):
+            best = top_by(left, [side], order, most, f"_{side}")
+            if taken is not None:
+                used = taken.groupBy(side).agg(F.count(F.lit(1)).alias("used"))
+                best = best.join(used, side, "left").where(F.col(f"_{side}") <= most - F.coalesce("used", F.lit(0))).drop("used")
+            best = best.select("a", "b", "w")
+            room = best if room is None else room.join(best.select("a", "b"), ["a", "b"], "left_semi")
+        new = staged(room, "taken")
+        taken = new if taken is None else staged(taken.unionByName(new), "taken")
+        rest = left.join(new.select("a", "b"), ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            full = taken.groupBy(side).agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= most).select(side)
+            rest = rest.join(full, side, "left_anti")
+        left = staged(rest.select("a", "b", "w"), "edges")
+    out = left if taken is None else taken
+    return out.select(F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(weight))

@@ -233,3 +233,11 @@ def graph_neighbours(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
     e = e.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "w")
     return graph.neighbours(e, "src", "dst", "w", 4).select("node", "neighbour", F.round("w", 6).alias("weight"), "rank")
+
+
+@query()
+def capped_neighbours(spark, sf_dir):
+    """Edges between parts and suppliers by quantity, the heaviest first, five at most at each node; a walk, so held
+    against one in the tests."""
+    e = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    return graph.capped(e, "l_partkey", "l_suppkey", "w")

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fuzzy import fuzzy_score
 from ..operators.ranking import top_by
 from ..sources.tables import table
 from .registry import query
 
 
+@query()
+def fuzzy_ranking(spark, sf_dir):
+    """The 50 best titles for a query of two words by the best alignment of their letters; a dynamic program, held against
+    a plain one in the tests."""
+    scored = table(spark, sf_dir, "part").select("p_partkey", "p_name", fuzzy_score(F.col("p_name"), "gr le").alias("score")).where("score IS NOT NULL")
+    return scored.orderBy(F.col("score").desc(), "p_name", "p_partkey").limit(50)
+
+
 @query("""SELECT p_partkey, p_name, round(3.0 / length(s), 9)::DOUBLE AS score FROM (SELECT *, regexp_extract(lower(p_name), '(r.*?e.*?t)', 1) AS s FROM part) WHERE length(s) > 0 ORDER BY score DESC, p_partkey LIMIT 50""")
 def fuzzy_library_search(spark, sf_dir):
     """The 50 names that match a pattern's letters in order most closely."""
