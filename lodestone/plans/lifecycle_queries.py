@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import catalog
+from ..operators import catalog, validation
 from ..operators.ranking import top_by
 from ..sources.tables import table
 from .registry import query
@@ -202,3 +202,34 @@ def validated_requests(spark, sf_dir):
     """Codes of the limits and enumerations that a request breaks."""
     codes = [F.when(F.col("c_acctbal") < -900, "limit"), F.when(F.length("c_name") < 5, "name"), F.when(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD"), "segment")]
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.concat_ws("|", *codes).alias("errors"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place FROM lineitem)
+SELECT 'mixed_generation' AS code, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT 'structure_missing', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT 'segments_missing', o_orderkey::VARCHAR FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'chunks_missing', o_orderkey::VARCHAR FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'refs_missing', l_orderkey || '/' || place FROM l WHERE l_partkey % 97 = 0
+UNION ALL SELECT 'chunk_page_invalid', l_orderkey || '/' || place FROM l WHERE l_orderkey % 11 = 0""")
+def generation_faults(spark, sf_dir):
+    """Orders as books of one page a line, some of an old generation, some without structure or references, held against
+    all rules for an index."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("book"), F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", "old").otherwise("g").alias("generation"))
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    own = F.concat_ws("/", "l_orderkey", "place")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.row_number().over(line) - 1).alias("place")).withColumn("evidence", own)
+    l = l.withColumn("previous", F.lag("evidence").over(line)).withColumn("next", F.lead("evidence").over(line))
+    g, none = F.lit("g"), F.array().cast("array<string>")
+    sizes = l.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(F.struct(F.col("evidence").alias("evidence_id"))).alias("evidence"))
+    books = o.join(sizes, "l_orderkey", "left")
+    payload = F.to_json(F.struct(F.lit("3").alias("schema_version"), F.lit("h").alias("content_hash"), F.coalesce("evidence", F.array().cast("array<struct<evidence_id:string>>")).alias("evidence"), F.struct(F.array().cast("array<struct<media_id:string>>").alias("assets")).alias("media")))
+    one = F.lit(1)
+    tables = {name: spark.createDataFrame([], kind) for name, kind in validation.TABLES.items()} | {
+        "books": books.select("book", "generation", F.lit("p").alias("pipeline")),
+        "structures": books.where("l_orderkey % 11 <> 0").select("book", g.alias("generation"), F.coalesce("n", F.lit(0)).alias("total_pages")),
+        "snapshots": books.select("book", g.alias("generation"), F.lit("h").alias("content_hash"), payload.alias("payload")),
+        "nodes": books.select("book", F.lit("n").alias("node"), F.lit(None).cast("string").alias("parent")),
+        "segments": books.where("n IS NOT NULL").select("book", F.lit("s").alias("segment"), g.alias("generation"), F.lit("absolute").alias("page_mode"), one.alias("conversion_start"), one.alias("core_start"), F.col("n").alias("core_end"), F.col("n").alias("conversion_end")),
+        "chunks": l.select(F.col("l_orderkey").cast("string").alias("book"), F.col("evidence").alias("chunk"), g.alias("generation"), F.when(F.col("l_partkey") % 97 == 0, none).otherwise(F.array(F.col("l_partkey").cast("string"))).alias("refs"), F.array(F.col("place") + 1).alias("pages"), F.lit("n").alias("section"), F.lit("s").alias("segment"), "place", F.col("l_partkey").cast("string").alias("content_hash"), "evidence", "previous", "next"),
+    }
+    return validation.index_faults(tables, "g", "p")
