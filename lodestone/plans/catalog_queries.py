@@ -244,7 +244,7 @@ def equal_perceptual_hashes(spark, sf_dir):
     return catalog.with_first(sign_hashes(spark, sf_dir), "vec_id", "h").select("vec_id", "rep")
 
 
-@query("""WITH RECURSIVE h AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS b, vec_id % 3 AS kind FROM embeddings),
+@query("""WITH RECURSIVE h AS (SELECT vec_id, list_transform(range(60), lambda i: (embedding[i // 6 + 1] > 0)::INTEGER) AS b, vec_id % 3 AS kind FROM embeddings),
 m AS (SELECT *, min(vec_id) OVER w AS rep, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY b, kind)),
 o AS (SELECT vec_id, b, (100 + kind * 10) / 100.0::DOUBLE AS r, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM m WHERE vec_id = rep),
 walk AS (SELECT 0::BIGINT AS i, []::STRUCT(v BIGINT, b INTEGER[], r DOUBLE)[] AS c
@@ -256,9 +256,11 @@ p AS (SELECT o.vec_id AS id, min(f.x.v) AS canonical FROM o JOIN f ON abs(f.x.r
 SELECT vec_id AS id, rep AS canonical, 'exact' AS match FROM m WHERE n > 1
 UNION ALL SELECT id, canonical, 'perceptual' FROM (SELECT *, count(*) OVER (PARTITION BY canonical) AS n FROM p) WHERE n > 1""")
 def duplicate_media(spark, sf_dir):
-    """Groups of vectors as media: exact by signs and a third of the ids, near by signs and aspect, greedy in id order."""
+    """Groups of vectors as media, greedy in id order. A hash has six bits for each of the first ten signs, so near is one
+    sign apart; exact are those of one hash and remainder by three, which gives the aspect, too."""
     kind = F.col("vec_id") % 3
-    assets = sign_hashes(spark, sf_dir).select("vec_id", "h", F.concat_ws("/", "h", kind).alias("pixels"), (100 + kind * 10).alias("width"), F.lit(100).alias("height"))
+    bits = F.aggregate(F.slice("embedding", 1, 10), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 6).bitwiseOR(F.when(x > 0, 63).otherwise(0).cast("long")))
+    assets = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("h")).select("vec_id", "h", F.concat_ws("/", "h", kind).alias("pixels"), (100 + kind * 10).alias("width"), F.lit(100).alias("height"))
     return duplicates.duplicate_groups(assets, "vec_id", "pixels", "h", "width", "height")
 
 
