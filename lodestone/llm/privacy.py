@@ -12,12 +12,18 @@ from .quality import let
 
 KEY = "lodestone-surrogate-key"
 #: Titles that mark a name, by the gender they tell; the last tell none (fixed values).
-MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Lord", "M", "Κύριος", "Господин"]
+MALE = ["Mr", "Mister", "Herr", "Hr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Lord", "M", "Κύριος", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña", "Lady", "Dame", "Κυρία", "Госпожа"]
 NEUTRAL = ["Dr", "Prof", "Professor", "Doctor", "Docteur", "Doktor", "Dra", "Доктор"]
 TITLES = "|".join(MALE + FEMALE + NEUTRAL)
 #: Words that are no names, though they may follow one with a capital (fixed values).
 NO_NAMES = ["the", "a", "an", "and", "of", "in", "on", "at", "to", "for", "he", "she", "it", "they", "we", "i", "is", "was", "der", "die", "das", "und", "in", "im", "er", "sie", "es", "wir", "ich", "ein", "eine", "le", "la", "les", "et", "il", "elle", "un", "une", "el", "los", "las", "y", "en", "que"]
+#: Small words inside names, and before a surname with an apostrophe (fixed values).
+PARTICLES = ["von", "vom", "van", "der", "den", "zu", "zur", "de", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "bin", "ibn", "al", "el"]
+SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}(?:[dl]['’](?=\p{{Lu}}))?"
+ELIDED = r"^[dl]['’](?=\p{Lu})"
+#: A verb and the word after it that tell a question from a name (fixed values).
+ASKED = "(?:Will|May|Can|Might|Must|Shall) (?:I|he|she|it|we|you|they|there|the|a|an|this|that|these|those|my|your|his|her|its|our|their|any|some|all|not)"
 W = r"\p{L}\p{N}"
 #: A word of a name, or an initial.
 NAME = r"\p{Lu}(?:\p{L}+(?:[-'’]\p{L}{2,})*|['’]\p{L}{2,}(?:-\p{L}{2,})*|\.)"
@@ -25,19 +31,20 @@ PATTERNS = {
     "email": rf"(?<![{W}._%+-])[{W}._%+-]++@(?:[{W}-]++\.)++[{W}-]*[{W}]",
     "secret": rf"(?<![{W}])(?:[0-9a-fA-F]{{32,}}+|AKIA[0-9A-Z]{{16}}|(?:sk|pk|gh[pousr])[-_][0-9A-Za-z]{{20,}}+)(?![{W}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "ip6": rf"(?<![{W}:.])(?:(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}|(?:[0-9a-fA-F]{{1,4}}:){{2,6}}(?::[0-9a-fA-F]{{1,4}}){{1,5}})(?![{W}:])",
     "iban": rf"(?<![{W}])[A-Z]{{2}}\d{{2}}(?: ?\d{{4}}){{3,7}}(?: ?\d{{1,3}})?(?![{W}])",
-    "phone": rf"(?<![{W}+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d)",
+    "phone": rf"(?<![{W}+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}|0\d{{2,4}} \d{{3,4}} \d{{3,4}}(?![ -]?\d))(?!\d)",
     "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "name": rf"(?<![{W}])(?=\p{{Lu}})(?:{TITLES})(?:\.? (?:{TITLES}))?\.? {NAME}(?: {NAME}){{0,2}}",
+    "name": rf"(?<![{W}])(?=\p{{Lu}})(?:{TITLES})(?:\.? (?:{TITLES}))?\.? {SMALL}{NAME}(?: {SMALL}{NAME}){{0,2}}",
 }
 #: All kinds in one pattern; a card's back reference by its name, as numbers differ within the whole.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace("([ -]?)", "(?<gap>[ -]?)").replace(r"\1", r"\k<gap>")
 #: The same, and any other word with a capital: in texts with names it may be one of them.
-LOOSE = rf"(?<![{W}'’-]){NAME}"
+LOOSE = rf"(?:(?<![{W}'’-])|(?<=[dl]['’])(?<![{W}][dl]['’]))(?!{ASKED}(?![{W}])){NAME}"
 WIDE = f"{ANY}|{LOOSE}"
 #: What a text must have to hold any of them.
-HINT = rf"[0-9@]|(?<![{W}])(?=\p{{Lu}})(?:{TITLES})\.? \p{{Lu}}|AKIA|(?:sk|pk|gh[pousr])[-_]|[a-fA-F]{{32}}"
+HINT = rf"[0-9@]|(?<![{W}])(?=\p{{Lu}})(?:{TITLES})\.? {SMALL}\p{{Lu}}|AKIA|(?:sk|pk|gh[pousr])[-_]|[a-fA-F]{{32}}"
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "ka", "lo", "mi", "pe", "ro"],
     "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τα", "βε", "κα", "λο", "μι", "πε", "ρο"],
@@ -55,8 +62,8 @@ def kind_of(entity: Column) -> Column:
 
 
 def head(kind: Column, entity: Column) -> Column:
-    """What stays in front: a phone's country code, a name's title."""
-    return F.when(kind == "phone", F.regexp_extract(entity, r"^\+\d{1,3}?(?=[ .(-])", 0)).when(kind == "name", F.regexp_extract(entity, rf"^(?:{TITLES})(?:\.? (?:{TITLES}))?\.? ", 0)).when(kind == "iban", F.substring(entity, 1, 2)).otherwise("")
+    """What stays in front: a phone's country code or leading zero, a name's title."""
+    return F.when(kind == "phone", F.regexp_extract(entity, r"^(?:\+\d{1,3}?(?=[ .(-])|0(?=\d{2,4} ))", 0)).when(kind == "name", F.regexp_extract(entity, rf"^(?:{TITLES})(?:\.? (?:{TITLES}))?\.? ", 0)).when(kind == "iban", F.substring(entity, 1, 2)).otherwise("")
 
 
 def tail(kind: Column, entity: Column) -> Column:
@@ -65,17 +72,20 @@ def tail(kind: Column, entity: Column) -> Column:
 
 
 def parts_of(kind: Column, head: Column, body: Column) -> Column:
-    """The units that get a surrogate each: (kind, norm). Names are taken word by word, so a surname alone refers to the
-    same person as the full name; other kinds are letters and digits in lower case, whatever their separators."""
+    """The units that get a surrogate each: (kind, norm, at, title, lone). Names are taken word by word, so a surname alone
+    refers to the same person as the full name; small words between them stay. title: the gender that the title tells;
+    lone: a name of one word. Other kinds are letters and digits in lower case, whatever their separators."""
     titles = F.split(head, r"\.? ")
     female, male = (F.arrays_overlap(titles, F.array(*[F.lit(t) for t in some])) for some in (FEMALE, MALE))
+    title = F.when(female, "f").when(male, "m").otherwise("n")
     script = F.when(body.rlike(r"\p{IsCyrillic}"), "cyrillic").when(body.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     words = F.split(body, " ")
-    role = lambda i: F.when(i == F.size(words) - 1, "-s").when(female, "-f").when(male, "-m").otherwise("-n")
-    named = F.transform(words, lambda w, i: F.struct(F.concat(F.lit("name-"), script, role(i)).alias("kind"), F.lower(w).alias("norm")))
+    role = lambda i: F.when(i == F.size(words) - 1, "s").otherwise(title)
+    lone = F.size(F.filter(words, lambda w: ~w.isin(PARTICLES))) == 1
+    named = F.transform(words, lambda w, i: F.struct(F.concat(F.lit("name-"), script, F.lit("-"), role(i)).alias("kind"), F.lower(F.regexp_replace(w, ELIDED, "")).alias("norm"), i.alias("at"), title.alias("title"), lone.alias("lone")))
     solid = F.lower(F.regexp_replace(F.when(kind == "iban", F.concat(head, body)).otherwise(body), rf"[^{W}]", ""))
-    other = F.array(F.struct(kind.alias("kind"), F.when(kind == "ip", body).otherwise(solid).alias("norm")))
-    return F.when(kind == "name", named).otherwise(other)
+    other = F.array(F.struct(kind.alias("kind"), F.when(kind == "ip", body).otherwise(solid).alias("norm"), F.lit(0).alias("at"), F.lit("n").alias("title"), F.lit(False).alias("lone")))
+    return F.when(kind == "name", F.filter(named, lambda u: ~F.get(words, u["at"]).isin(PARTICLES))).otherwise(other)
 
 
 def digits_of(s: Column) -> Column:
@@ -101,7 +111,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, F.lit(attempt)), 256)
     draw = lambda i, n: F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int") + 1
     pick = lambda letters, i: F.element_at(F.array(*[F.lit(c) for c in letters]), draw(i, len(letters)))
-    hexes = kind == "secret"
+    hexes = kind.isin("secret", "ip6")
 
     def char(i: Column) -> Column:
         c = F.substring(norm, i, F.lit(1))
@@ -156,8 +166,9 @@ def cased(word: Column, like: Column) -> Column:
 
 
 def written(body: Column, kind: Column, subs: Column) -> Column:
-    """body with its letters and digits replaced in order by those of the surrogate, in the case of the original."""
-    whole = F.element_at(subs, 1)
+    """body with its letters and digits replaced in order by those of the surrogate, in the case of the original; a name
+    word by word, as subs (at, sur) say."""
+    whole = F.element_at(subs, 1)["sur"]
     flat = F.when(kind == "iban", F.substring(whole, F.lit(3), F.length(whole))).otherwise(whole)
     state = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
@@ -167,7 +178,13 @@ def written(body: Column, kind: Column, subs: Column) -> Column:
         return F.struct((s["n"] + hit.cast("int")).alias("n"), F.concat(s["out"], F.when(~hit, c).when(c != F.lower(c), F.upper(new)).otherwise(new)).alias("out"))
 
     filled = F.aggregate(F.split(body, ""), state, step, lambda s: s["out"])
-    names = F.array_join(F.transform(F.split(body, " "), lambda w, i: cased(F.get(subs, i), w)), " ")
+
+    def word(w: Column, i: Column) -> Column:
+        small = F.regexp_extract(w, ELIDED, 0)
+        new = F.get(F.filter(subs, lambda s: s["at"] == i), F.lit(0))["sur"]
+        return F.coalesce(F.concat(small, cased(new, F.regexp_replace(w, ELIDED, ""))), w)
+
+    names = F.array_join(F.transform(F.split(body, " "), word), " ")
     return F.when(kind == "ip", flat).when(kind == "name", names).otherwise(filled)
 
 
@@ -178,8 +195,10 @@ def found_in(text: Column, pattern: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with `text` rewritten and the column n_entities (with leading underscores where docs has one) after its own.
 
-    Found are e-mail and IP addresses, phone, card, bank and social security numbers, keys and tokens, and names after a
-    title; and wherever a word of such a name stands again in its document, with a capital, it is the same person's. An
+    Found are e-mail and IP addresses of both kinds, phone, card, bank and social security numbers, keys and tokens, and names after a
+    title, with small words like `von` and `d'` that stay; and wherever a word of such a name stands again in its document,
+    with a capital, it is the same person's, but for a verb that begins a question. A lone word after a title is a given
+    name where a longer name of the document has it as one, never as a surname, and no other gender; else a surname. An
     entity gets the same surrogate wherever it stands, keyed by `key`: of its kind, format, case, script and gender; card
     numbers and bank accounts have right check digits. Country codes, titles and an address's last label stay. Distinct
     entities get distinct surrogates, none of which is a real entity. Null texts stay null, texts without entities stay
@@ -192,22 +211,32 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     ents = F.when(F.col("text").rlike(HINT), found_in(F.col("text"), ANY)).otherwise(F.array().cast("array<string>"))
     tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("sub"), body, F.coalesce(ents, F.array().cast("array<string>")).alias("ents"))
-    tagged = staged(tagged, "tagged")
-    plain = tagged.where(F.size("ents") == 0).select("row", F.lit(0).cast("long").alias("n"), F.col("row.text").alias("new"))
+    # Texts without a hint are not copied: they go straight from the scan to the result.
+    hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    tagged = staged(tagged.where(F.coalesce(F.col("row.text").rlike(HINT), F.lit(False))), "tagged")
+    plain = docs.where(~hint).select(body, F.lit(0).cast("long").alias("n"), F.col("text").alias("new"))
+    plain = plain.unionByName(tagged.where(F.size("ents") == 0).select("row", F.lit(0).cast("long").alias("n"), F.col("row.text").alias("new")))
     having = tagged.where(F.size("ents") > 0)
 
     split = having.select("id", "sub", F.explode(F.array_distinct("ents")).alias("ent")).distinct().withColumn("kind", kind_of(F.col("ent")))
     split = split.withColumn("head", head(F.col("kind"), F.col("ent"))).withColumn("tail", tail(F.col("kind"), F.col("ent")))
     split = split.withColumn("body", F.expr("substr(ent, length(head) + 1, length(ent) - length(head) - length(tail))"))
     split = staged(split.withColumn("parts", parts_of(F.col("kind"), F.col("head"), F.col("body"))), "found")
-    units = split.select("id", "sub", "ent", F.posexplode("parts").alias("at", "part")).select("id", "sub", "ent", "at", "part.*")
+    units = split.select("id", "sub", "ent", F.explode("parts").alias("part")).select("id", "sub", "ent", "part.*")
     # A given name after a title without gender is that of another title of the document, if there is one.
     same = Window.partitionBy("id", "sub", "norm")
     told = F.min(F.when(F.col("kind").rlike("^name-.*-[fm]$"), F.col("kind"))).over(same)
-    units = staged(units.withColumn("kind", F.when(F.col("kind").rlike("^name-.*-n$"), F.coalesce(told, "kind")).otherwise(F.col("kind"))), "units")
+    units = units.withColumn("kind", F.when(F.col("kind").rlike("^name-.*-n$"), F.coalesce(told, "kind")).otherwise(F.col("kind")))
+    surname = F.col("kind").rlike("^name-.*-s$")
+    family = F.max(surname & ~F.col("lone")).over(same)
+    given_name = F.min(F.when(F.col("kind").rlike("^name-.*-[fmn]$"), F.col("kind"))).over(same)
+    units = units.withColumns({"family": family, "given_name": given_name})
+    fits = (F.col("title") == "n") | F.endswith("given_name", F.lit("-n")) | F.endswith("given_name", F.concat(F.lit("-"), F.col("title")))
+    units = units.withColumn("kind", F.when(surname & F.col("lone") & ~F.col("family") & F.col("given_name").isNotNull() & fits, F.col("given_name")).otherwise(F.col("kind")))
+    units = staged(units.select("id", "sub", "ent", "at", "kind", "norm"), "units")
     known = dictionary(units, key)
     given = units.join(known, ["kind", "norm"])
-    subs = given.groupBy("id", "sub", "ent").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "sur"))), lambda x: x["sur"]).alias("subs"))
+    subs = given.groupBy("id", "sub", "ent").agg(F.array_sort(F.collect_set(F.struct("at", "sur"))).alias("subs"))
     whole = split.join(subs, ["id", "sub", "ent"]).select("id", "sub", F.lit(False).alias("loose"), F.col("ent").alias("key"), F.concat("head", written(F.col("body"), F.col("kind"), F.col("subs")), "tail").alias("sur"))
     # Words of the document's names, as a surname where a word is both.
     words = given.where(F.startswith("kind", F.lit("name-")) & ~F.endswith("norm", F.lit(".")) & ~F.col("norm").isin(NO_NAMES)).groupBy("id", "sub", "norm").agg(F.max_by("sur", "kind").alias("sur"))
