@@ -36,35 +36,53 @@ RULES = [
 ]
 
 
+#: Stands among places for two different windows of one hash.
+CLASH = -1
+
+
 def let(value: Column, then) -> Column:
     """then(value) with value computed once: lambdas that name an outer expression would compute it for every element."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def repeated_words(words: Column, n: Column, bits: Column) -> Column:
+def repeated_words(words: Column, n: Column, bits: Column, hash_of=F.xxhash64) -> Column:
     """Words that lie in 3-word windows found twice or more.
 
     Each window is a long of hash bits above `bits` position bits; equal windows are neighbours once these are sorted,
-    and neighbours of equal bits are compared word by word.
+    and neighbours of equal bits are compared word by word. Should two of them differ, the text's windows are sorted by
+    their words instead, so windows of one hash never hide each other.
     A position covers three words, less what the next marked position covers itself.
     """
     top = lambda x: F.call_function("shiftrightunsigned", x, bits)
-    three = F.lit(3).cast("long")
+    three, starts = F.lit(3).cast("long"), F.sequence(F.lit(0), n - 3)
 
     def hashed(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
+        return F.transform(starts, lambda i: F.call_function("shiftleft", hash_of(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
 
     def marked(s: Column, w: Column) -> Column:
         place = lambda x: (x - F.call_function("shiftleft", top(x), bits)).cast("int")
-        alike = lambda x, y: (top(x) == top(y)) & reduce(lambda a, b: a & b, [F.get(w, place(x) + j) == F.get(w, place(y) + j) for j in range(3)])
-        return F.filter(
-            F.transform(s, lambda x, i: F.when(alike(x, F.get(s, i - 1)) | alike(x, F.get(s, i + 1)), place(x).cast("long"))),
-            lambda p: p.isNotNull())
+        same = lambda x, y: reduce(lambda a, b: a & b, [F.get(w, place(x) + j) == F.get(w, place(y) + j) for j in range(3)])
+        alike = lambda x, y: (top(x) == top(y)) & same(x, y)
+
+        def mark(x: Column, i: Column) -> Column:
+            before, after = F.get(s, i - 1), F.get(s, i + 1)
+            return F.when((top(x) == top(before)) & ~same(x, before), CLASH).when(alike(x, before) | alike(x, after), place(x).cast("long"))
+
+        return F.filter(F.transform(s, mark), lambda p: p.isNotNull())
+
+    def by_words(w: Column) -> Column:
+        windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.struct(*[F.get(w, i + j).alias(f"w{j}") for j in range(3)]).alias("w"), i.cast("long").alias("at"))))
+        twice = lambda s: F.transform(s, lambda x, i: F.when((x["w"] == F.get(s, i - 1)["w"]) | (x["w"] == F.get(s, i + 1)["w"]), x["at"]))
+        return let(windows, lambda s: F.sort_array(F.filter(twice(s), lambda p: p.isNotNull())))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(three, F.coalesce(F.get(p, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(F.sort_array(hashed(w)), lambda s: let(F.sort_array(marked(s, w)), covered))))
+    def places(w: Column) -> Column:
+        found = let(F.sort_array(hashed(w)), lambda s: F.sort_array(marked(s, w)))
+        return let(found, lambda p: F.when(F.get(p, F.lit(0)) == CLASH, by_words(w)).otherwise(p))
+
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(places(w), covered)))
 
 
 def quality(docs: DataFrame, rules: list[Rule] = RULES, stop_words: list[str] = STOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
