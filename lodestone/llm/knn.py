@@ -159,7 +159,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     if not parts:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     table = data.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("t")).select("t.*")
-    slack = 1e-6 * (1 + float((norm**2).max()))
+    # Rounding grows with the greatest products that a bound is made of, so what it forgives does too.
+    slack = 1e-6 * (1 + F.col("slope") * (float(norm.max()) + F.col("radius")) + F.abs("spare"))
     n_parts = max(LEAST_PARTS, -(-blocks.count() // PART_BLOCKS))
     copies = blocks.join(F.broadcast(table), "cell").where(F.col("spare") + F.col("slope") * F.col("radius") + slack >= 0)
     left = copies.select("grp", F.expr(f"pmod(block, {n_parts})").cast("int").alias("salt"), F.col("ids").alias("d_ids"), F.col("dim").alias("d_dim"), F.col("vectors").alias("d_vectors"))
