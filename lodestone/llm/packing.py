@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PRE_TOKEN, byte_alphabet
+from .tokens import PRE_TOKEN, byte_alphabet, checked
 
 #: Penalties in padding tokens: what a cut at a sentence end, or at any other place within a document, may cost.
 SENTENCE_CUT, HARD_CUT = 4, 12
@@ -28,6 +28,16 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 SENTENCE_ENDS = (b".", b"!", b"?", b"\n")
 
 
+def in_id_order(spec: dict) -> dict:
+    """The tokenizer file if its merges make tokens of rising ids, each by one merge only, else an error. Then the lowest
+    rank of a merge is the lowest id of what it makes, which is the order in which tiktoken merges."""
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError("the order of the merges isn't the order of the ids they make")
+    return spec
+
+
 class Encoder:
     """ids of a byte-level BPE. tiktoken merges with the ranks of the same vocabulary, which gives the same ids in a fifth
     of the time; texts with runs over LONG_RUN characters without white space go to tokenizers, which is quicker there."""
@@ -39,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = in_id_order(checked(json.load(f)))
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         back = {c: b for b, c in byte_alphabet().items()}
         ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in added}

@@ -16,9 +16,9 @@ from lodestone.llm.knn import top_k
 from lodestone.llm.lines import remove_repeated_runs
 from lodestone.llm.mixing import Mix, mixture
 from lodestone.llm.near import cells, darts, keep_first, near_duplicates, Words
-from lodestone.llm.packing import Encoder, pack
+from lodestone.llm.packing import Encoder, in_id_order, pack
 from lodestone.llm.privacy import pseudonymised
-from lodestone.llm.quality import quality
+from lodestone.llm.quality import quality, repeated_words
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.repeats import remove_repeats
 from lodestone.llm.tokens import Counter as TokenCounter
@@ -359,6 +359,20 @@ def test_quality_counts(spark, docs, empty):
     assert quality(empty).count() == 0
 
 
+def test_windows_of_one_hash_do_not_hide_each_other(spark):
+    """A hash of nothing but a word's length makes different windows meet, in turn: a, b, a."""
+    random.seed(12)
+    texts = ["a b c d e f a b c", "x y z x y z x y z", "a b c", "a b", "one two six ten two six"] + [" ".join(random.choice("abcd") for _ in range(random.randrange(3, 40))) for _ in range(40)]
+    df = spark.createDataFrame([(i, x.split()) for i, x in enumerate(texts)], "i int, w array<string>")
+    n = F.size("w")
+    poor = repeated_words(F.col("w"), n, F.ceil(F.log2(n + 1)).cast("int"), lambda a, *_: F.length(a).cast("long")).alias("poor")
+    good = repeated_words(F.col("w"), n, F.ceil(F.log2(n + 1)).cast("int")).alias("good")
+    for r in df.select("w", poor, good).collect():
+        grams = Counter(zip(r.w, r.w[1:], r.w[2:], strict=False))
+        want = len({i + j for i in range(len(r.w) - 2) if grams[tuple(r.w[i : i + 3])] > 1 for j in range(3)})
+        assert r.poor == r.good == want
+
+
 # --- operator 7
 
 
@@ -634,3 +648,25 @@ def test_packing_of_long_texts_repeated_rows_and_clashing_names(spark, tokenizer
     rows = pack(df, vocabulary()).collect()
     n = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
     assert sum(r.length for r in rows if r.doc_id == 1) == n and sum(r.length for r in rows if r.doc_id == 2) == 4
+
+
+def test_packing_refuses_merges_out_of_the_order_of_ids():
+    spec = {"model": {"vocab": {"a": 0, "b": 1, "ab": 2, "abb": 3}, "merges": ["a b", "ab b"]}}
+    assert in_id_order(spec) is spec
+    for merges, ids in ((["a b", "ab b"], {"ab": 3, "abb": 2}), ([["a", "b"], ["a", "b"]], {})):
+        with pytest.raises(ValueError, match="order"):
+            in_id_order({"model": {"vocab": spec["model"]["vocab"] | ids, "merges": merges}})
+
+
+def test_top_k_of_small_and_very_great_vectors(spark):
+    """Rounding of a bound grows with radii; what it forgives must, too."""
+    random.seed(13)
+    rows = [(i, [random.uniform(-1, 1) * (1e7 if i % 9 == 4 else 1.0) for _ in range(8)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in top_k(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 400, 50):
+        best = sorted(((i, sum(a * b for a, b in zip(vectors[q], v, strict=True))) for i, v in vectors.items() if i != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[q] == best

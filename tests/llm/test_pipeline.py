@@ -53,6 +53,17 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
 
 
+def test_an_empty_table_passes_every_stage(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == COLUMNS), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_line_dedup_takes_two_lines_of_fifty_words(spark):
     two = "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     rows = [(0, f"first\n{two}", "en", "s0", 0), (1, f"second\n{two}\nend", "en", "s1", 0)]
