@@ -166,11 +166,23 @@ def adaptive_selection(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    """Documents that hold a benchmark passage verbatim, found by its first 5 words, then checked."""
-    first = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), first.alias("gram"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(grams("text", 5))).alias("gram"))
-    return docs.join(items, "gram").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    """Documents that hold a benchmark passage verbatim, one row for each row of a passage and a document."""
+    return holding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id")
+
+
+def holding(docs, items):
+    """(item_id, doc_id): documents (doc_id, text) that hold a passage (item_id, text) verbatim, anywhere in a word.
+
+    A passage is sought by five words inside it: only its first and last word can be parts of longer ones. The few that
+    are too short for that are sought in every text. Both are checked.
+    """
+    words = F.split("text", r"[ \n]")
+    items = items.where("text IS NOT NULL").select("item_id", F.col("text").alias("passage"), words.alias("words"))
+    docs, inside = docs.select("doc_id", "text"), F.contains("text", "passage")
+    long = items.where(F.size("words") >= 7).select("item_id", "passage", F.array_join(F.slice("words", 2, 5), " ").alias("gram"))
+    met = docs.withColumn("gram", F.explode(F.array_distinct(grams("text", 5)))).join(long, "gram").where(inside)
+    short = docs.join(items.where(F.size("words") < 7), inside)
+    return met.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
 
 
 def grams(column: str, n: int):

@@ -195,3 +195,12 @@ def test_claims_and_support(spark):
     aliases = F.array(*[F.lit(x) for x in ("a b", "c", "a b", "d e f")])
     assert one(spark, d.bounded_aliases(aliases, 24, 4)) == ["a b", "c"]
     assert one(spark, d.scrubbed(F.lit('{"k":"s","l":["s","st"]}'), F.lit("s"))) == '{"k":"[removed]","l":["[removed]","st"]}'
+
+
+def test_passages_are_found_over_lines_inside_words_and_when_short(spark):
+    from lodestone.plans.retrieval_queries import holding
+
+    items = [(1, "One two.\nThree four five six seven."), (2, "rt two. three"), (3, ""), (4, None), (5, "ne two.\nThree four five six sev"), (6, "a b  c\nd e f g"), (6, "a b  c\nd e f g"), (7, "six seven")]
+    docs = [(1, "Start\nOne two.\nThree four five six seven. End"), (2, "short two. threesome"), (3, None), (4, "xa b  c\nd e f gh"), (4, "a b c d e f g"), (5, "")]
+    got = holding(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, p in items for d, x in docs if p is not None and x is not None and p in x)
