@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,32 +18,54 @@ OWN_KEYS = ["logical_document_id", "document_id", "segment_document_id", "chunk_
 LIST_KEYS = ["logical_document_ids", "document_ids", "segment_document_ids", "chunk_ids", "evidence_ids", "media_ids", "picture_refs"]
 #: Shorter references are not looked for inside strings; what stands in their place (fixed values).
 LEAST_LENGTH, REMOVED = 6, "[purged-document]"
+#: Strings that a task gives on at once, about.
+ROWS = 20_000
 
 
 def strings(records: DataFrame) -> DataFrame:
     """(scope, record, value, key, owner, above): every non-empty string in the JSON of records (scope, record, text).
 
     key: the one it stands under, through lists; owner: the object whose own value it is, null for one in a list; above:
-    the objects around it. Objects are named by their place. Levels are unfolded one after the other, so nothing but a
-    record's own text has to fit a task. A null text has no strings; text that is no JSON raises, as what can't be read
-    can't be purged.
+    the objects around it. Objects are named by their number in the record. A record is walked where it is, without a
+    shuffle; nothing but its own text has to fit a task. A null text has no strings; text that is no JSON raises, as what
+    can't be read can't be purged.
     """
-    parsed = F.try_parse_json("text")
     bad = F.raise_error(F.concat(F.lit("stored JSON cannot be read, purge aborted: "), F.col("record").cast("string")))
-    value = F.when(F.col("text").isNotNull() & parsed.isNull(), bad.cast("variant")).otherwise(parsed)
-    none = F.lit(None).cast("string")
-    level = records.where("text IS NOT NULL").select("scope", "record", value.alias("value"), none.alias("key"), F.lit("$").alias("at"), none.alias("owner"), F.array().cast("array<string>").alias("above"))
-    spark, found = records.sparkSession, None
-    while True:
-        level = staged(level.withColumn("kind", F.substring(F.schema_of_variant("value"), 1, 6)), "level")
-        leaves = level.where("kind = 'STRING'").select("scope", "record", F.variant_get("value", "$", "string").alias("value"), "key", "owner", "above").where("value <> ''")
-        found = leaves if found is None else found.unionByName(leaves)
-        inner = level.where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'")
-        if inner.isEmpty():
-            return found
-        inner = inner.withColumns({"above": F.when(F.col("kind") == "OBJECT", F.concat("above", F.array("at"))).otherwise(F.col("above")), "_key": F.col("key"), "_value": F.col("value")}).drop("key", "value", "owner", "kind")
-        child = inner.lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()))
-        level = child.select("scope", "record", "value", F.coalesce("key", "_key").alias("key"), F.concat_ws(".", "at", F.col("pos").cast("string")).alias("at"), F.when(F.col("key").isNotNull(), F.col("at")).alias("owner"), "above")
+    text = F.when(F.try_parse_json("text").isNull(), bad.cast("string")).otherwise(F.col("text"))
+    kind = {f.name: f.dataType.simpleString() for f in records.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = [], []
+            for i, t in enumerate(b.column(2)):
+                of = strings_of(json.loads(t.as_py()))
+                rows.extend([i] * len(of))
+                found.extend(of)
+                if len(rows) >= ROWS or i == len(b) - 1:
+                    at, columns = pa.array(rows, pa.int64()), list(zip(*found, strict=True)) or [[]] * 4
+                    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, columns, kinds)], ["scope", "record", "value", "key", "owner", "above"])
+                    rows, found = [], []
+
+    read = records.where("text IS NOT NULL").select("scope", "record", text.alias("text"))
+    return read.mapInArrow(run, f"scope {kind['scope']}, record {kind['record']}, value string, key string, owner string, above array<string>")
+
+
+def strings_of(value) -> list[tuple]:
+    """(value, key, owner, above) of the non-empty strings in a JSON value."""
+    found, waiting, n_objects = [], [(value, None, None, ())], 0
+    plain = lambda x: x.encode("utf-8", "replace").decode()  # noqa: E731  half a surrogate pair is no text
+    while waiting:
+        x, key, owner, above = waiting.pop()
+        if isinstance(x, str):
+            if x:
+                found.append((plain(x), key, owner, above))
+        elif isinstance(x, dict):
+            name, n_objects = str(n_objects), n_objects + 1
+            waiting.extend((y, plain(k), name, (*above, name)) for k, y in x.items())
+        elif isinstance(x, list):
+            waiting.extend((y, key, None, above) for y in x)
+    return found
 
 
 def learned(texts: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -49,26 +73,26 @@ def learned(texts: DataFrame, seeds: DataFrame) -> DataFrame:
 
     An object that has a known reference under one of its own keys is the document's: every reference below it counts
     from then on, so ids of former generations are learnt from records that still tell of them. texts: as `strings`
-    gives them. A round follows only what was learnt in the last one.
+    gives them. What a reference leads to is the same for every target and record, so it is worked out once; a round
+    follows only what was learnt in the last one.
     """
-    own = staged(texts.where(F.col("owner").isNotNull() & F.col("key").isin(OWN_KEYS)).select("scope", "record", F.col("owner").alias("object"), F.col("value").alias("reference")).distinct(), "own")
-    below = texts.where(F.col("key").isin(OWN_KEYS + LIST_KEYS)).select("scope", "record", F.explode("above").alias("object"), F.col("value").alias("below"))
-    below = staged(below.distinct(), "below")
+    own = texts.where(F.col("owner").isNotNull() & F.col("key").isin(OWN_KEYS)).select("scope", "record", F.col("owner").alias("object"), F.col("value").alias("reference")).distinct()
+    below = texts.where(F.col("key").isin(OWN_KEYS + LIST_KEYS)).select("scope", "record", F.explode("above").alias("object"), F.col("value").alias("below")).distinct()
+    # Files of few megabytes hold many rows of alike strings, so these joins are told not to broadcast.
+    leads = own.join(below.hint("merge"), ["scope", "record", "object"]).where("reference <> below").select("scope", "reference", "below").distinct()
+    leads = staged(leads, "leads")
     known = new = staged(seeds.where("reference <> ''").select("scope", "target", "reference").distinct(), "known")
     while not new.isEmpty():
-        tied = new.join(own, ["scope", "reference"]).select("scope", "target", "record", "object").distinct()
-        more = tied.join(below, ["scope", "record", "object"]).select("scope", "target", F.col("below").alias("reference")).distinct()
-        new = staged(more.join(known, ["scope", "target", "reference"], "left_anti"), "new")
+        more = new.join(leads.hint("merge"), ["scope", "reference"]).select("scope", "target", F.col("below").alias("reference")).distinct()
+        new = staged(more.join(known.hint("merge"), ["scope", "target", "reference"], "left_anti"), "new")
         known = staged(known.unionByName(new), "known")
     return known
 
 
-def windows(text):
-    """Distinct runs of LEAST_LENGTH characters."""
-    letters = F.split(text, "")
-    count = F.size(letters) - (LEAST_LENGTH - 1)
-    runs = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(letters, i, LEAST_LENGTH), ""))
-    return F.array_distinct(F.when(count >= 1, runs).otherwise(F.array().cast("array<string>")))
+def windowed(df: DataFrame, column: str) -> DataFrame:
+    """df with `window`: a row for each run of LEAST_LENGTH characters of a column."""
+    at = F.explode(F.sequence(F.lit(1), F.length(column) - (LEAST_LENGTH - 1)))
+    return df.where(F.length(column) >= LEAST_LENGTH).withColumn("_at", at).withColumn("window", F.substring(column, F.col("_at"), LEAST_LENGTH)).drop("_at")
 
 
 def mentions(texts: DataFrame, references: DataFrame) -> DataFrame:
@@ -76,17 +100,18 @@ def mentions(texts: DataFrame, references: DataFrame) -> DataFrame:
     `equal` elsewhere) or have inside (`inside`, from LEAST_LENGTH characters on).
 
     For the last a reference is sought by its rarest window among all references, so ids with one beginning don't meet
-    at that; every meeting is verified.
+    at that; every meeting is verified. Each distinct string is searched once, however many records hold it.
     """
     refs = staged(references.select("scope", "reference").distinct(), "references")
-    owned = F.col("owner").isNotNull() & F.col("key").isin(OWN_KEYS)
-    same = texts.join(refs.withColumnRenamed("reference", "value"), ["scope", "value"]).select("scope", "record", F.col("value").alias("reference"), F.when(owned, "own").otherwise("equal").alias("kind"))
-    each = refs.where(F.length("reference") >= LEAST_LENGTH).select("scope", "reference", F.explode(windows(F.col("reference"))).alias("window"))
+    each = windowed(refs, "reference").distinct()
     often = each.groupBy("scope", "window").agg(F.count(F.lit(1)).alias("n"))
-    anchor = top_by(each.join(often, ["scope", "window"]), ["scope", "reference"], [F.col("n"), F.col("window")], 1).select("scope", "window", "reference")
-    met = texts.select("scope", "record", "value", F.explode(windows(F.col("value"))).alias("window")).join(anchor, ["scope", "window"])
-    inside = met.where(F.contains("value", "reference")).select("scope", "record", "reference", F.lit("inside").alias("kind"))
-    return same.unionByName(inside).distinct()
+    anchor = staged(top_by(each.join(often.hint("merge"), ["scope", "window"]), ["scope", "reference"], [F.col("n"), F.col("window")], 1).select("scope", "window", "reference"), "anchors")
+    met = windowed(texts.select("scope", "value").distinct(), "value").join(anchor.hint("merge"), ["scope", "window"])
+    told = met.where(F.contains("value", "reference")).select("scope", "value", "reference", F.lit(True).alias("inside"))
+    told = staged(told.unionByName(refs.select("scope", F.col("reference").alias("value"), "reference", F.lit(False).alias("inside"))).distinct(), "told")
+    owned = F.col("owner").isNotNull() & F.col("key").isin(OWN_KEYS)
+    kind = F.when(F.col("inside"), "inside").when(owned, "own").otherwise("equal")
+    return texts.select("scope", "record", "value", "key", "owner").join(told.hint("merge"), ["scope", "value"]).select("scope", "record", "reference", kind.alias("kind")).distinct()
 
 
 def blockers(pinned: DataFrame, references: DataFrame) -> DataFrame:
@@ -94,7 +119,7 @@ def blockers(pinned: DataFrame, references: DataFrame) -> DataFrame:
     with one of its references inside. One whose JSON can't be read blocks every target of its scope."""
     readable = F.col("text").isNull() | F.try_parse_json("text").isNotNull()
     hits = mentions(staged(strings(pinned.where(readable)), "strings"), references).where("kind <> 'equal'")
-    told = references.join(hits, ["scope", "reference"]).select("target", "record")
+    told = references.join(hits.hint("merge"), ["scope", "reference"]).select("target", "record")
     dark = pinned.where(~readable).select("scope", "record").join(references.select("scope", "target").distinct(), "scope").select("target", "record")
     return told.unionByName(dark).distinct()
 
@@ -128,16 +153,16 @@ def scrubbed(records: DataFrame, references: DataFrame, texts: DataFrame | None
     documents' siblings in the same record stay.
     """
     texts = staged(strings(records), "strings") if texts is None else texts
-    wanted = mentions(texts, references).groupBy("scope", "record").agg(F.collect_set("reference").alias("references"))
+    wanted = staged(mentions(texts, references).groupBy("scope", "record").agg(F.collect_set("reference").alias("references")), "wanted")
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, refs: pd.Series) -> pd.Series:
         left = [without(json.loads(t), list(r)) for t, r in zip(text, refs, strict=True)]
         return pd.Series([None if x is None or x in ({}, []) else json.dumps(x) for x in left], dtype=object)
 
-    hit = records.join(wanted, ["scope", "record"]).withColumn("new", clean("text", "references"))
+    hit = records.join(wanted.hint("merge"), ["scope", "record"]).withColumn("new", clean("text", "references"))
     done = hit.select("scope", "record", F.col("new").alias("text"), F.when(F.col("new").isNull(), "gone").otherwise("changed").alias("state"))
-    rest = records.join(wanted.select("scope", "record"), ["scope", "record"], "left_anti")
+    rest = records.join(wanted.select("scope", "record").hint("merge"), ["scope", "record"], "left_anti")
     return done.unionByName(rest.select("scope", "record", "text", F.lit("kept").alias("state")))
 
 

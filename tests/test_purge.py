@@ -98,3 +98,27 @@ def test_places_of_jobs_go_from_both_lists(spark):
     assert json.loads(got["w", 1]["result"]) == {"documents": [{"document_id": "d2"}], "n": 3}
     assert [got[k]["touched"] for k in (("w", 1), ("w", 2), ("v", 1))] == [2, 0, 0]
     assert json.loads(got["v", 1]["payload"]) == payload and got["w", 2]["result"] is None
+
+
+def test_what_a_name_leads_to_is_kept_once_for_all_records_and_targets(spark, monkeypatch):
+    sizes, real = [], purge.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes.append(out.count())
+        return out
+
+    records = spark.createDataFrame([("w", i, json.dumps({"document_id": "doc-00001", "source": f"file-{i % 3}"})) for i in range(300)], "scope string, record int, text string")
+    texts = real(purge.strings(records), "strings")
+    seeds = spark.createDataFrame([("w", t, "file-0") for t in range(5)], "scope string, target int, reference string")
+    monkeypatch.setattr(purge, "staged", counted)
+    found = {tuple(x) for x in purge.learned(texts, seeds).select("target", "reference").collect()}
+    assert found == {(t, n) for t in range(5) for n in ("doc-00001", "file-0", "file-1", "file-2")}
+    assert max(sizes) <= 20
+
+
+def test_stored_texts_are_not_broadcast(spark):
+    records = spark.createDataFrame([("w", i, json.dumps({"document_id": "doc-00001"})) for i in range(30)], "scope string, record int, text string")
+    texts = purge.staged(purge.strings(records), "strings")
+    refs = purge.staged(spark.createDataFrame([("w", "t", "doc-00001")], "scope string, target string, reference string"), "refs")
+    assert "BroadcastHashJoin" not in purge.mentions(texts, refs)._jdf.queryExecution().executedPlan().toString()
