@@ -67,8 +67,21 @@ def queues(seeds: DataFrame, targets: DataFrame, chunks: DataFrame, nodes: DataF
     merely occur together. everywhere: parents and children of the queue's own sections. adjacent: one next and one
     previous section a seed, from the first section that has one. Hot nodes meet no list: edges are joined and cut by
     rank, which Spark does before it shuffles.
+
+    A query's seed is one term, and a term's queue is the same for all who ask, so each distinct term is expanded once.
     """
-    seeds = staged(seeds.select("query", "seed", "doc", "term"), "seeds")
+    asked = staged(seeds.select("query", "seed", "doc", "term"), "asked")
+    once = asked.select("doc", "term").distinct().select(F.col("doc").alias("query"), F.col("term").alias("seed"), "doc", "term")
+    found = staged(term_queues(once, targets, chunks, nodes, edges, terms, limit, segments, expand, everywhere, adjacent), "queues")
+    found = found.withColumnsRenamed({"query": "_doc", "seed": "_term"})
+    asked = asked.withColumnsRenamed({"doc": "_in", "term": "_of"})
+    met = asked.join(found.hint("merge"), F.col("_in").eqNullSafe(F.col("_doc")) & F.col("_of").eqNullSafe(F.col("_term")))
+    return met.select("query", "seed", "at", "identity", *ITEM)
+
+
+def term_queues(seeds: DataFrame, targets: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, terms: DataFrame, limit: int, segments: list[str] | None, expand: bool, everywhere: bool, adjacent: bool) -> DataFrame:
+    """What `queues` says, each row of seeds expanded on its own."""
+    seeds = staged(seeds, "seeds")
     edges = edges.select("doc", "edge", "source", "target", "relation", "weight")
     ways = edges.select("doc", F.col("source").alias("here"), F.col("target").alias("there"), F.lit(0).alias("way"), "edge", "relation", "weight").unionByName(
         edges.where("source <> target OR relation = 'next_section'").select("doc", F.col("target").alias("here"), F.col("source").alias("there"), F.lit(1).alias("way"), "edge", "relation", "weight"))

@@ -136,3 +136,21 @@ def test_a_hot_term_keeps_only_what_can_be_used(spark):
     found = routing.queues(*frames(spark, data), 6, None, True).collect()
     # Every target stands for section n alone, as none has a chunk: one identity beside the bare term.
     assert sorted((r["identity"], r["path"]) for r in found) == [("n", "book-graph-see_also"), ("t", "book-term")]
+
+
+def test_a_term_that_many_ask_for_is_expanded_once(spark, monkeypatch):
+    sizes, real = [], routing.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    edges = [("a", f"x{i}", "t", f"u{i}", "see_also", 1.0) for i in range(3)]
+    targets = [("a", f"u{i}", "k", "n", f"e{i}", 1, 1.0, "defined") for i in range(3)]
+    chunks = [("a", f"c{i}", f"e{i}", "n", "s", i) for i in range(3)]
+    data = ([(q, 1, "a", "t") for q in range(40)], targets, chunks, [("a", "n", 1, 1.0)], edges, [("a", "t")] + [("a", f"u{i}") for i in range(3)])
+    monkeypatch.setattr(routing, "staged", counted)
+    found = routing.queues(*frames(spark, data), 6, ["s"], True).collect()
+    assert sorted((r["query"], r["chunk"]) for r in found) == [(q, f"c{i}") for q in range(40) for i in range(3)]
+    assert ("seeds", 1) in sizes and ("queues", 3) in sizes
