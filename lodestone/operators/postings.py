@@ -17,6 +17,8 @@ from .ranking import K1, B, top_by
 
 #: Postings of a block. Terms of a query whose first blocks give the first bound.
 BLOCK, PROBES = 128, 8
+#: Words that are counted at once.
+WORDS = 100_000
 #: Scores are rounded to 9 places, so a bound is kept so far below the score it stands for.
 SLACK = 1e-8
 
@@ -59,23 +61,38 @@ def blocks_of(parts: DataFrame) -> DataFrame:
 
 
 def counts_of(split: DataFrame) -> DataFrame:
-    """(doc, term, tf, length) of each row's words, counted where the row is: no shuffle."""
+    """(doc, term, tf, length) of each row's words, counted where the row is: no shuffle. A batch is counted in slices of
+    WORDS words, or of one row that has more, so memory beyond Spark's batch doesn't grow with the texts."""
     kind = split.schema["doc"].dataType.simpleString()
 
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = b.column(1)
+        flat = words.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy()
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = max(len(flat.dictionary), 1)
+        key, tf = np.unique(np.repeat(np.arange(len(b)), length) * n + codes, return_counts=True)
+        row = pa.array(key // n)
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), flat.dictionary.take(pa.array(key % n)), pa.array(tf), pa.array(length[key // n])], ["doc", "term", "tf", "length"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(1)
-            flat = words.flatten().dictionary_encode()
-            codes = flat.indices.to_numpy()
-            length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = max(len(flat.dictionary), 1)
-            key, tf = np.unique(np.repeat(np.arange(len(b)), length) * n + codes, return_counts=True)
-            row = pa.array(key // n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), flat.dictionary.take(pa.array(key % n)), pa.array(tf), pa.array(length[key // n])], ["doc", "term", "tf", "length"])
+            for at, stop in slices_of(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False), WORDS):
+                yield counted(b.slice(at, stop - at))
 
     return split.mapInArrow(run, f"doc {kind}, term string, tf long, length long")
 
 
+def slices_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes add up to `most` at most; a row of more is alone."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(int(np.searchsorted(ends, before + most, "right")), at + 1)
+        yield at, stop
+        at = stop
+
+
 def indexed(docs: DataFrame, doc: str, words: Column) -> Index:
     """The index of documents by BM25; words: an array of a document's index words, repeats and all.
 

@@ -86,3 +86,13 @@ def test_auc_by_parts_equals_pairs(spark):
     got = ranking.rank_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     assert math.isclose(got["auc"], sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)), abs_tol=1e-8)
+
+
+def test_words_are_counted_in_slices(spark, monkeypatch):
+    """A batch of 10,000 texts was counted at once, which took a Python worker's memory."""
+    assert list(postings.slices_of(np.array([3, 0, 4, 9, 2, 2, 0]), 5)) == [(0, 2), (2, 3), (3, 4), (4, 7)]
+    assert list(postings.slices_of(np.array([], np.int64), 5)) == []
+    monkeypatch.setattr(postings, "WORDS", 4)
+    docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (None, ["c"]), (4, ["d"] * 20000 + ["", "ß"]), (5, ["a"])], "doc long, words array<string>").coalesce(1)
+    counts = list(map(tuple, postings.counts_of(docs).collect()))
+    assert set(counts) == {(1, "a", 1, 3), (1, "b", 2, 3), (None, "c", 1, 1), (4, "d", 20000, 20002), (4, "", 1, 20002), (4, "ß", 1, 20002), (5, "a", 1, 1)} and len(counts) == 7
