@@ -26,6 +26,61 @@ def interval_join(points: DataFrame, point: str, nodes: DataFrame, lo: str, hi:
     return points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, "_cell").where((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("_cell")
 
 
+def deepest_holding(points: DataFrame, point: str, nodes: DataFrame, lo: str, hi: str, order: list[Column], width: int) -> DataFrame:
+    """(point, best): the first interval by `order` that holds each distinct point, as a struct of `order`; points are whole
+    numbers.
+
+    An interval is cut into halved cells of `width` and less, so that each point of a piece is in the interval; of all
+    intervals with one piece only the first stays. A point then asks the few pieces that hold it. So no point meets every
+    interval that holds it.
+    """
+    best = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)])
+    # Intervals alike in their bounds and in all but the last of the order leave first, by a hash aggregate of numbers.
+    alike = nodes.where(F.col(hi) >= F.col(lo)).select(F.col(lo).alias("lo"), F.col(hi).alias("hi"), best.alias("b"))
+    last = f"o{len(order) - 1}"
+    alike = alike.select("lo", "hi", "b.*").groupBy("lo", "hi", *[f"o{i}" for i in range(len(order) - 1)]).agg(F.min(last).alias(last))
+    sizes = [1 << i for i in reversed(range(width.bit_length()))]
+    pieces = alike.select(F.explode(pieces_of(F.col("lo"), F.col("hi"), sizes)).alias("p"), F.struct(*[f"o{i}" for i in range(len(order))]).alias("b"))
+    first = pieces.groupBy("p.size", "p.at").agg(F.min("b").alias("b"))
+    asked = points.where(F.col(point).isNotNull()).select(point).distinct()
+    asked = asked.select(point, F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("size"), F.floor(F.col(point) / n).alias("at")) for n in sizes])).alias("_piece")).select(point, "_piece.*")
+    return asked.join(first, ["size", "at"]).groupBy(point).agg(F.min("b").alias("best"))
+
+
+def pieces_of(lo: Column, hi: Column, sizes: list[int]) -> Column:
+    """Array of (size, at): disjoint cells of falling sizes, each half of the one before, that make up lo to hi. Of a size
+    those inside the interval whose double is not."""
+    def inside(n: int) -> tuple[Column, Column]:
+        return F.ceil(lo / n), F.floor((hi + 1) / n) - 1
+
+    def cells(n: int, a: Column, b: Column) -> Column:
+        of = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+        return F.transform(of, lambda i: F.struct(F.lit(n).cast("long").alias("size"), i.alias("at")))
+
+    parts = [cells(sizes[0], *inside(sizes[0]))]
+    for n in sizes[1:]:
+        (a, b), (up_a, up_b) = inside(n), inside(2 * n)
+        none = up_a > up_b
+        parts.append(cells(n, a, F.when(none, b).otherwise(up_a * 2 - 1)))
+        parts.append(F.when(none, F.array().cast("array<struct<size:bigint,at:bigint>>")).otherwise(cells(n, up_b * 2 + 2, b)))
+    return F.concat(*parts)
+
+
+def first_inside(points: DataFrame, point: str, nodes: DataFrame, node: str, lo: str, hi: str, k: int, width: int) -> DataFrame:
+    """(node, point, place): the k smallest points inside each node's intervals, points that repeat as often as they do.
+
+    The points of a cell of `width` are one array, of each value k at most; an interval meets the arrays of the cells it
+    touches and takes k of each, so no row is made for a point that an interval drops.
+    """
+    values = points.where(F.col(point).isNotNull()).groupBy(point).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    values = values.select(F.floor(F.col(point) / width).alias("_cell"), F.array_repeat(point, F.col("n")).alias("x"))
+    cells = values.groupBy("_cell").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+    touched = nodes.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    some = touched.join(cells, "_cell").select(node, F.slice(F.filter("x", lambda p: p.between(F.col(lo), F.col(hi))), 1, k).alias("x")).where(F.size("x") > 0)
+    first = some.groupBy(node).agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, k).alias("x"))
+    return first.select(node, F.posexplode("x").alias("place", point)).withColumn("place", F.col("place") + 1)
+
+
 def chain(df: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
     place = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("previous", F.lag(item).over(place)).withColumn("next", F.lead(item).over(place))

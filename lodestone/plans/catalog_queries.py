@@ -77,8 +77,8 @@ SELECT c_custkey, node FROM j WHERE r = 1""")
 def section_of_page(spark, sf_dir):
     """The deepest interval that holds a point, ties to the later start."""
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 7 % 5000).alias("lo"), (F.col("p_partkey") * 7 % 5000 + F.col("p_size")).alias("hi"), F.col("p_size").alias("depth"))
-    j = structure.interval_join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", n, "lo", "hi", 64)
-    return top_by(j, ["c_custkey"], [F.col("depth").desc(), F.col("lo").desc(), F.col("node")], 1).select("c_custkey", "node")
+    found = structure.deepest_holding(table(spark, sf_dir, "customer"), "c_custkey", n, "lo", "hi", [-F.col("depth"), -F.col("lo"), F.col("node")], 64)
+    return found.select("c_custkey", F.col("best.o2").alias("node"))
 
 
 @query("""SELECT conv_id, turn, coalesce(lag(turn) OVER w, -1) AS previous, coalesce(lead(turn) OVER w, -1) AS next, (row_number() OVER w - 1 = turn) AS in_order,

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
@@ -62,6 +63,26 @@ def test_interval_join_is_closed(spark):
     assert sorted(r.p for r in structure.interval_join(points, "p", nodes, "lo", "hi", 16).collect()) == [3, 64, 70]
 
 
+@pytest.mark.parametrize("width", [1, 8, 24])
+def test_points_meet_few_rows_of_the_intervals_that_hold_them(spark, width):
+    """Every pair of a point and its interval was made, in the one task of a dense cell, and sorted."""
+    rng = random.Random(width)
+    nodes = [(i % 350, lo, lo + rng.randrange(-2, 60)) for i, lo in enumerate(rng.randrange(-40, 90) for _ in range(400))] + [(900, None, 5), (901, 5, None), (902, -500, 500)]
+    points = [(rng.randrange(-60, 140),) for _ in range(300)] + [(7,)] * 9 + [(None,)]
+    n, p = spark.createDataFrame(nodes, "node int, lo int, hi int"), spark.createDataFrame(points, "p long")
+    met = [(x, node, lo, hi) for (x,) in points if x is not None for node, lo, hi in nodes if lo is not None and hi is not None and lo <= x <= hi]
+    best = {}
+    for x, node, lo, hi in met:
+        best[x] = min(best.get(x, (99999,)), (lo - hi, -lo, node))
+    found = structure.deepest_holding(p, "p", n, "lo", "hi", [F.col("lo") - F.col("hi"), -F.col("lo"), F.col("node")], width)
+    assert {r.p: tuple(r.best) for r in found.collect()} == best and found.count() == len(best)
+    first = {}
+    for x, node, *_ in met:
+        first.setdefault(node, []).append(x)
+    got = sorted(map(tuple, structure.first_inside(p, "p", n, "node", "lo", "hi", 4, width).collect()))
+    assert got == sorted((node, i + 1, x) for node, xs in first.items() for i, x in enumerate(sorted(xs)[:4]))
+
+
 def test_question_frames_and_lines(spark):
     cases = {"Was ist das Ausbreitmaß?": "Ausbreitmaß", "Welche Betonarten gibt es?": "Betonarten", "Was?": "Was?", "What is the slump\nmore": "slump\nmore"}
     for question, want in cases.items():
