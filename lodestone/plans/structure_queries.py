@@ -155,8 +155,7 @@ SELECT node, c_custkey, r::INTEGER AS place FROM (SELECT node, c_custkey, row_nu
 def section_postings(spark, sf_dir):
     """The first four records inside each interval."""
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 7 % 5000).alias("lo"), (F.col("p_partkey") * 7 % 5000 + F.col("p_size")).alias("hi"))
-    j = structure.interval_join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", n, "lo", "hi", 64)
-    return top_by(j, ["node"], [F.col("c_custkey")], 4, "place").select("node", "c_custkey", "place")
+    return structure.first_inside(table(spark, sf_dir, "customer"), "c_custkey", n, "node", "lo", "hi", 4, 64).select("node", "c_custkey", "place")
 
 
 @query("""WITH m AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS strong, count(*) FILTER (event_type = 'view' AND value > 50) AS caption, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view', 'error')) AS paths FROM events GROUP BY 1)
