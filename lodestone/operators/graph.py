@@ -19,31 +19,74 @@ def ngrams(tokens: Column, most: int) -> Column:
     return let(tokens, lambda words: F.concat(*[runs(words, w) for w in range(1, most + 1)]))
 
 
-def gram_numbers(tokens: Column, most: int) -> Column:
-    """Distinct numbers of all runs of 1 to `most` tokens: 61 bits of a hash, and the width in the lowest 3."""
-    def numbered(words: Column, i: Column, width: int) -> Column:
-        return F.shiftleft(F.xxhash64(*[F.get(words, i + j) for j in range(width)]), 3).bitwiseOR(F.lit(width).cast("long"))
+def word_numbers(tokens: Column) -> Column:
+    """The hash of each token, in their order."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def gram_number(parts: list[Column]) -> Column:
+    """The number of a run of tokens by their hashes: 61 bits of a hash, and the width in the lowest 3."""
+    return F.shiftleft(F.xxhash64(*parts), 3).bitwiseOR(F.lit(len(parts)).cast("long"))
+
+
+def grams_of(words: Column, width: int) -> Column:
+    """Distinct (number, head, tail) of all runs of `width` words: their number and those of the runs one shorter that they
+    begin and end with."""
+    def gram(i: Column) -> Column:
+        parts = [F.get(words, i + j) for j in range(width)]
+        shorter = [gram_number(parts[:-1]).alias("head"), gram_number(parts[1:]).alias("tail")] if width > 1 else []
+        return F.struct(gram_number(parts).alias("number"), *shorter)
+
+    kind = "array<struct<number:bigint,head:bigint,tail:bigint>>" if width > 1 else "array<struct<number:bigint>>"
+    runs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - width), gram))
+    # Equal ones are neighbours once sorted; array_distinct would compare all with all.
+    new = let(runs, lambda r: F.filter(r, lambda x, i: (i == 0) | (x["number"] != F.get(r, i - 1)["number"])))
+    return F.when(F.size(words) >= width, new).otherwise(F.array().cast(kind))
+
+
+def counted_grams(hashed: DataFrame, doc: str, width: int, frequent: DataFrame | None) -> DataFrame:
+    """(number, df, in): documents of each run of `width` words, and one of them; with `frequent` (number), a bounded table,
+    only of runs that begin and end with one of it. What is left is summed up before the shuffle."""
+    grams = hashed.select(doc, F.explode(grams_of(F.col("words"), width)).alias("g")).select(doc, "g.*")
+    if frequent is not None:
+        for side in ("head", "tail"):
+            grams = grams.join(F.broadcast(frequent.select(F.col("number").alias(side))), side, "left_semi")
+    return grams.groupBy("number").agg(F.count(F.lit(1)).alias("df"), F.min(doc).alias("in"))
+
+
+def weight(number: Column) -> Column:
+    return 1.0 + 0.25 * (number.bitwiseAND(7) - 1)
 
-    def runs(words: Column, width: int) -> Column:
-        return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: numbered(words, i, width))).otherwise(F.array().cast("array<long>"))
 
-    return let(tokens, lambda words: F.array_distinct(F.concat(*[runs(words, w) for w in range(1, most + 1)])))
+#: Numbers of phrases that a task holds, to look up whether a longer one can matter.
+MOST_FREQUENT = 500_000
 
 
 def keyphrases(docs: DataFrame, doc: str, tokens: Column, most: int, k: int) -> DataFrame:
     """(phrase, df, score): the k phrases of 1 to `most` words in two documents or more of highest
     (1 + (words - 1) / 4) * df, ties to the longer, then the smaller phrase.
 
-    Phrases are counted by number. Only of those that reach the k-th score the words are looked up, in one document of each.
+    Phrases are counted by number, the shorter first. A phrase is in no more documents than the runs it begins and ends
+    with; so, once k phrases reach a score, of a longer one only those are counted whose shorter runs are in as many
+    documents as the longest phrase would need for it: none that could be among the k is left out. Where over
+    MOST_FREQUENT are, all are counted. Only of phrases that reach the k-th score the words are looked up, in one document
+    of each.
     """
-    numbers = docs.select(doc, F.explode(gram_numbers(tokens, most)).alias("number"))
-    df = numbers.groupBy("number").agg(F.count(F.lit(1)).alias("df"), F.min(doc).alias("in")).where("df >= 2")
-    scored = staged(df.withColumn("score", (1.0 + 0.25 * (F.col("number").bitwiseAND(7) - 1)) * F.col("df")), "phrases")
-    least = scored.orderBy(F.col("score").desc()).limit(k).agg(F.min("score").alias("least"))
-    scored = scored.join(F.broadcast(least)).where("score >= least").drop("least")
+    hashed = staged(docs.select(doc, word_numbers(tokens).alias("words")), "words")
+    scored, least, frequent = None, 0.0, None
+    for width in range(1, most + 1):
+        counts = counted_grams(hashed, doc, width, frequent).where("df >= 2")
+        # Of this width what counts for the best, or for longer phrases.
+        counts = staged(counts.withColumn("score", weight(F.col("number")) * F.col("df")).where(F.col("df") * (1.0 + 0.25 * (most - 1)) >= least), "phrases")
+        scored = counts if scored is None else scored.unionByName(counts)
+        best = scored.select("score").orderBy(F.col("score").desc()).limit(k).agg(F.count(F.lit(1)), F.min("score")).first()
+        least = best[1] if best[0] == k else 0.0
+        longer = counts.where(F.col("df") * (1.0 + 0.25 * (most - 1)) >= least).select("number")
+        frequent = longer if width < most and longer.limit(MOST_FREQUENT + 1).count() <= MOST_FREQUENT else None
+    scored = scored.where(F.col("score") >= least)
     words = docs.join(scored.select(F.col("in").alias(doc)).distinct(), doc, "left_semi").select(F.col(doc).alias("in"), F.explode(ngrams(tokens, most)).alias("phrase"))
     split = F.split("phrase", " ")
-    number = F.coalesce(*[F.when(F.size(split) == w, F.shiftleft(F.xxhash64(*[F.get(split, j) for j in range(w)]), 3).bitwiseOR(F.lit(w).cast("long"))) for w in range(1, most + 1)])
+    number = F.coalesce(*[F.when(F.size(split) == w, gram_number([F.xxhash64(F.get(split, j)) for j in range(w)])) for w in range(1, most + 1)])
     spelled = words.where("phrase <> ''").withColumn("number", number).distinct()
     found = spelled.join(scored, ["in", "number"])
     return found.orderBy(F.col("score").desc(), F.length("phrase").desc(), "phrase").limit(k).select("phrase", "df", "score")
