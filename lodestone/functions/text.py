@@ -97,11 +97,17 @@ def page_locator(s: Column) -> Column:
 
     f reaches the next page, ff two pages; a range of more than 500 pages, or one that falls, is none.
     """
-    pattern = r"^\s*(\d+)(?:\s*[-–—]\s*(\d+))?(?:\s*(ff?)\.?)?\s*$"
-    lo, hi, suffix = (F.regexp_extract(s, pattern, i) for i in (1, 2, 3))
-    first = lo.try_cast("int")
-    last = F.when(hi != "", hi.try_cast("int")).otherwise(first + F.length(suffix))
-    return F.when((first >= 1) & (last >= first) & (last - first <= 500), F.struct(first.alias("first"), last.alias("last"), suffix.alias("suffix")))
+    # One match a locator: its groups are written between marks, and a text with a mark is no locator.
+    mark, pattern = "\u0001", r"^\s*(\d+)(?:\s*[-–—]\s*(\d+))?(?:\s*(ff?)\.?)?\s*$"
+    groups = F.split(F.when(~F.contains(s, F.lit(mark)), F.regexp_replace(s, pattern + r"[\s\S]*", f"$1{mark}$2{mark}$3")), mark)
+
+    def pages(g: Column) -> Column:
+        first, last, suffix = F.get(g, F.lit(0)).try_cast("int"), F.get(g, F.lit(1)), F.get(g, F.lit(2))
+        last = F.when(last != "", last.try_cast("int")).otherwise(first + F.length(suffix))
+        return F.struct(first.alias("first"), last.alias("last"), suffix.alias("suffix"))
+
+    right = lambda x: (x["first"] >= 1) & (x["last"] >= x["first"]) & (x["last"] - x["first"] <= 500)
+    return let(let(groups, lambda g: F.when(F.size(g) == 3, pages(g))), lambda x: F.when(right(x), x))
 
 
 def index_entry(s: Column) -> Column:
