@@ -44,10 +44,8 @@ def bm25_of_benchmark(spark, sf_dir, k, only=None):
 
 def overlap_of_benchmark(spark, sf_dir, k):
     """A second channel: shared distinct terms over the root of a document's."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(t.search_terms(F.col("text"))).alias("term"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", t.search_terms(F.col("text")).alias("x")).select("doc_id", F.size("x").alias("n"), F.explode("x").alias("term"))
-    scores = asked.join(docs, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.sqrt(F.first("n")), 9).alias("score"))
-    return ranking.top_by(scores, ["item_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    terms = t.search_terms(F.col("text"))
+    return ranking.overlap_top_k(table(spark, sf_dir, "documents"), "doc_id", terms, table(spark, sf_dir, "benchmark"), "item_id", terms, k)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
@@ -149,17 +147,20 @@ def score_gap_cut(spark, sf_dir):
 @query()
 def diversified_selection(spark, sf_dir):
     """Greedy choice of 5 diverse candidates of each query; sequential, so held against brute force in the tests."""
-    words = table(spark, sf_dir, "documents").select("doc_id", t.search_terms(F.col("text")).alias("terms"))
-    return ranking.diversified(eligible(spark, sf_dir).join(words, "doc_id").select("item_id", "doc_id", "p", "terms"), "item_id", "doc_id", "p", "terms", 5)
+    # Terms only of the few that are candidates.
+    rows = eligible(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return ranking.diversified(rows.select("item_id", "doc_id", "p", t.search_terms(F.col("text")).alias("terms")), "item_id", "doc_id", "p", "terms", 5)
 
 
 @query()
 def adaptive_selection(spark, sf_dir):
     """Evidence of each passage: candidates of two channels, scored anew by shared words, with one language and one source
     as required facets; a greedy choice, so held against plain loops in the tests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("content"), t.search_terms(F.col("text")).alias("terms"), F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")).alias("facets"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")).alias("facets"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", t.search_terms(F.col("text")).alias("wanted"))
+    # Terms only of the few that are candidates.
     found = fused_ranking(spark, sf_dir, 20).select("item_id", "doc_id").join(docs, "doc_id").join(asked, "item_id")
+    found = found.withColumn("content", F.md5("text")).withColumn("terms", t.search_terms(F.col("text")))
     rows = found.select("item_id", F.format_string("%012d", "doc_id").alias("item"), (5 * d.overlap(F.col("terms"), F.col("wanted")) - 1).alias("score"), F.col("doc_id").cast("string").alias("document"), "content", F.col("source").alias("section"), "terms", "facets", F.array(F.lit("lang:en"), F.lit("source:src1")).alias("required"))
     chosen = selection.selected(rows, "item_id", "normal", selection.Budget(2, 8))
     return chosen.select("item_id", F.col("item").cast("long").alias("doc_id"), F.round("relevance", 6).alias("relevance"), "place", "reason", F.array_join("missing", ",").alias("missing"))

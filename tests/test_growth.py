@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
+from lodestone.operators import ranking
 from lodestone.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -25,3 +26,25 @@ def test_locators_with_marks_and_line_ends(spark):
     rows = [("12 ff.\n", (12, 14, "ff")), ("12ff\x85", (12, 14, "ff")), ("3\x014\x01", None), ("\x015\x01", None), ("99999999999", None), ("5-99999999999", None), (None, None)]
     got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, s string").select("i", t.page_locator(F.col("s")).alias("x")).orderBy("i").collect()
     assert [None if r.x is None else tuple(r.x) for r in got] == [w for _, w in rows]
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_shared_terms_are_counted_where_documents_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in range(30) if (i * 7 + j * j) % (3 + j % 5) == 0] or None) for i in range(900)], "doc long, terms array<string>")
+    asked = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 9)]) for i in range(25)] + [(None, ["w1", "w2"]), (26, []), (27, ["none"])], "item long, terms array<string>")
+    top = lambda: ranking.overlap_top_k(docs, "doc", F.col("terms"), asked, "item", F.col("terms"), 7)
+    monkeypatch.setattr(ranking, "CELLS", 2_000)
+    got = top()
+    assert shuffles(got) == 1  # of the best, not of all pairs
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 1)
+    assert rows == sorted(map(tuple, top().collect()), key=repr)
+    assert len(rows) == 26 * 7
+    kinds = {r.doc: set(r.terms or []) for r in docs.collect()}
+    for item in (0, 20, None):
+        words = set(next(r.terms for r in asked.collect() if r.item == item))
+        want = sorted(((-round(len(words & w) / len(w) ** 0.5, 9), d) for d, w in kinds.items() if words & w))[:7]
+        assert [(-s, d) for s, d in want] == [(r[2], r[1]) for r in sorted((r for r in rows if r[0] == item), key=lambda r: r[3])]
