@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import catalog, validation
 from ..operators.ranking import top_by
-from ..sources.tables import table
+from ..sources.tables import staged, table
 from .registry import query
 
 LIBRARY = """lib AS (SELECT doc_id, lang, source || '/' || lang AS work_id, substr(text, 1, 30) AS title, (doc_id % 4)::INTEGER AS edition_number, (doc_id % 4)::VARCHAR || 'e' AS edition_label,
@@ -221,13 +221,15 @@ def generation_faults(spark, sf_dir):
     l = l.withColumn("previous", F.lag("evidence").over(line)).withColumn("next", F.lead("evidence").over(line))
     g, none = F.lit("g"), F.array().cast("array<string>")
     sizes = l.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(F.struct(F.col("evidence").alias("evidence_id"))).alias("evidence"))
-    books = o.join(sizes, "l_orderkey", "left")
     payload = F.to_json(F.struct(F.lit("3").alias("schema_version"), F.lit("h").alias("content_hash"), F.coalesce("evidence", F.array().cast("array<struct<evidence_id:string>>")).alias("evidence"), F.struct(F.array().cast("array<struct<media_id:string>>").alias("assets")).alias("media")))
+    # Every rule reads its few columns of these; unstaged, each would sort all lines and gather them by order again.
+    l = staged(l.select("l_orderkey", "place", "evidence", "previous", "next", "l_partkey"), "lines")
+    books = staged(o.join(sizes, "l_orderkey", "left").select("book", "l_orderkey", "generation", "n", payload.alias("payload")), "books")
     one = F.lit(1)
     tables = {name: spark.createDataFrame([], kind) for name, kind in validation.TABLES.items()} | {
         "books": books.select("book", "generation", F.lit("p").alias("pipeline")),
         "structures": books.where("l_orderkey % 11 <> 0").select("book", g.alias("generation"), F.coalesce("n", F.lit(0)).alias("total_pages")),
-        "snapshots": books.select("book", g.alias("generation"), F.lit("h").alias("content_hash"), payload.alias("payload")),
+        "snapshots": books.select("book", g.alias("generation"), F.lit("h").alias("content_hash"), "payload"),
         "nodes": books.select("book", F.lit("n").alias("node"), F.lit(None).cast("string").alias("parent")),
         "segments": books.where("n IS NOT NULL").select("book", F.lit("s").alias("segment"), g.alias("generation"), F.lit("absolute").alias("page_mode"), one.alias("conversion_start"), one.alias("core_start"), F.col("n").alias("core_end"), F.col("n").alias("conversion_end")),
         "chunks": l.select(F.col("l_orderkey").cast("string").alias("book"), F.col("evidence").alias("chunk"), g.alias("generation"), F.when(F.col("l_partkey") % 97 == 0, none).otherwise(F.array(F.col("l_partkey").cast("string"))).alias("refs"), F.array(F.col("place") + 1).alias("pages"), F.lit("n").alias("section"), F.lit("s").alias("segment"), "place", F.col("l_partkey").cast("string").alias("content_hash"), "evidence", "previous", "next"),
