@@ -56,8 +56,21 @@ class SharedWords:
         pass
 
     def score(self, questions: list[str], passages: list[str]) -> np.ndarray:
-        sets = [(set(q.lower().split()), set(p.lower().split())) for q, p in zip(questions, passages, strict=True)]
-        return np.array([len(a & b) / len(a) if a else 0.0 for a, b in sets])
+        def share(a: set[str], b: set[str]) -> float:
+            return len(a & b) / len(a) if a else 0.0
+
+        return np.array([share(set(q.lower().split()), set(p.lower().split())) for q, p in zip(questions, passages, strict=True)], dtype=float)
+
+
+#: Pairs that a scorer gets at once.
+PAIRS = 512
+
+
+def scored_in_slices(scorer: Scorer, questions: pd.Series, passages: pd.Series) -> pd.Series:
+    """Scores of a batch, PAIRS at a time: what a scorer makes of its texts doesn't grow with Spark's batches."""
+    cuts = range(0, len(questions), PAIRS)
+    scores = [scorer.score(questions[i : i + PAIRS].fillna("").tolist(), passages[i : i + PAIRS].fillna("").tolist()) for i in cuts]
+    return pd.Series(np.concatenate(scores) if scores else [], dtype="float64")
 
 
 def reranked(candidates: DataFrame, query: str, item: str, question: str, passage: str, scorer: Scorer, k: int, heading: str | None = None) -> DataFrame:
@@ -68,7 +81,7 @@ def reranked(candidates: DataFrame, query: str, item: str, question: str, passag
     def scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         scorer.load()
         for q, p in parts:
-            yield pd.Series(scorer.score(q.fillna("").tolist(), p.fillna("").tolist()), dtype="float64")
+            yield scored_in_slices(scorer, q, p)
 
     text = F.col(passage) if heading is None else F.concat_ws("\n", heading, passage)
     scored = candidates.select(query, item, scores(F.col(question), text).alias("score"))
@@ -84,7 +97,7 @@ def verified(claims: DataFrame, claim: str, evidence: str, verifier: Scorer | No
     def support(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         verifier.load()
         for c, e in parts:
-            yield pd.Series(verifier.score(c.fillna("").tolist(), e.fillna("").tolist()), dtype="float64")
+            yield scored_in_slices(verifier, c, e)
 
     value = support(F.col(claim), F.col(evidence))
     return claims.withColumn("verdict", F.when(value >= threshold, "supported").otherwise("refuted"))
