@@ -290,7 +290,8 @@ EVIDENCE_MARK = r"(?i)\[(?:E|C)\d+\]"
 
 def technical_literals(s: Column) -> Column:
     """Distinct literals of a text in its compatible form, in lower case without white space."""
-    plain = F.when(s.rlike(r"[^\x00-\x7f]"), nfkc(s)).otherwise(s)
+    # Python gets nulls for plain texts: what goes there is worked out for all rows.
+    plain = F.coalesce(nfkc(F.when(s.rlike(r"[^\x00-\x7f]"), s)), s)
     found = F.regexp_extract_all(F.regexp_replace(plain, EVIDENCE_MARK, ""), F.lit(LITERAL), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))))
 
@@ -333,5 +334,5 @@ def without_marks(s):
 def any_book_text(s: Column) -> Column:
     """book_text for any script: only texts beyond Latin letters go through Python."""
     plain = F.replace(s, F.lit("ß"), F.lit("ss"))
-    decomposed = F.when(plain.rlike(r"[^\x00-\x7f]"), without_marks(plain)).otherwise(plain)
+    decomposed = F.coalesce(without_marks(F.when(plain.rlike(r"[^\x00-\x7f]"), plain)), plain)
     return F.trim(F.regexp_replace(F.replace(F.lower(decomposed), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))

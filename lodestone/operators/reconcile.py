@@ -28,7 +28,7 @@ NODE = ["book", "node_id", "parent_id", "depth", "ordinal", "title", "page_start
 
 def title_text(s: Column) -> Column:
     """Letters a-z and digits of the folded title without marks; only other than plain letters go through Python."""
-    bare = F.when(s.rlike(r"[^\x00-\x7f]"), t.without_marks(s)).otherwise(s)
+    bare = F.coalesce(t.without_marks(F.when(s.rlike(r"[^\x00-\x7f]"), s)), s)
     return F.trim(F.regexp_replace(t.folded(bare), "[^a-z0-9]+", " "))
 
 

@@ -2,12 +2,15 @@
 
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import ranking
+from lodestone.operators import extensions, ranking, validation
 from lodestone.plans import catalogue
+from lodestone.sources import tables
 
 DATA = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -48,3 +51,53 @@ def test_shared_terms_are_counted_where_documents_are(spark, monkeypatch):
         words = set(next(r.terms for r in asked.collect() if r.item == item))
         want = sorted(((-round(len(words & w) / len(w) ** 0.5, 9), d) for d, w in kinds.items() if words & w))[:7]
         assert [(-s, d) for s, d in want] == [(r[2], r[1]) for r in sorted((r for r in rows if r[0] == item), key=lambda r: r[3])]
+
+
+@needs_tables
+def test_rules_of_an_index_read_staged_lines(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(validation, "index_faults", lambda tables, *_: seen.update(tables) or tables["books"])
+    catalogue.QUERIES["generation_faults"](spark, str(DATA))
+    assert {name: shuffles(seen[name]) for name in ("books", "structures", "snapshots", "segments", "chunks")} == dict.fromkeys(("books", "structures", "snapshots", "segments", "chunks"), 0)
+    assert not any("Window" in plan_of(seen[name]) for name in ("books", "snapshots", "chunks"))
+
+
+def test_scorers_get_few_pairs_at_once():
+    class Longest:
+        most = 0
+
+        def load(self):
+            pass
+
+        def score(self, questions, passages):
+            self.most = max(self.most, len(questions))
+            return np.array([len(q) - len(p) for q, p in zip(questions, passages, strict=True)], float)
+
+    scorer, n = Longest(), 3 * extensions.PAIRS + 5
+    q, p = pd.Series(["x" * (i % 7) for i in range(n)]), pd.Series([None if i % 3 == 0 else "y" for i in range(n)])
+    got = extensions.scored_in_slices(scorer, q, p)
+    assert scorer.most <= extensions.PAIRS
+    assert got.tolist() == [i % 7 - (i % 3 > 0) for i in range(n)]
+    assert extensions.scored_in_slices(scorer, q[:0], p[:0]).tolist() == []
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["graph_neighbours", "capped_neighbours", "recall_of_stages"])
+def test_parts_follow_the_lines(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "PART_ROWS", 300)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    asked = []
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *by, _real=type(spark.range(1)).repartition: asked.append(n) or _real(self, n, *by))
+    rows = catalogue.QUERIES[name](spark, str(DATA)).count()
+    assert rows > 0
+    assert max(asked) >= lines / 300
+
+
+def test_python_gets_no_plain_texts(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(t, "nfkc", lambda c: given.append(c) or c)
+    texts = spark.createDataFrame([(1, "DIN 4108"), (2, "5 µm"), (3, None)], "i int, s string")
+    literals = t.technical_literals(F.col("s"))
+    rows = texts.select("i", given[0].alias("sent"), literals.alias("found")).orderBy("i").collect()
+    assert [r.sent for r in rows] == [None, "5 µm", None]
+    assert [r.found for r in rows] == [["din4108"], ["5µm"], None]
