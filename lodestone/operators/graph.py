@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.tables import staged
+from ..sources.tables import spread, staged
 from .ranking import top_by
 
 
@@ -100,9 +100,11 @@ def cooccurrence(terms: DataFrame, unit: str, term: str, least: int = 2) -> Data
     return each.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def neighbours(edges: DataFrame, src: str, dst: str, weight: str, k: int) -> DataFrame:
-    """(node, neighbour, weight, rank): the k heaviest one-hop neighbours of each node over undirected edges."""
+def neighbours(edges: DataFrame, src: str, dst: str, weight: str, k: int, rows: int | None = None) -> DataFrame:
+    """(node, neighbour, weight, rank): the k heaviest one-hop neighbours of each node over undirected edges; rows: how
+    many edges there are at most, where that is known, so that parts follow it."""
     both = edges.select(F.col(src).alias("node"), F.col(dst).alias("neighbour"), weight).union(edges.select(F.col(dst), F.col(src), weight))
+    both = both if rows is None else spread(both, 2 * rows, "node", "neighbour")
     best = both.groupBy("node", "neighbour").agg(F.max(weight).alias(weight))
     return top_by(best, ["node"], [F.col(weight).desc(), F.col("neighbour")], k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import catalog, graph, postings, ranking, selection
 from ..operators import documents as d
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 from .text_queries import BOOK, STOP, terms_sql
 
@@ -237,20 +237,27 @@ def cooccurring_terms(spark, sf_dir):
     return graph.cooccurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey").select("a", "b", "n")
 
 
+def sold(spark, sf_dir):
+    """Quantity w by (l_partkey, l_suppkey), and the lines it is summed from."""
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    rows = l.count()
+    return spread(l, rows, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w")), rows
+
+
 @query("""WITH e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
 u AS (SELECT 'p' || l_partkey AS node, 's' || l_suppkey AS neighbour, w FROM e UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, w FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, neighbour)::INTEGER AS rank FROM u)
 SELECT node, neighbour, round(w, 6) AS weight, rank FROM r WHERE rank <= 4""")
 def graph_neighbours(spark, sf_dir):
     """The four heaviest neighbours of parts and suppliers over the edges between them."""
-    e = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    e, rows = sold(spark, sf_dir)
     e = e.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "w")
-    return graph.neighbours(e, "src", "dst", "w", 4).select("node", "neighbour", F.round("w", 6).alias("weight"), "rank")
+    return graph.neighbours(e, "src", "dst", "w", 4, rows).select("node", "neighbour", F.round("w", 6).alias("weight"), "rank")
 
 
 @query()
 def capped_neighbours(spark, sf_dir):
     """Edges between parts and suppliers by quantity, the heaviest first, five at most at each node; a walk, so held
     against one in the tests."""
-    e = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    e, _ = sold(spark, sf_dir)
     return graph.capped(e, "l_partkey", "l_suppkey", "w")

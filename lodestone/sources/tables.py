@@ -36,6 +36,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part that a task sorts or groups, about.
+PART_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df, of about so many rows, dealt by `by` into parts of PART_ROWS: groups and windows of these keys need no other
+    shuffle, and what a task holds stays as it is while the table grows. Spark does not merge parts of a number asked for."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-rows // PART_ROWS)), *by)
+
+
 def fingerprint(df: DataFrame) -> str:
     """Of the files that df reads: their paths, sizes and times, by file metadata alone."""
     of = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
