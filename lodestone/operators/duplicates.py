@@ -42,17 +42,18 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The ids that a walk in their order chooses, when it skips what has an edge to one chosen before.
 
     By rounds: an id without a smaller undecided neighbour is chosen, its neighbours are out, and both leave the graph.
-    Only edges between undecided ids stay, so rounds shrink; without edges all that is left is chosen.
+    Only edges between undecided ids stay, so rounds shrink; without edges all that is left is chosen. Files of few megabytes
+    hold many ids, so these joins are told not to broadcast.
     """
     left, open_edges, chosen = nodes.select("id"), edges, []
     while not open_edges.isEmpty():
-        first = left.join(open_edges.select(F.col("b").alias("id")), "id", "left_anti")
+        first = left.join(open_edges.select(F.col("b").alias("id")).hint("merge"), "id", "left_anti")
         first = staged(first, "chosen")
-        out = open_edges.join(first.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        out = open_edges.join(first.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         gone = staged(first.unionByName(out), "decided")
         chosen.append(first)
-        left = staged(left.join(gone, "id", "left_anti"), "undecided")
-        keep = open_edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
+        left = staged(left.join(gone.hint("merge"), "id", "left_anti"), "undecided")
+        keep = open_edges.join(gone.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti").join(gone.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti")
         open_edges = staged(keep.select("a", "b"), "edges")
     for c in chosen:
         left = left.unionByName(c)

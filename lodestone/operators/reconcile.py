@@ -2,6 +2,7 @@
 
 Titles meet by joins on some of their words and on nearby pages, never all with all; what hangs on an order (which title
 goes with which, who repeats whom) is a fold or a graph of those pairs alone; depths and ends are running windows.
+Staged files of few megabytes hold many rows, so all joins are told to merge: a broadcast would pass them through the driver.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def of_equal_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame
         first = n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1
         return df.where(n > 0).select("book", id_col, F.col("words").alias(f"{id_col}_words"), F.explode(F.slice("words", F.lit(1), first)).alias("word"))
 
-    pairs = keyed(left, "l").join(keyed(right, "r"), ["book", "word"]).withColumn("similarity", t.dice(F.col("l_words"), F.col("r_words")))
+    pairs = keyed(left, "l").join(keyed(right, "r").hint("merge"), ["book", "word"]).withColumn("similarity", t.dice(F.col("l_words"), F.col("r_words")))
     return pairs.where(F.col("similarity") >= least).select("book", "l", "r", "similarity").distinct()
 
 
@@ -87,7 +88,7 @@ def first_titles(nodes: DataFrame, pages: int) -> DataFrame:
     key = lambda n: F.struct("book", F.col(n).alias("n"))
     edges = staged(near.select(key("l.n").alias("a"), key("r.n").alias("b")), "repeats")
     kept = first_independent(nodes.select(key("n").alias("id")), edges)
-    return nodes.join(kept.select("id.book", "id.n"), ["book", "n"])
+    return nodes.join(kept.select("id.book", "id.n").hint("merge"), ["book", "n"])
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -100,9 +101,9 @@ def pairs_of(anchors: DataFrame, headings: DataFrame) -> DataFrame:
     wide = PAIR_PAGES + 1
     a = anchors.select("book", "a", F.col("page").alias("a_page"), F.col("depth").alias("a_depth"), F.col("words").alias("a_words"))
     h = headings.select("book", "h", F.col("page").alias("h_page"), "level", number_depth(F.col("title")).alias("number"), F.col("words").alias("h_words"))
-    close = a.withColumn("cell", F.floor(F.col("a_page") / wide)).join(h.withColumn("cell", F.explode(F.array(*[F.floor(F.col("h_page") / wide) + i for i in (-1, 0, 1)]))), ["book", "cell"]).drop("cell")
+    close = a.withColumn("cell", F.floor(F.col("a_page") / wide)).join(h.withColumn("cell", F.explode(F.array(*[F.floor(F.col("h_page") / wide) + i for i in (-1, 0, 1)]))).hint("merge"), ["book", "cell"]).drop("cell")
     far = of_equal_words(anchors.select("book", F.col("a").alias("l"), "words"), headings.select("book", F.col("h").alias("r"), "words"), (PAIR - 0.20) / 0.55 - 1e-9)
-    far = far.select("book", F.col("l").alias("a"), F.col("r").alias("h")).join(a, ["book", "a"]).join(h, ["book", "h"])
+    far = far.select("book", F.col("l").alias("a"), F.col("r").alias("h")).join(a.hint("merge"), ["book", "a"]).join(h.hint("merge"), ["book", "h"])
     apart = F.abs(F.col("a_page") - F.col("h_page"))
     both = close.where(apart <= PAIR_PAGES).unionByName(far.where(apart > PAIR_PAGES))
     page = F.when(apart == 0, 1.0).when(apart <= 2, 0.8).when(apart <= PAIR_PAGES, 0.4).otherwise(0.0)
@@ -138,7 +139,7 @@ def windows_of(books: DataFrame, scanned: DataFrame | None) -> DataFrame:
     if scanned is None:
         pages = pages.withColumn("scanned", F.lit(False))
     else:
-        pages = pages.join(scanned.select("book", "page", F.lit(True).alias("scanned")).distinct(), ["book", "page"], "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
+        pages = pages.join(scanned.select("book", "page", F.lit(True).alias("scanned")).distinct().hint("merge"), ["book", "page"], "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
     r = numbered(page_ranges(pages, "book", "page", "scanned", NATIVE_PAGES, SCANNED_PAGES), "ordinal", "core_start")
     title = F.concat(F.lit("Seiten "), F.col("core_start").cast("string"), F.lit("–"), F.col("core_end").cast("string"))
     r = r.select("book", (F.col("ordinal") - 1).alias("ordinal"), title.alias("title"), F.lit(0).alias("depth"), F.col("core_start").alias("page_start"), F.col("core_end").alias("page_end"))
@@ -156,13 +157,13 @@ def contents_anchors(contents: DataFrame, headings: DataFrame, books: DataFrame)
     deviation is 1 at most), all labels of the book are moved by it; a line of a heading's own title takes its page.
     """
     similar = of_equal_words(contents.select("book", F.col("c").alias("l"), "words"), headings.select("book", F.col("h").alias("r"), "words"), IS_HEADING)
-    found = in_turn(similar).join(headings.select("book", F.col("h").alias("r"), F.col("page").alias("h_page")), ["book", "r"]).select("book", F.col("l").alias("c"), "similarity", "h_page")
-    lines = staged(contents.join(found, ["book", "c"], "left"), "contents")
+    found = in_turn(similar).join(headings.select("book", F.col("h").alias("r"), F.col("page").alias("h_page")).hint("merge"), ["book", "r"]).select("book", F.col("l").alias("c"), "similarity", "h_page")
+    lines = staged(contents.join(found.hint("merge"), ["book", "c"], "left"), "contents")
     moved = lines.where("page IS NOT NULL AND h_page IS NOT NULL").select("book", (F.col("h_page") - F.col("page")).alias("by"))
     middle = moved.groupBy("book").agg(F.bround(F.median("by")).cast("int").alias("middle"))
-    offsets = moved.join(middle, "book").groupBy("book", "middle").agg(F.count(F.lit(1)).alias("n"), F.median(F.abs(F.col("by") - F.col("middle"))).alias("off")).where("n >= 3 AND off <= 1").select("book", "middle")
+    offsets = moved.join(middle.hint("merge"), "book").groupBy("book", "middle").agg(F.count(F.lit(1)).alias("n"), F.median(F.abs(F.col("by") - F.col("middle"))).alias("off")).where("n >= 3 AND off <= 1").select("book", "middle")
     page = F.when(F.col("similarity") >= SAME, F.col("h_page")).otherwise(F.coalesce(F.col("page") + F.coalesce("middle", F.lit(0)), "h_page"))
-    target = lines.join(offsets, "book", "left").join(books, "book").withColumn("page", F.least("total_pages", F.greatest(F.lit(1), page)))
+    target = lines.join(offsets.hint("merge"), "book", "left").join(books.hint("merge"), "book").withColumn("page", F.least("total_pages", F.greatest(F.lit(1), page)))
     return target.where("old IS NOT NULL OR h_page IS NOT NULL")
 
 
@@ -180,13 +181,13 @@ def reconciled(books: DataFrame, bookmarks: DataFrame, contents: DataFrame, head
     """
     books = books.where("total_pages >= 1").select("book", F.col("total_pages").cast("int").alias("total_pages")).dropDuplicates(["book"])
     has = F.trim("title") != ""
-    h = headings.join(books, "book", "left_semi").where(has & F.col("page").isNotNull())
+    h = headings.join(books.hint("merge"), "book", "left_semi").where(has & F.col("page").isNotNull())
     h = h.select("book", "at", F.trim("title").alias("title"), F.col("page").cast("int").alias("page"), F.col("level").cast("int").alias("level"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.65)).alias("confidence"), "ref", words(F.col("title")).alias("words"))
     h = staged(numbered(h, "h", "page", "at", "title"), "headings")
-    c = contents.join(books, "book", "left_semi").where(has)
+    c = contents.join(books.hint("merge"), "book", "left_semi").where(has)
     c = c.select("book", F.trim("title").alias("title"), F.coalesce(F.col("depth").cast("int"), F.lit(0)).alias("depth"), F.col("page").cast("int").alias("page"), F.col("page").cast("int").alias("old"), "ref", "at", words(F.col("title")).alias("words"))
     c = staged(numbered(c, "c", "at", "title"), "lines")
-    b = bookmarks.join(books, "book", "left_semi").where(has & F.col("page").isNotNull() & F.col("depth").isNotNull())
+    b = bookmarks.join(books.hint("merge"), "book", "left_semi").where(has & F.col("page").isNotNull() & F.col("depth").isNotNull())
     b = b.select("book", F.trim("title").alias("title"), F.col("depth").cast("int").alias("depth"), F.col("page").cast("int").alias("page"), "ref", "at", words(F.col("title")).alias("words"))
     b = numbered(b, "i", "page", "depth", "at", "title")
     lead = ["book", "title", "depth", "page", "ref", "words"]
@@ -195,21 +196,21 @@ def reconciled(books: DataFrame, bookmarks: DataFrame, contents: DataFrame, head
     drawn = staged(numbered(drawn, "n", F.col("fixed").desc(), "i"), "drawn")
     anchors = staged(numbered(first_titles(drawn, ANCHOR_PAGES), "a", "page", "depth", "title", "n"), "anchors")
 
-    known = books.join(anchors.select("book").distinct().withColumn("led", F.lit(True)), "book", "left").join(h.groupBy("book").agg(F.count(F.lit(1)).alias("n")), "book", "left")
+    known = books.join(anchors.select("book").distinct().withColumn("led", F.lit(True)).hint("merge"), "book", "left").join(h.groupBy("book").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "book", "left")
     n = F.coalesce("n", F.lit(0))
     bare = known.where(F.col("led").isNull() & ((n == 0) | ((F.col("total_pages") > 20) & (n < 3)))).select("book", "total_pages")
-    h = h.join(bare, "book", "left_anti")
+    h = h.join(bare.hint("merge"), "book", "left_anti")
 
     scored = staged(pairs_of(anchors, h), "pairs")
-    met = aligned(scored, "book", "a", "h", "score", PAIR).join(scored, ["book", "a", "h"])
-    met = staged(met.join(h.select("book", "h", F.col("title").alias("h_title"), F.col("page").alias("h_page"), F.col("ref").alias("h_ref"), F.col("words").alias("h_words")), ["book", "h"]), "met")
+    met = aligned(scored, "book", "a", "h", "score", PAIR).join(scored.hint("merge"), ["book", "a", "h"])
+    met = staged(met.join(h.select("book", "h", F.col("title").alias("h_title"), F.col("page").alias("h_page"), F.col("ref").alias("h_ref"), F.col("words").alias("h_words")).hint("merge"), ["book", "h"]), "met")
     deep = lambda d: F.least(F.lit(DEEPEST), F.greatest(F.lit(0), d))
-    m = anchors.join(met, ["book", "a"], "left")
+    m = anchors.join(met.hint("merge"), ["book", "a"], "left")
     given = m.select(
         "book", F.coalesce("h_title", "title").alias("title"), F.coalesce("h_page", "page").alias("page"), deep(F.col("depth")).alias("depth"), F.when(F.col("h").isNull(), F.col("kind")).otherwise("mixed").alias("kind"),
         F.least("trust", "score").alias("confidence"), F.array_compact(F.array("ref", "h_ref")).alias("refs"), F.coalesce("h_words", "words").alias("words"), F.col("a").alias("i"), F.lit(True).alias("fixed"))
     number = number_depth(F.col("title"))
-    alone = h.join(met.select("book", "h"), ["book", "h"], "left_anti").select(
+    alone = h.join(met.select("book", "h").hint("merge"), ["book", "h"], "left_anti").select(
         "book", "title", "page", deep(F.coalesce(number, F.coalesce("level", F.lit(1)) - 1)).alias("depth"), F.lit("body-heading").alias("kind"),
         F.when(number.isNotNull(), NUMBERED).otherwise(F.col("confidence")).alias("confidence"), F.array_compact(F.array("ref")).alias("refs"), "words", F.col("h").alias("i"), F.lit(False).alias("fixed"))
     all_titles = staged(numbered(given.unionByName(alone), "n", F.col("fixed").desc(), "i"), "titles")
@@ -217,17 +218,17 @@ def reconciled(books: DataFrame, bookmarks: DataFrame, contents: DataFrame, head
     one = left.groupBy("book", "page", "depth", title_text(F.col("title")).alias("plain")).agg(
         F.min("order").alias("order"), F.max("confidence").alias("confidence"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("mixed").alias("kind"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "refs"))), lambda x: x["refs"]))).alias("refs"))
-    placed = numbered(one, "ordinal", "page", "depth", "order").withColumn("ordinal", F.col("ordinal") - 1).join(books, "book")
+    placed = numbered(one, "ordinal", "page", "depth", "order").withColumn("ordinal", F.col("ordinal") - 1).join(books.hint("merge"), "book")
     tree = levels(placed, "book", "ordinal", "depth", "page", F.col("total_pages"))
     nodes = tree.select("book", F.col("level").alias("depth"), "ordinal", "parent", F.col("order.title").alias("title"), F.col("page").alias("page_start"), "page_end", F.col("kind").alias("source_kind"), "confidence", "refs")
     nodes = staged(nodes.withColumn("node_id", node_id()), "nodes")
     above = nodes.select("book", F.col("ordinal").alias("parent"), F.col("node_id").alias("parent_id"))
-    return nodes.join(above, ["book", "parent"], "left").select(NODE).unionByName(windows_of(bare, scanned))
+    return nodes.join(above.hint("merge"), ["book", "parent"], "left").select(NODE).unionByName(windows_of(bare, scanned))
 
 
 def summary(nodes: DataFrame, bookmarks: DataFrame, contents: DataFrame) -> DataFrame:
     """(book, mode, confidence, n_nodes): what an outline rests on, and the mean trust in its nodes to six places."""
     n = nodes.groupBy("book").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.count(F.lit(1)).alias("n_nodes"), F.bool_and(F.col("source_kind") == "window").alias("bare"))
-    n = reduce(lambda df, x: df.join(x[0].select("book", F.lit(True).alias(x[1])).distinct(), "book", "left"), [(bookmarks, "marked"), (contents, "printed")], n)
+    n = reduce(lambda df, x: df.join(x[0].select("book", F.lit(True).alias(x[1])).distinct().hint("merge"), "book", "left"), [(bookmarks, "marked"), (contents, "printed")], n)
     mode = F.when(F.col("bare"), "window-fallback").when(F.col("marked") & F.col("printed"), "reconciled").when(F.col("marked"), "bookmarks").when(F.col("printed"), "printed-toc").otherwise("body-headings")
     return n.select("book", mode.alias("mode"), "confidence", "n_nodes")

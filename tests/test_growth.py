@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import extensions, ranking, validation
+from lodestone.operators import duplicates, extensions, ranking, reconcile, validation
 from lodestone.plans import catalogue
 from lodestone.sources import tables
 
@@ -101,3 +101,15 @@ def test_python_gets_no_plain_texts(spark, monkeypatch):
     rows = texts.select("i", given[0].alias("sent"), literals.alias("found")).orderBy("i").collect()
     assert [r.sent for r in rows] == [None, "5 µm", None]
     assert [r.found for r in rows] == [["din4108"], ["5µm"], None]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["outline_modes"])
+def test_outlines_pass_no_table_through_the_driver(spark, monkeypatch, name):
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module in (reconcile, duplicates):
+        monkeypatch.setattr(module, "staged", lambda df, step, _real=module.staged: _real(seen(df), step))
+    seen(catalogue.QUERIES[name](spark, str(DATA)))
+    assert sum(p.count("SortMergeJoin") for p in plans) > 20
+    assert not [p for p in plans if "Broadcast" in p]
