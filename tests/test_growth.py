@@ -104,7 +104,7 @@ def test_python_gets_no_plain_texts(spark, monkeypatch):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["outline_modes"])
+@pytest.mark.parametrize("name", ["outline_modes", "reconciled_outlines"])
 def test_outlines_pass_no_table_through_the_driver(spark, monkeypatch, name):
     plans = []
     seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
