@@ -14,30 +14,36 @@ pairs AS (SELECT DISTINCT a, b FROM src),
 refs AS (SELECT p_partkey AS target, 'part-' || lpad(p_partkey::VARCHAR, 6, '0') AS reference FROM part WHERE p_size = 1 UNION SELECT target, unnest([a, b]) FROM refs JOIN pairs ON reference IN (a, b))"""
 
 
-def jobs(spark, sf_dir):
-    """Orders with their lines as a list of sources in JSON; an order's lines are bounded."""
+def sources(spark, sf_dir):
+    """(record, l): orders with their lines' numbers, which are all that is shuffled of them; an order's lines are bounded."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), "l_linenumber", "l_partkey", "l_suppkey").repartition("record")
+    return l.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+
+
+def jobs(of):
+    """Orders as jobs with their lines as a list of sources in JSON, written where the order is."""
     s = lambda c: c.cast("string")
-    part = F.lpad(s(F.col("l_partkey")), 6, "0")
-    odd = F.col("l_linenumber") % 2 == 1
-    name = F.when(odd, F.concat(F.lit("part-"), part)).otherwise(F.concat(F.lit("old-part-"), part, F.lit("-"), s(F.col("l_suppkey") % 4)))
-    file = F.concat(F.lit("file-"), part, F.lit("-"), s(F.col("l_suppkey") % 3))
-    note = F.concat(F.lit("after part-"), F.lpad(s(F.col("l_partkey") + F.col("l_suppkey") % 5), 6, "0"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(name.alias("document_id"), file.alias("source"), note.alias("note")).alias("x"))
-    of = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record")).agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return of.select(F.lit("w").alias("scope"), "record", F.to_json(F.struct(F.transform("l", lambda x: x["x"]).alias("sources"))).alias("text"))
+
+    def source(x):
+        part = F.lpad(s(x["l_partkey"]), 6, "0")
+        name = F.when(x["l_linenumber"] % 2 == 1, F.concat(F.lit("part-"), part)).otherwise(F.concat(F.lit("old-part-"), part, F.lit("-"), s(x["l_suppkey"] % 4)))
+        file = F.concat(F.lit("file-"), part, F.lit("-"), s(x["l_suppkey"] % 3))
+        note = F.concat(F.lit("after part-"), F.lpad(s(x["l_partkey"] + x["l_suppkey"] % 5), 6, "0"))
+        return F.struct(name.alias("document_id"), file.alias("source"), note.alias("note"))
+
+    return of.select(F.lit("w").alias("scope"), "record", F.to_json(F.struct(F.transform("l", source).alias("sources"))).alias("text"))
 
 
-def references(spark, sf_dir, texts):
+def references(spark, sf_dir, records):
     target = F.concat(F.lit("part-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
     seeds = table(spark, sf_dir, "part").where("p_size = 1").select(F.lit("w").alias("scope"), F.col("p_partkey").alias("target"), target.alias("reference"))
-    return purge.learned(texts, seeds)
+    return purge.followed(purge.leads(records), seeds)
 
 
 @query(f"WITH RECURSIVE {PAIRS} SELECT target, reference FROM refs")
 def learned_references(spark, sf_dir):
     """All names of the smallest parts: ids of former generations and files, learnt from records of theirs to a fixpoint."""
-    texts = staged(purge.strings(jobs(spark, sf_dir)), "strings")
-    return references(spark, sf_dir, texts).select("target", "reference")
+    return references(spark, sf_dir, jobs(sources(spark, sf_dir))).select("target", "reference")
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, names AS (SELECT list(reference ORDER BY length(reference) DESC, reference) AS r FROM (SELECT DISTINCT reference FROM refs)),
@@ -49,25 +55,23 @@ w AS (SELECT o, bool_or(own OR a <> a2 OR b <> b2 OR c <> c2) AS hit,
 SELECT o AS record, CASE WHEN hit THEN 'changed' ELSE 'kept' END AS state, sha256(CASE WHEN hit THEN after ELSE before END) AS digest FROM w""")
 def purged_payloads(spark, sf_dir):
     """Each job's payload without the smallest parts: their sources are gone, their names struck out of other notes."""
-    j = staged(jobs(spark, sf_dir), "jobs")
-    texts = staged(purge.strings(j), "strings")
-    return purge.scrubbed(j, references(spark, sf_dir, texts), texts).select("record", "state", F.sha2("text", 256).alias("digest"))
+    j = jobs(staged(sources(spark, sf_dir), "sources"))
+    return purge.scrubbed(j, references(spark, sf_dir, j)).select("record", "state", F.sha2("text", 256).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS} SELECT DISTINCT target, o AS record FROM refs JOIN (SELECT * FROM src JOIN orders ON o_orderkey = o WHERE o_orderpriority = '1-URGENT')
   ON contains(a, reference) OR contains(b, reference) OR contains(c, reference)""")
 def pinned_mentions(spark, sf_dir):
     """Urgent jobs that hold up the purge of a part, as they tell of it under any name it ever had."""
-    j = staged(jobs(spark, sf_dir), "jobs")
-    refs = references(spark, sf_dir, staged(purge.strings(j), "strings"))
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("record"))
-    return purge.blockers(j.join(urgent, "record", "left_semi"), refs)
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("record"), F.lit(True).alias("urgent")).distinct()
+    of = staged(sources(spark, sf_dir).join(urgent, "record", "left"), "sources")
+    return purge.blockers(jobs(of.where("urgent")), references(spark, sf_dir, jobs(of)))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, placed AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n, p, s) - 1 AS entry FROM src)
 SELECT DISTINCT o AS record, entry::INTEGER AS entry FROM placed JOIN (SELECT DISTINCT reference FROM refs) ON contains(a, reference) OR contains(b, reference) OR contains(c, reference)""")
 def struck_sources(spark, sf_dir):
     """Places of jobs' sources that go with a purge, for all that hangs on a place to go too."""
-    j = staged(jobs(spark, sf_dir), "jobs")
-    refs = references(spark, sf_dir, staged(purge.strings(j), "strings"))
+    j = jobs(staged(sources(spark, sf_dir), "sources"))
+    refs = references(spark, sf_dir, j)
     return purge.struck_entries(j.select("scope", "record", F.col("text").alias("payload"), F.lit(None).cast("string").alias("result")), refs).select("record", "entry")

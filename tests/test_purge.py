@@ -2,10 +2,14 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 
 from lodestone.operators import purge
+from lodestone.plans import catalogue, purge_queries
+
+DATA = Path("/root/testdata/sf0.001")
 
 NAMES = ["doc-00001", "doc-00002", "seg-a1", "seg-b2", "file-x9", "file-y8", "e1", "unrelated", "zz"]
 
@@ -122,3 +126,42 @@ def test_stored_texts_are_not_broadcast(spark):
     texts = purge.staged(purge.strings(records), "strings")
     refs = purge.staged(spark.createDataFrame([("w", "t", "doc-00001")], "scope string, target string, reference string"), "refs")
     assert "BroadcastHashJoin" not in purge.mentions(texts, refs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_found_where_records_are_as_in_a_join(spark, monkeypatch):
+    r = random.Random(8)
+    records = spark.createDataFrame([("w", i, json.dumps(value(r))) for i in range(120)] + [("other", 0, '{"path": "doc-00001"}'), ("w", 998, '{"path": "e1", "note": "e1"}'), ("w", 999, None)], "scope string, record int, text string")
+    refs = spark.createDataFrame([("w", n, x) for n, x in enumerate(["doc-00001", "seg-a1", "file-x9", "e1", "zz", "doc-00001"])], "scope string, target int, reference string")
+    steps, real = [], purge.staged
+    monkeypatch.setattr(purge, "staged", lambda df, name: steps.append(name) or real(df, name))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    every = lambda: [rows(x) for x in (purge.mentioned(records, refs), purge.blockers(records, refs), purge.scrubbed(records, refs))]
+    got = every()
+    assert "strings" not in steps  # each is found in the record's own task, so none is shuffled
+    assert {kind for *_, kind in got[0]} == {"own", "equal", "inside"} and len(got[2]) == 123
+    monkeypatch.setattr(purge, "MOST_REFERENCES", 0)
+    assert every() == got
+    assert "strings" in steps
+
+
+def test_leads_by_records_are_those_by_strings(spark, monkeypatch):
+    r = random.Random(9)
+    records = spark.createDataFrame([("w", i, json.dumps(value(r))) for i in range(200)] + [("w", 999, None)], "scope string, record int, text string")
+    seeds = spark.createDataFrame([("w", "t", "doc-00001"), ("w", "u", "zz"), ("other", "u", "e1")], "scope string, target string, reference string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(purge.learned(purge.staged(purge.strings(records), "strings"), seeds))
+    assert len(want) > 6
+    assert rows(purge.followed(purge.leads(records), seeds)) == want
+    monkeypatch.setattr(purge, "MOST_REFERENCES", 0)
+    assert rows(purge.followed(purge.leads(records), seeds)) == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["learned_references", "purged_payloads", "pinned_mentions", "struck_sources"])
+def test_purges_shuffle_numbers_and_stage_no_texts(spark, monkeypatch, name):
+    staged = []
+    for module in (purge, purge_queries):
+        monkeypatch.setattr(module, "staged", lambda df, step, _real=module.staged: staged.append((step, df.columns)) or _real(df, step))
+    catalogue.QUERIES[name](spark, str(DATA))
+    assert {"leads"} <= {step for step, _ in staged} and "strings" not in {step for step, _ in staged}
+    assert not [columns for _, columns in staged if {"text", "payload"} & set(columns)]
