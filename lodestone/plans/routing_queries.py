@@ -61,7 +61,8 @@ def book(spark, sf_dir):
     section = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("int").cast("string"), 2, "0"))
     of = lambda prefix, c: F.concat(F.lit(prefix), s(c))
     brands = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("doc"), "p_size")
-    l = table(spark, sf_dir, "lineitem").join(brands, "l_partkey").withColumn("term", of("t", "l_partkey"))
+    l = table(spark, sf_dir, "lineitem").join(brands, "l_partkey").select("doc", "p_size", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    l = staged(l, "lines").withColumn("term", of("t", "l_partkey"))
     relation = F.when(F.col("l_quantity") > 25, "defined").otherwise("mentioned")
     targets = l.select("doc", "term", F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_suppkey")).alias("key"), section(F.col("l_suppkey") % 50).alias("node"), F.when(F.col("l_suppkey") % 3 != 0, of("e", "l_orderkey")).alias("evidence"), F.col("l_linenumber").alias("page"), F.col("l_discount").alias("confidence"), relation.alias("relation"))
     chunks = l.where("l_suppkey % 4 <> 1").select("doc", F.concat(F.lit("c"), F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"))).alias("chunk"), of("e", "l_orderkey").alias("evidence"), section(F.col("l_quantity")).alias("node"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("segment"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
@@ -80,28 +81,28 @@ def book(spark, sf_dir):
     edges = together
     for more in (following(["p_brand"], "see", "see_also", 0.6), following(["p_brand", "p_name"], "ali", "alias_of", 1.0), up, on):
         edges = edges.unionByName(more)
-    bought = l.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("query"), "doc", "l_partkey", "p_size").agg(F.sum("l_quantity").alias("q"))
+    # What a customer bought is summed and ranked where it is gathered.
+    bought = l.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query"), "doc", "l_partkey", "p_size", "l_quantity").repartition("query").groupBy("query", "doc", "l_partkey", "p_size").agg(F.sum("l_quantity").alias("q"))
     top = top_by(bought, ["query"], [F.col("q").desc(), F.col("l_partkey")], SEEDS, "seed")
     seeds = top.select("query", "seed", "doc", F.when(F.col("l_partkey") % 5 == 0, section(F.col("p_size"))).otherwise(of("t", "l_partkey")).alias("term"))
     terms = part.select(F.col("p_brand").alias("doc"), of("t", "p_partkey").alias("term"))
     return seeds, targets, chunks, nodes, staged(edges, "edges"), terms
 
 
-def offers(spark, sf_dir):
-    return routing.queues(*book(spark, sf_dir), LIMIT, SEGMENTS, expand=True, everywhere=True, adjacent=True)
+HOW = {"expand": True, "everywhere": True, "adjacent": True}
 
 
 @query(f"{QUEUES} SELECT query, seed::INTEGER AS seed, nth AS \"at\", doc, term, node, chunk, path, nullif(edge, '') AS edge, round(confidence, 6)::DOUBLE AS confidence FROM f")
 def routed_queues(spark, sf_dir):
     """What each seed of a customer offers, in order: its targets, what is joined to it, sections above, below, beside."""
-    return offers(spark, sf_dir).select("query", "seed", "at", "doc", "term", "node", "chunk", "path", "edge", F.round("confidence", 6).alias("confidence"))
+    return routing.queues(*book(spark, sf_dir), LIMIT, SEGMENTS, **HOW).select("query", "seed", "at", "doc", "term", "node", "chunk", "path", "edge", F.round("confidence", 6).alias("confidence"))
 
 
 @query()
 def routed_retrieval(spark, sf_dir):
     """The twelve results of each customer, queues taken in turn; held against a walk in the tests, as turns depend on
     all that came before."""
-    return routing.routed(offers(spark, sf_dir), LIMIT, SEEDS)
+    return routing.retrieved(*book(spark, sf_dir), LIMIT, SEGMENTS, **HOW, most_seeds=SEEDS)
 
 
 @query(f"""WITH {BOOK}, ok AS (SELECT * FROM chunks WHERE segment = 's4')

@@ -1,10 +1,14 @@
 """Routed retrieval against a walk over plain dictionaries."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 from lodestone.operators import routing
+from lodestone.plans import routing_queries
+
+DATA = Path("/root/testdata/sf0.001")
 
 WORDS = [f"t{i}" for i in range(9)]
 SECTIONS = [f"n{i}" for i in range(6)]
@@ -154,3 +158,47 @@ def test_a_term_that_many_ask_for_is_expanded_once(spark, monkeypatch):
     found = routing.queues(*frames(spark, data), 6, ["s"], True).collect()
     assert sorted((r["query"], r["chunk"]) for r in found) == [(q, f"c{i}") for q in range(40) for i in range(3)]
     assert ("seeds", 1) in sizes and ("queues", 3) in sizes
+
+
+@pytest.mark.parametrize(("seed", "limit", "segments"), [(11, 12, None), (12, 4, ["s0"])])
+def test_turns_over_identities_are_those_over_whole_queues(spark, seed, limit, segments):
+    data = frames(spark, workspace(seed))
+    rows = lambda df: sorted(map(tuple, df.select("query", "place", "seed", *routing.ITEM).collect()), key=repr)
+    want = rows(routing.routed(routing.queues(*data, limit, segments, True, True, True), limit))
+    assert want and rows(routing.retrieved(*data, limit, segments, True, True, True)) == want
+    with pytest.raises(Exception, match="over 1"):
+        routing.retrieved(*data, limit, segments, True, True, True, most_seeds=1).collect()
+
+
+def test_sections_around_are_sought_only_for_queues_that_are_not_full(spark, monkeypatch):
+    sizes, real = {}, routing.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    n = 30
+    targets = [("a", f"t{i}", f"k{j}", "n1", f"e{i}-{j}", j, 1.0, "defined") for i in range(n) for j in range(4)]
+    chunks = [("a", f"c{i}-{j}", f"e{i}-{j}", "n1", "s", j) for i in range(n) for j in range(4)]
+    nodes = [("a", f"n{i}", i, 1.0) for i in range(3)]
+    edges = [("a", "up", "n0", "n1", "parent_of", 1.0), ("a", "on", "n1", "n2", "next_section", 1.0)]
+    data = ([(i, 1, "a", f"t{i}") for i in range(n)] + [(n, 1, "a", "n2")], targets, chunks + [("a", "x0", "f0", "n0", "s", 1), ("a", "x2", "f2", "n2", "s", 1)], nodes, edges, [("a", f"t{i}") for i in range(n)])
+    monkeypatch.setattr(routing, "staged", counted)
+    found = routing.queues(*frames(spark, data), 4, ["s"], True, True, True).collect()
+    assert sizes["home"] == 1
+    assert sorted((r["query"], r["at"], r["identity"]) for r in found) == sorted([(i, j + 1, f"c{i}-{j}") for i in range(n) for j in range(4)] + [(n, 1, "x2"), (n, 2, "c0-0")])
+
+
+def test_many_terms_are_resolved_without_a_broadcast_as_few_are(spark, monkeypatch):
+    monkeypatch.setattr(routing, "MOST_TERMS", 0)
+    data = workspace(14)
+    got = routing.retrieved(*frames(spark, data), 12, ["s0"], True, True, True)
+    assert sorted(tuple(r) for r in got.select("query", "place", "doc", "term", "node", "evidence", "chunk", "path", "edge").collect()) == walk(data, 12, ["s0"], True, True, True)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_lines_meet_parts_once(spark):
+    _, targets, chunks, *_ = routing_queries.book(spark, str(DATA))
+    for df in (targets, chunks):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
