@@ -37,12 +37,52 @@ LINKED = {
 }
 SNAPSHOT = "schema_version string, content_hash string, evidence array<struct<evidence_id string>>, media struct<assets array<struct<media_id string>>>"
 SCHEMAS = ["2", "3"]
+#: Rows of a table of what may be faulty that is broadcast; larger ones are shuffled.
+MOST_FEW = 100_000
 
 
 def faults(df: DataFrame, code: str, key: Column, broken: Column | None = None) -> DataFrame:
     return (df if broken is None else df.where(broken)).select(F.lit(code).alias("code"), key.cast("string").alias("id"))
 
 
+def several(df: DataFrame, broken: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The faults of several codes, each with its key and condition, out of one reading of df."""
+    found = [F.when(F.coalesce(of, F.lit(False)), F.struct(F.lit(code).alias("code"), key.cast("string").alias("id"))) for code, (key, of) in broken.items()]
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.code", "f.id")
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """df staged and counted, to be broadcast if it is small, and else to be merged."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= MOST_FEW else df.hint("merge")
+
+
+def misplaced(chunks: DataFrame, nodes: DataFrame, segments: DataFrame, structures: DataFrame) -> DataFrame:
+    """Faults of chunks by their section, segment and pages. Chunks of one book, section and segment are held against these by
+    their least and greatest page first; only those of groups with a fault are looked at one by one."""
+    keys = ["book", "section", "segment"]
+    groups = chunks.groupBy(*keys).agg(F.min(F.array_min("pages")).alias("least"), F.max(F.array_max("pages")).alias("most"), F.bool_or(F.exists("pages", lambda p: p.isNull())).alias("gaps"))
+    bounds = segments.groupBy("book", "segment").agg(F.max("core_start").alias("_lo"), F.min("core_end").alias("_hi"), F.lit(True).alias("_segment"))
+    known = nodes.select("book", F.col("id").alias("section")).distinct().withColumn("_section", F.lit(True))
+    facts = groups.join(known, ["book", "section"], "left").join(bounds, ["book", "segment"], "left").join(structures.select("book", "total_pages"), "book", "left")
+    pages = F.coalesce("total_pages", F.lit(0))
+    missing = {"section_missing": F.col("_section").isNull(), "chunk_segment_missing": F.col("_segment").isNull()}
+    wrong = [F.coalesce(c, F.lit(False)) for c in (F.col("least") < F.col("_lo"), F.col("most") > F.col("_hi"), F.col("gaps"), F.col("least") < 1, F.col("most") > pages)]
+    faulty = few(facts.where(reduce(Column.__or__, [*missing.values(), *wrong])).select(*[F.col(k).alias(f"_{k}_") for k in keys], "_section", "_segment", "_lo", "_hi", "total_pages"), "faulty")
+    placed = chunks.select("chunk", "pages", *keys).join(faulty, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys]))
+    outside = F.exists("pages", lambda p: (p < F.col("_lo")) | (p > F.col("_hi")))
+    invalid = F.exists("pages", lambda p: p.isNull() | (p < 1) | (p > pages))
+    return several(placed, {code: (F.col("chunk"), of) for code, of in (missing | {"chunk_outside_core": outside, "chunk_page_invalid": invalid}).items()})
+
+
+def repeated(chunks: DataFrame, same: list[str]) -> DataFrame:
+    """Chunks that an earlier one of their book is like: what has the same hash is sought first, and only that is compared."""
+    hashed = chunks.select("chunk", "place", *same, F.xxhash64(*same).alias("_h"))
+    met = few(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"), "repeated")
+    order = Window.partitionBy(*same).orderBy("place", "chunk")
+    return hashed.join(met, "_h", "left_semi").withColumn("_r", F.row_number().over(order)).where("_r > 1")
+
+
 def lacking(df: DataFrame, column: str, known: DataFrame, kind: str | None = None) -> DataFrame:
     """Rows of df whose (book, column) is not among known (book, id, kind)."""
     of = known if kind is None else known.where(F.col("kind") == kind)
@@ -66,7 +106,7 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
 
     pipeline: the generation's own version; None: the generation is not known, a fault of its own. A table without faults gives no
     rows. Ids repeat over books, so all keys hold the book. Lists of a book's segments are windows by book; its chunks
-    meet by keys and aggregates, but for the chain of evidence, a window of a book's narrow rows.
+    meet by keys and aggregates, but for the chain of evidence and places, where a book's narrow rows meet.
     """
     t = tables
     gone = t["books"].limit(1)
@@ -107,27 +147,26 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     out.append(faults(chunks, "chunk_generation", chunk, other))
     for name in ("refs", "pages"):
         out.append(faults(chunks, f"{name}_missing", chunk, F.coalesce(F.size(name) < 1, F.lit(True))))
-    out.append(faults(lacking(chunks, "section", nodes), "section_missing", chunk))
-    bounds = seg.groupBy("book", "segment").agg(F.max("core_start").alias("_lo"), F.min("core_end").alias("_hi"))
-    placed = chunks.select("book", "chunk", "segment", "pages").join(bounds, ["book", "segment"], "left").join(t["structures"].select("book", "total_pages"), "book", "left")
-    out.append(faults(chunks.join(bounds, ["book", "segment"], "left_anti"), "chunk_segment_missing", chunk))
-    out.append(faults(placed, "chunk_outside_core", chunk, F.exists("pages", lambda p: (p < F.col("_lo")) | (p > F.col("_hi")))))
-    out.append(faults(placed, "chunk_page_invalid", chunk, F.exists("pages", lambda p: p.isNull() | (p < 1) | (p > F.coalesce("total_pages", F.lit(0))))))
-    places = chunks.groupBy("book", "place").agg(F.count(F.lit(1)).alias("n"))
-    out.append(faults(places, "chunk_order_duplicate", F.concat_ws(":", "book", F.coalesce(F.col("place").cast("string"), F.lit("None"))), F.col("place").isNull() | (F.col("n") > 1)))
-    spans = places.where(F.col("place").isNotNull()).groupBy("book").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("n"))
-    out.append(faults(spans.join(t["books"].select("book"), "book", "left_semi"), "chunk_order_gap", book, (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)))
-    same = Window.partitionBy("book", "content_hash", "pages", "refs").orderBy("place", "chunk")
-    out.append(faults(chunks.withColumn("_r", F.row_number().over(same)), "chunk_overlap_duplicate", chunk, F.col("_r") > 1))
-    out.append(faults(t["books"].join(chunks.select("book"), "book", "left_anti"), "chunks_missing", book))
+    out.append(misplaced(chunks, nodes, seg, t["structures"]))
+    places = chunks.select("book", "place").repartition("book").groupBy("book", "place").agg(F.count(F.lit(1)).alias("n"))
+    all_of = Window.partitionBy("book")
+    spans = places.withColumn("lo", F.min("place").over(all_of)).withColumn("hi", F.max("place").over(all_of)).withColumn("of", F.count("place").over(all_of))
+    spans = spans.join(t["books"].select("book").distinct().withColumn("_book", F.lit(True)), "book", "left")
+    again = F.col("place").isNull() | (F.col("n") > 1)
+    gap = F.col("_book") & ((F.col("lo") != 0) | (F.col("hi") != F.col("of") - 1))
+    out.append(several(spans, {"chunk_order_duplicate": (F.concat_ws(":", "book", F.coalesce(F.col("place").cast("string"), F.lit("None"))), again), "chunk_order_gap": (book, gap)}))
+    out.append(faults(repeated(chunks, ["book", "content_hash", "pages", "refs"]), "chunk_overlap_duplicate", chunk))
+    out.append(faults(t["books"].join(chunks.select("book").distinct(), "book", "left_anti"), "chunks_missing", book))
     said = chunks.where(F.coalesce("evidence", F.lit("")) != "")
     out.append(faults(chunks, "evidence_missing", chunk, F.coalesce("evidence", F.lit("")) == ""))
-    out.append(faults(said.groupBy("evidence").agg(F.count(F.lit(1)).alias("n")), "evidence_duplicate", F.col("evidence"), F.col("n") > 1))
-    evidence = said.groupBy(F.col("evidence").alias("id")).agg(F.min("book").alias("book")).select("book", "id", F.lit("evidence").alias("kind"))
+    # Who says it and how often is asked by several rules, of which each would gather all evidence again.
+    said_by = staged(said.groupBy(F.col("evidence").alias("id")).agg(F.min("book").alias("book"), F.count(F.lit(1)).alias("n")), "evidence")
+    out.append(faults(said_by, "evidence_duplicate", F.col("id"), F.col("n") > 1))
+    evidence = said_by.select("book", "id", F.lit("evidence").alias("kind"))
     line = Window.partitionBy("book").orderBy("place", "chunk")
-    links = keep_best(said.select("book", "chunk", "place", "evidence", "previous", "next"), ["book", "evidence"], "place", "chunk").withColumn("_p", F.lag("evidence").over(line)).withColumn("_n", F.lead("evidence").over(line))
-    for name, want in (("previous", "_p"), ("next", "_n")):
-        out.append(faults(links, f"{name}_chain", F.concat_ws(":", "book", "evidence"), ~F.col(name).eqNullSafe(F.col(want))))
+    by_book = said.select("book", "chunk", "place", "evidence", "previous", "next").repartition("book")
+    links = keep_best(by_book, ["book", "evidence"], "place", "chunk").withColumn("_p", F.lag("evidence").over(line)).withColumn("_n", F.lead("evidence").over(line))
+    out.append(several(links, {f"{name}_chain": (F.concat_ws(":", "book", "evidence"), ~F.col(name).eqNullSafe(F.col(want))) for name, want in (("previous", "_p"), ("next", "_n"))}))
 
     told = t["snapshots"].withColumn("s", F.from_json("payload", SNAPSHOT)).withColumn("bad", F.try_parse_json("payload").isNull())
     out.append(faults(told, "snapshot_invalid", book, F.col("bad")))
@@ -135,9 +174,10 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     out.append(faults(good, "snapshot_schema", book, ~F.coalesce(F.col("s.schema_version").isin(*SCHEMAS), F.lit(False))))
     out.append(faults(good, "snapshot_hash", book, ~F.col("s.content_hash").eqNullSafe(F.col("content_hash"))))
     for code, listed, stored in (("snapshot_evidence", "s.evidence.evidence_id", evidence), ("snapshot_media", "s.media.assets.media_id", media)):
-        has = good.select("book", F.explode(listed).alias("id")).distinct().withColumn("_a", F.lit(True))
-        kept = stored.select("book", "id").distinct().join(good.select("book"), "book", "left_semi").withColumn("_b", F.lit(True))
-        out.append(faults(has.join(kept, ["book", "id"], "full"), code, book, F.col("_a").isNull() | F.col("_b").isNull()))
+        has = good.select("book", F.explode(listed).alias("id"), F.lit(1).alias("side"))
+        sides = has.unionByName(stored.select("book", "id", F.lit(2).alias("side"))).groupBy("book", "id").agg(F.bit_or("side").alias("side"))
+        wrong = sides.where("side < 3 OR id IS NULL OR book IS NULL").join(good.select("book", F.lit(True).alias("_good")).distinct(), "book", "left")
+        out.append(faults(wrong, code, book, (F.col("side") != 2) | F.col("_good")))
 
     edges, edge = t["edges"], F.col("edge")
     graph = nodes.unionByName(terms)

@@ -214,17 +214,17 @@ UNION ALL SELECT 'chunk_page_invalid', l_orderkey || '/' || place FROM l WHERE l
 def generation_faults(spark, sf_dir):
     """Orders as books of one page a line, some of an old generation, some without structure or references, held against
     all rules for an index."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("book"), F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", "old").otherwise("g").alias("generation"))
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    own = F.concat_ws("/", "l_orderkey", "place")
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.row_number().over(line) - 1).alias("place")).withColumn("evidence", own)
-    l = l.withColumn("previous", F.lag("evidence").over(line)).withColumn("next", F.lead("evidence").over(line))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", "old").otherwise("g").alias("generation")).groupBy("l_orderkey").agg(F.collect_list("generation").alias("generations"))
+    # Lines are gathered by order once; their places follow from that, and every rule reads its few columns of what is staged.
+    of = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
     g, none = F.lit("g"), F.array().cast("array<string>")
-    sizes = l.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(F.struct(F.col("evidence").alias("evidence_id"))).alias("evidence"))
-    payload = F.to_json(F.struct(F.lit("3").alias("schema_version"), F.lit("h").alias("content_hash"), F.coalesce("evidence", F.array().cast("array<struct<evidence_id:string>>")).alias("evidence"), F.struct(F.array().cast("array<struct<media_id:string>>").alias("assets")).alias("media")))
-    # Every rule reads its few columns of these; unstaged, each would sort all lines and gather them by order again.
-    l = staged(l.select("l_orderkey", "place", "evidence", "previous", "next", "l_partkey"), "lines")
-    books = staged(o.join(sizes, "l_orderkey", "left").select("book", "l_orderkey", "generation", "n", payload.alias("payload")), "books")
+    named = F.transform("lines", lambda x, i: F.struct(F.concat_ws("/", "l_orderkey", i).alias("evidence_id")))
+    payload = F.to_json(F.struct(F.lit("3").alias("schema_version"), F.lit("h").alias("content_hash"), F.coalesce(named, F.array().cast("array<struct<evidence_id:string>>")).alias("evidence"), F.struct(F.array().cast("array<struct<media_id:string>>").alias("assets")).alias("media")))
+    whole = staged(o.join(of, "l_orderkey", "full").select("l_orderkey", "generations", F.transform("lines", lambda x: x["l_partkey"]).alias("parts"), F.size("lines").alias("n"), F.when(F.col("generations").isNotNull(), payload).alias("payload")), "books")
+    books = whole.select(F.col("l_orderkey").cast("string").alias("book"), "l_orderkey", F.explode("generations").alias("generation"), F.when(F.col("n") > 0, F.col("n")).alias("n"), "payload")
+    at = lambda i: F.concat_ws("/", "l_orderkey", i)
+    l = whole.select("l_orderkey", "n", F.posexplode("parts").alias("place", "l_partkey"))
+    l = l.select("l_orderkey", "place", "l_partkey", at("place").alias("evidence"), F.when(F.col("place") > 0, at(F.col("place") - 1)).alias("previous"), F.when(F.col("place") < F.col("n") - 1, at(F.col("place") + 1)).alias("next"))
     one = F.lit(1)
     tables = {name: spark.createDataFrame([], kind) for name, kind in validation.TABLES.items()} | {
         "books": books.select("book", "generation", F.lit("p").alias("pipeline")),

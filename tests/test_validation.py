@@ -95,3 +95,32 @@ def test_long_chains_and_cycles(spark, n):
     ring = [("b", f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [("b", "tail", "r0")]
     got = on_cycles(spark.createDataFrame(chain + ring, "book string, node string, parent string")).collect()
     assert {r.node for r in got} == {r[1] for r in ring}
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_chunks_are_gathered_few_times_and_only_faulty_ones_one_by_one(spark, monkeypatch, most):
+    from lodestone.operators import validation
+
+    sizes, real = {}, validation.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(validation, "staged", counted)
+    monkeypatch.setattr(validation, "MOST_FEW", most, raising=False)
+    index, n = whole(), 40
+    index["chunks"] = [["b", f"c{i}", "g", ["r"], [i % 6 + 1], "n2", "s1" if i % 6 < 3 else "s2", i, f"h{i}", f"e{i}", f"e{i - 1}" if i else None, f"e{i + 1}" if i < n - 1 else None] for i in range(n)]
+    index["snapshots"][0][3] = json.dumps({"schema_version": "3", "content_hash": "h", "evidence": [{"evidence_id": f"e{i}"} for i in range(n)], "media": {"assets": [{"media_id": "m1"}]}})
+    index["chunks"].append(["b", "bad", "g", ["r"], [7, None], "n9", "s9", 41, "h0", "", None, None])
+    index["chunks"].append(["x", "lone", "g", ["r"], None, None, None, None, "h0", "e0", None, None])
+    frames = {name: spark.createDataFrame([tuple(r) for r in rows], TABLES[name]) for name, rows in index.items()}
+    found = index_faults(frames, "g", "p")
+    got = sorted((r.code, r.id) for r in found.collect())
+    assert got == sorted([("section_missing", "bad"), ("chunk_segment_missing", "bad"), ("chunk_page_invalid", "bad"), ("evidence_missing", "bad"), ("chunk_order_gap", "b"),
+        ("section_missing", "lone"), ("chunk_segment_missing", "lone"), ("pages_missing", "lone"), ("chunk_order_duplicate", "x:None"), ("evidence_duplicate", "e0")])
+    assert (sizes["faulty"], sizes["repeated"]) == (2, 0)
+    monkeypatch.undo()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("chunk_overlap_duplicate") and plan.count("Window") <= 6
