@@ -163,6 +163,10 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     said_by = staged(said.groupBy(F.col("evidence").alias("id")).agg(F.min("book").alias("book"), F.count(F.lit(1)).alias("n")), "evidence")
     out.append(faults(said_by, "evidence_duplicate", F.col("id"), F.col("n") > 1))
     evidence = said_by.select("book", "id", F.lit("evidence").alias("kind"))
+    # Of all evidence only what other tables name is gathered again for their rules.
+    payloads = t["assets"].select("book", F.explode(F.from_json("payload", "evidence_ids array<string>")["evidence_ids"]).alias("id"))
+    named = [t["edges"].select("book", F.explode("evidence").alias("id")), t["targets"].select("book", F.col("evidence").alias("id")), payloads, *[t["links"].select("book", F.col(end).alias("id")) for end in ("source", "target")]]
+    named = evidence.join(few(reduce(DataFrame.unionByName, named).distinct(), "named"), ["book", "id"], "left_semi")
     line = Window.partitionBy("book").orderBy("place", "chunk")
     by_book = said.select("book", "chunk", "place", "evidence", "previous", "next").repartition("book")
     links = keep_best(by_book, ["book", "evidence"], "place", "chunk").withColumn("_p", F.lag("evidence").over(line)).withColumn("_n", F.lead("evidence").over(line))
@@ -186,14 +190,14 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
         for kind, of in (("node", F.col("relation").isin(*OF_NODES)), ("term", ~F.col("relation").isin(*OF_NODES))):
             out.append(faults(lacking(edges.where(of), end, graph, kind), "edge_endpoint_kind", edge))
     shown = edges.select("book", "edge", F.explode("evidence").alias("shown"))
-    out.append(faults(lacking(shown, "shown", evidence), "edge_evidence_missing", edge))
+    out.append(faults(lacking(shown, "shown", named), "edge_evidence_missing", edge))
     up = edges.where(F.col("relation") == "parent_of").select("book", "edge", F.col("target").alias("node"), F.col("source").alias("above"))
     met = up.join(t["nodes"], ["book", "node"], "left")
     out.append(faults(met, "edge_parent_mismatch", edge, ~F.col("parent").eqNullSafe(F.col("above"))))
     graph_parent = up.groupBy("book", "node").agg(F.max_by("above", "edge").alias("parent"))
     out.append(faults(on_cycles(graph_parent), "edge_parent_cycle", F.col("node")))
 
-    for column, of in (("node", nodes), ("evidence", evidence)):
+    for column, of in (("node", nodes), ("evidence", named)):
         out.append(faults(lacking(t["targets"].where(F.col(column).isNotNull()), column, of), f"target_{column}_missing", F.col("term")))
     assets, asset = t["assets"].withColumn("bad", F.try_parse_json("payload").isNull()).withColumn("p", F.from_json("payload", "media_id string, evidence_ids array<string>")), F.col("media")
     out.append(faults(assets, "media_generation", asset, other))
@@ -201,11 +205,11 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     out.append(faults(assets, "media_payload_invalid", asset, F.col("bad")))
     out.append(faults(assets, "media_payload_id", asset, ~F.col("bad") & ~F.col("p.media_id").eqNullSafe(F.col("media"))))
     shown = assets.where(~F.col("bad")).select("book", "media", F.explode("p.evidence_ids").alias("shown"))
-    out.append(faults(lacking(shown, "shown", evidence), "media_evidence_missing", asset))
-    ends = reduce(DataFrame.unionByName, (nodes, terms, media, evidence))
+    out.append(faults(lacking(shown, "shown", named), "media_evidence_missing", asset))
+    ends = reduce(DataFrame.unionByName, (nodes, terms, media, named))
     out.append(faults(t["links"], "media_link_relation", F.col("link"), ~F.coalesce(F.col("relation").isin(*LINKED), F.lit(False))))
     for side, end in enumerate(("source", "target")):
         kinds = F.create_map(*[F.lit(x) for relation, pair in LINKED.items() for x in (relation, pair[side])])
         wanted = t["links"].where(F.col("relation").isin(*LINKED)).withColumn("kind", kinds[F.col("relation")]).withColumn("id", F.col(end))
-        out.append(faults(wanted.join(ends.distinct(), ["book", "id", "kind"], "left_anti"), "media_link_endpoint", F.col("link")))
+        out.append(faults(wanted.join(ends, ["book", "id", "kind"], "left_anti"), "media_link_endpoint", F.col("link")))
     return reduce(DataFrame.unionByName, out).distinct()
