@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import staged
+from ..sources.tables import spread, staged
 from .ranking import keep_best
 
 #: Columns of the tables of a generation.
@@ -148,7 +148,8 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     for name in ("refs", "pages"):
         out.append(faults(chunks, f"{name}_missing", chunk, F.coalesce(F.size(name) < 1, F.lit(True))))
     out.append(misplaced(chunks, nodes, seg, t["structures"]))
-    places = chunks.select("book", "place").repartition("book").groupBy("book", "place").agg(F.count(F.lit(1)).alias("n"))
+    n_chunks = chunks.count()
+    places = spread(chunks.select("book", "place"), n_chunks, "book").groupBy("book", "place").agg(F.count(F.lit(1)).alias("n"))
     all_of = Window.partitionBy("book")
     spans = places.withColumn("lo", F.min("place").over(all_of)).withColumn("hi", F.max("place").over(all_of)).withColumn("of", F.count("place").over(all_of))
     spans = spans.join(t["books"].select("book").distinct().withColumn("_book", F.lit(True)), "book", "left")
@@ -168,7 +169,7 @@ def index_faults(tables: dict[str, DataFrame], generation: str, pipeline: str |
     named = [t["edges"].select("book", F.explode("evidence").alias("id")), t["targets"].select("book", F.col("evidence").alias("id")), payloads, *[t["links"].select("book", F.col(end).alias("id")) for end in ("source", "target")]]
     named = evidence.join(few(reduce(DataFrame.unionByName, named).distinct(), "named"), ["book", "id"], "left_semi")
     line = Window.partitionBy("book").orderBy("place", "chunk")
-    by_book = said.select("book", "chunk", "place", "evidence", "previous", "next").repartition("book")
+    by_book = spread(said.select("book", "chunk", "place", "evidence", "previous", "next"), n_chunks, "book")
     links = keep_best(by_book, ["book", "evidence"], "place", "chunk").withColumn("_p", F.lag("evidence").over(line)).withColumn("_n", F.lead("evidence").over(line))
     out.append(several(links, {f"{name}_chain": (F.concat_ws(":", "book", "evidence"), ~F.col(name).eqNullSafe(F.col(want))) for name, want in (("previous", "_p"), ("next", "_n"))}))
 
